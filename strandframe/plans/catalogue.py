@@ -1,6 +1,316 @@
-def queries():
-    return {}
+"""Registered queries on the driver's tables, each with the SQL that gives the same rows.
 
+Doubles are rounded here, and only here, as sums of doubles depend on the order of the rows.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.functions import symbols
+from strandframe.operators import alignment, numeric, pairwise, sequence
+
+NAME_WIDTH = 12
+ITEM_WIDTH = 512
+FRAME_LEAST = 20
+
+_UP = f"translate({{0}}, '{symbols.LOWER}', '{symbols.UPPER}')"
+_RES = f"regexp_replace({_UP}, '[^A-Z]', '', 'g')"
+_ALN = f"rpad(regexp_replace({_UP}, '[^A-Z]', '-', 'g'), {{1}}, '-')"
+_DNA = f"translate({_RES}, '{symbols.UPPER}', '{symbols.TO_DNA}')"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.residue_table(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", symbols.aligned(F.col("p_name"), NAME_WIDTH))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").withColumn("aln", F.lit(1))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.pair_table(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH))
+
+
+_NAMES_SQL = f"WITH a AS (SELECT p_brand AS aln, p_partkey AS key, {_ALN.format('p_name', NAME_WIDTH)} AS s FROM part), res AS (SELECT aln, key, i AS col, substr(s, i, 1) AS res FROM a, unnest(range(1, {NAME_WIDTH + 1})) u(i)) "
+_PAIRS_SQL = f"""WITH a AS (SELECT item_id AS k, {_ALN.format('text', ITEM_WIDTH)} AS s, length({_RES.format('text')}) AS n FROM benchmark),
+res AS (SELECT k, i AS col, substr(s, i, 1) AS c FROM a, unnest(range(1, {ITEM_WIDTH + 1})) u(i)),
+pr AS (SELECT x.k AS i, y.k AS j, x.n AS len_i, y.n AS len_j FROM a x JOIN a y ON x.k < y.k),
+cnt AS (SELECT x.k AS i, y.k AS j, count(*) FILTER (WHERE x.c = y.c AND x.c <> '-') AS n_id, count(*) FILTER (WHERE x.c <> '-' AND y.c <> '-') AS n_match,
+  count(*) FILTER (WHERE x.c <> '-' OR y.c <> '-') AS n_any FROM res x JOIN res y ON x.col = y.col AND x.k < y.k GROUP BY 1, 2),
+p AS (SELECT 1 AS aln, pr.i, pr.j, len_i, len_j, n_id, n_match, n_any, CASE WHEN least(len_i, len_j) > 0 THEN n_id / least(len_i, len_j)::DOUBLE ELSE 0.0 END AS pid,
+  CASE WHEN n_any > 0 THEN n_match / n_any::DOUBLE ELSE 0.0 END AS pmatch FROM pr JOIN cnt USING (i, j)) """
+
+
+@query("SELECT lang, count(*) AS nseq, sum(length(text))::BIGINT AS nres, min(length(text))::INT AS min_len, max(length(text))::INT AS max_len, round(avg(length(text)), 6) AS mean_len FROM documents WHERE text IS NOT NULL GROUP BY lang")
+def q01_sequence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(sequence.seq_stats(_t(spark, sf_dir, "documents"), "text", ["lang"]), 6, "mean_len")
+
+
+@query(f"WITH r AS (SELECT lang, unnest(string_split({_RES.format('text')}, '')) AS res FROM documents), c AS (SELECT lang, res, count(*) AS n FROM r WHERE res <> '' GROUP BY ALL) SELECT lang, res, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS freq FROM c")
+def q02_residue_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(sequence.residue_composition(_t(spark, sf_dir, "documents"), "text", ["lang"]), 6, "freq")
+
+
+@query(f"SELECT doc_id, md5(reverse(translate({_DNA.format('text')}, 'ACGT', 'TGCA'))) AS revcomp_md5 FROM documents")
+def q03_reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(symbols.reverse_complement(symbols.as_dna(F.col("text"))).cast("binary")).alias("revcomp_md5"))
+
+
+@query("SELECT p_partkey, concat(substr(p_name, 1, 2), regexp_replace(substr(p_name, 3, 4), '[A-Za-z]', 'X', 'g'), substr(p_name, 7)) AS masked, concat(regexp_replace(substr(p_name, 1, 2), '[A-Za-z]', 'X', 'g'), substr(p_name, 3, 4), regexp_replace(substr(p_name, 7), '[A-Za-z]', 'X', 'g')) AS kept FROM part")
+def q04_mask_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_name")
+    return _t(spark, sf_dir, "part").select("p_partkey", symbols.mask_range(n, 3, 6).alias("masked"), symbols.mask_range(n, 3, 6, invert=True).alias("kept"))
+
+
+_COUNT = "(n - length(translate(s, '{0}', '')))"
+_GUESS = f"""SELECT doc_id, CASE WHEN n <= 10 THEN 'unknown' WHEN n > 2000 AND {_COUNT.format('N')} = n THEN 'dna' WHEN {_COUNT.format('EFIJLOPQZ')} > 0 THEN 'amino'
+WHEN {_COUNT.format('ACGTN')} >= 0.98 * n AND s LIKE '%A%' AND s LIKE '%C%' AND s LIKE '%G%' AND s LIKE '%T%' THEN 'dna'
+WHEN {_COUNT.format('ACGUN')} >= 0.98 * n AND s LIKE '%A%' AND s LIKE '%C%' AND s LIKE '%G%' AND s LIKE '%U%' THEN 'rna'
+WHEN {_COUNT.format('ACDEFGHIKLMNPQRSTVWYX')} >= 0.98 * n AND len(list_distinct(string_split(s, ''))) >= 15 THEN 'amino' ELSE 'unknown' END AS alphabet, n::BIGINT AS n_letters
+FROM (SELECT doc_id, s, length(s) AS n FROM (SELECT doc_id, {{0}} AS s FROM documents))"""
+
+
+@query(_GUESS.format(_RES.format("text")))
+def q05_guess_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.guess_alphabet(_t(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query(_GUESS.format(_DNA.format("text")))
+def q05b_guess_alphabet_of_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.guess_alphabet(_t(spark, sf_dir, "documents").select("doc_id", symbols.as_dna(F.col("text")).alias("dna")), "dna", "doc_id")
+
+
+_BINS = "(SELECT ceil(l_extendedprice / 5000.0::DOUBLE - 1)::BIGINT AS bin, count(*) AS obs FROM lineitem GROUP BY 1)"
+
+
+def _price_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric.histogram(_t(spark, sf_dir, "lineitem"), "l_extendedprice", 5000.0)
+
+
+@query(f"SELECT bin, bin * 5000.0::DOUBLE AS lo, (bin + 1) * 5000.0::DOUBLE AS hi, obs FROM {_BINS}")
+def q06_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _price_bins(spark, sf_dir)
+
+
+@query(f"SELECT bin, bin * 5000.0::DOUBLE AS lo, round((sum(obs) OVER (ORDER BY bin DESC) / sum(obs) OVER ())::DOUBLE, 6) AS surv FROM {_BINS}")
+def q07_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(numeric.survival(_price_bins(spark, sf_dir)), 6, "surv")
+
+
+@query(f"WITH c AS (SELECT bin * 5000.0::DOUBLE AS lo, obs, sum(obs) OVER (ORDER BY bin DESC) AS cum, sum(obs) OVER () AS n FROM {_BINS}) SELECT min(lo) AS phi, sum(obs)::BIGINT AS n_tail, max(n)::BIGINT AS n_all FROM c WHERE cum - obs < 0.01 * n")
+def q08_tail_by_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric.tail_by_mass(_price_bins(spark, sf_dir), 0.01)
+
+
+@query("SELECT min(o_totalprice) AS nth_value, count(*) AS n FROM (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 100)")
+def q09_nth_highest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric.nth_highest(_t(spark, sf_dir, "orders"), "o_totalprice", 100)
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE var_samp(value) END, 4) AS var FROM events GROUP BY 1")
+def q10_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(_r(numeric.moments(_t(spark, sf_dir, "events"), "value", ["event_type"]), 6, "mean"), 4, "var")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(regr_intercept(l_extendedprice, l_quantity), 3) AS a, round(regr_slope(l_extendedprice, l_quantity), 3) AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def q11_linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(_r(numeric.linear_regression(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]), 3, "a", "b"), 6, "r")
+
+
+_X = "(CASE WHEN {0} > 0 THEN ({0}) * ln({0}) ELSE 0 END)"
+_ONE = lambda k, n: f"({_X.format(k)} + {_X.format(f'({n} - {k})')} - {_X.format(n)})"
+_LLR = f"({_ONE('k', 'n')} + {_ONE('k2', 'n2')} - {_ONE('(k + k2)', '(n + n2)')})"
+
+
+@query(f"WITH c AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE AS k, count(*)::DOUBLE AS n FROM orders GROUP BY 1), d AS (SELECT *, sum(k) OVER () - k AS k2, sum(n) OVER () - n AS n2 FROM c) SELECT o_orderpriority, k::BIGINT AS k, n::BIGINT AS n, round({_LLR}, 5) AS llr, round(2 * {_LLR}, 5) AS g2 FROM d")
+def q12_g_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(numeric.g_test(_t(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", "o_orderpriority"), 5, "llr", "g2")
+
+
+@query("WITH c AS (SELECT l_linestatus, l_returnflag, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), q AS (SELECT l_returnflag, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY 1), p AS (SELECT l_linestatus, l_returnflag, n / sum(n) OVER (PARTITION BY l_linestatus) AS p FROM c) SELECT l_linestatus, count(*) AS n_kinds, round(-sum(p * log2(p)), 6) AS entropy, round(sum(p * log2(p / q)), 6) AS rel_entropy, round(log2((SELECT count(*) FROM q)) + sum(p * log2(p)), 6) AS information FROM p JOIN q USING (l_returnflag) GROUP BY 1")
+def q13_category_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(numeric.category_entropy(_t(spark, sf_dir, "lineitem"), "l_returnflag", ["l_linestatus"]), 6, "entropy", "rel_entropy", "information")
+
+
+@query(_NAMES_SQL + ", c AS (SELECT aln, col, res, count(*) AS n FROM res WHERE res <> '-' GROUP BY ALL), s AS (SELECT aln, col, res, 1.0::DOUBLE / (count(*) OVER (PARTITION BY aln, col) * n) AS share FROM c), w AS (SELECT r.aln, r.key, coalesce(sum(share), 0) / greatest(count(share), 1) AS raw FROM res r LEFT JOIN s USING (aln, col, res) GROUP BY ALL) SELECT aln, key, round(CASE WHEN sum(raw) OVER (PARTITION BY aln) > 0 THEN raw * count(*) OVER (PARTITION BY aln) / sum(raw) OVER (PARTITION BY aln) ELSE 1 END, 6) AS weight FROM w")
+def q14_position_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(alignment.position_weights(_names(spark, sf_dir)), 6, "weight")
+
+
+@query(_NAMES_SQL + "SELECT aln, col::INT AS col, res, count(*) AS n FROM res WHERE res <> '-' GROUP BY ALL")
+def q15_column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.column_counts(_names(spark, sf_dir))
+
+
+@query(_NAMES_SQL + ", c AS (SELECT aln, col, res, count(*) AS n FROM res WHERE res <> '-' GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY aln, col)::DOUBLE AS p FROM c) SELECT aln, col::INT AS col, sum(n)::BIGINT AS n_res, round(log2(26) + sum(p * log2(p)), 6) AS information FROM p GROUP BY aln, col")
+def q16_column_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(alignment.column_information(_names(spark, sf_dir)), 6, "information")
+
+
+@query(_NAMES_SQL + "SELECT aln, col::INT AS col, round(1 - count(*) FILTER (WHERE res = '-') / count(*)::DOUBLE, 6) AS occupied, count(*) FILTER (WHERE res = '-') / count(*)::DOUBLE <= 0.5 AS keep FROM res GROUP BY ALL")
+def q17_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(alignment.occupancy(_names(spark, sf_dir)), 6, "occupied")
+
+
+@query(_NAMES_SQL + ", c AS (SELECT aln, col, res, count(*) AS n FROM res GROUP BY ALL), t AS (SELECT aln, col, sum(n) AS tot, coalesce(sum(n) FILTER (WHERE res <> '-'), 0) AS nres FROM c GROUP BY ALL), b AS (SELECT aln, col, res FROM c WHERE res <> '-' QUALIFY row_number() OVER (PARTITION BY aln, col ORDER BY n DESC, res) = 1) SELECT aln, string_agg(CASE WHEN nres / tot::DOUBLE >= 0.5 THEN res ELSE '-' END, '' ORDER BY col) AS consensus FROM t LEFT JOIN b USING (aln, col) GROUP BY aln")
+def q18_consensus_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.consensus_line(_names(spark, sf_dir))
+
+
+@query(f"SELECT 1 AS aln, item_id AS key, length(rtrim(ltrim(s, '-'), '-'))::BIGINT AS span, length(rtrim(ltrim(s, '-'), '-')) < ceil({ITEM_WIDTH} * 0.5) AS is_fragment FROM (SELECT item_id, {_ALN.format('text', ITEM_WIDTH)} AS s FROM benchmark)")
+def q19_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.fragments(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH))
+
+
+@query("SELECT doc_id, s::INT AS start, substr(text, greatest(1, s - 10), s + 50 - greatest(1, s - 10)) AS \"window\" FROM documents, unnest(range(1, length(text) + 1, 50)) u(s) WHERE length(text) > 0")
+def q20_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.windows(_t(spark, sf_dir, "documents"), "text", "doc_id", context=10, width=50)
+
+
+@query(f"WITH s AS (SELECT lang, {_RES.format('text')} AS s FROM documents) SELECT lang, substr(s, i, 3) AS kmer, count(*) AS n FROM s, unnest(range(1, length(s) - 1)) u(i) WHERE length(s) >= 3 GROUP BY ALL")
+def q21_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.kmer_counts(_t(spark, sf_dir, "documents"), "text", ["lang"], 3)
+
+
+@query(f"WITH s AS (SELECT lang, {_RES.format('text')} AS s FROM documents), k AS (SELECT lang, substr(s, i, 1) AS src, substr(s, i + 1, 1) AS dst, count(*) AS n FROM s, unnest(range(1, length(s))) u(i) WHERE length(s) >= 2 GROUP BY ALL) SELECT lang, src, dst, n, round(n / sum(n) OVER (PARTITION BY lang, src), 6) AS p FROM k")
+def q21b_markov_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(sequence.markov_transitions(_t(spark, sf_dir, "documents"), "text", ["lang"]), 6, "p")
+
+
+_STEP = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor(((h + c) & 4294967295) + ((((h + c) & 4294967295) << 10) & 4294967295) & 4294967295, (((h + c) & 4294967295) + ((((h + c) & 4294967295) << 10) & 4294967295) & 4294967295) >> 6))"
+
+
+@query(f"WITH a AS (SELECT p_partkey, {_STEP} AS h FROM part), b AS (SELECT p_partkey, (h + ((h << 3) & 4294967295)) & 4294967295 AS h FROM a), c AS (SELECT p_partkey, xor(h, h >> 11) AS h FROM b) SELECT p_partkey, (h + ((h << 15) & 4294967295)) & 4294967295 AS checksum FROM c")
+def q22_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", symbols.jenkins_checksum(F.col("p_name")).alias("checksum"))
+
+
+@query(f"SELECT p_partkey, {_RES.format('p_name')} AS letters, list_sum(list_transform(string_split({_RES.format('p_name')}, ''), lambda c: ascii(c) - 65))::BIGINT AS code_sum FROM part")
+def q23_digitise_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = symbols.digitised(symbols.residues_only(F.col("p_name")))
+    total = F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x)
+    return _t(spark, sf_dir, "part").select("p_partkey", codes.alias("_c")).select("p_partkey", symbols.textised(F.col("_c")).alias("letters"), total.alias("code_sum"))
+
+
+@query("SELECT part, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n_rows FROM (SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) AS part FROM documents) GROUP BY part")
+def q24_even_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.even_ranges(_t(spark, sf_dir, "documents"), "doc_id", 7)
+
+
+@query("SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS k_sum FROM events GROUP BY 1")
+def q25_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"))
+
+
+@query(_PAIRS_SQL + "SELECT i, j, n_id, least(len_i, len_j)::INT AS denom, round(pid, 6) AS pid FROM p")
+def q26_pairwise_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("i", "j", "n_id", F.least("len_i", "len_j").alias("denom"), F.round("pid", 6).alias("pid"))
+
+
+@query(_PAIRS_SQL + "SELECT i, j, n_match, n_any, round(pmatch, 6) AS pmatch FROM p")
+def q27_pairwise_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("i", "j", "n_match", "n_any", F.round("pmatch", 6).alias("pmatch"))
+
+
+@query(_PAIRS_SQL + "SELECT aln, count(*) AS n_pairs, round(avg(pid), 6) AS mean_pid, round(avg(pmatch), 6) AS mean_pmatch, round(avg((pid > 0.1)::INT), 6) AS connectivity FROM p GROUP BY aln")
+def q28_pairwise_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(pairwise.averages(_pairs(spark, sf_dir), 0.1), 6, "mean_pid", "mean_pmatch", "connectivity")
+
+
+@query(_PAIRS_SQL + ", x AS (SELECT i, j, n_match, 1 - (1 - n_id / nullif(n_match, 0)::DOUBLE) * 26 / 25 AS x FROM p) SELECT i, j, round(CASE WHEN x > 1e-12 THEN abs(-25 / 26.0::DOUBLE * ln(x)) END, 5) AS distance FROM x")
+def q29_jukes_cantor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(pairwise.jukes_cantor(_pairs(spark, sf_dir), 26), 5, "distance").drop("aln")
+
+
+@query(_PAIRS_SQL + "SELECT aln, i, j, round(1 - pid, 6) AS d FROM p UNION ALL SELECT aln, j, i, round(1 - pid, 6) FROM p UNION ALL SELECT 1, k, k, 0.0 FROM a")
+def q30_difference_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(pairwise.difference_matrix(_pairs(spark, sf_dir), _items(spark, sf_dir), "aln", "item_id"), 6, "d")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.identity_clusters(_pairs(spark, sf_dir), _items(spark, sf_dir), "aln", "item_id", 0.12)
+
+
+_CLUSTERS_SQL = _PAIRS_SQL.replace("WITH a AS", "WITH RECURSIVE a AS") + ", e AS (SELECT i, j FROM p WHERE pid >= 0.12 UNION SELECT j, i FROM p WHERE pid >= 0.12 UNION SELECT k, k FROM a), t AS (SELECT i, j FROM e UNION SELECT t.i, e.j FROM t JOIN e ON t.j = e.i), k AS (SELECT 1 AS aln, i AS key, min(j) AS cluster FROM t GROUP BY i) "
+
+
+@query(_CLUSTERS_SQL + "SELECT * FROM k")
+def q31_identity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)
+
+
+@query(_CLUSTERS_SQL + "SELECT aln, key, round(count(*) OVER () / (SELECT count(DISTINCT cluster) FROM k)::DOUBLE / count(*) OVER (PARTITION BY cluster), 6) AS weight FROM k")
+def q32_cluster_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(pairwise.cluster_weights(_clusters(spark, sf_dir)), 6, "weight")
+
+
+@query(None)
+def q33_identity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.identity_filter(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH), 0.12)
+
+
+@query("SELECT event_type, min(value) AS mu, round(1 / (avg(value) - min(value)), 8) AS rate FROM events GROUP BY 1")
+def q35_fit_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(numeric.fit_exponential(_t(spark, sf_dir, "events"), "value", ["event_type"]), 8, "rate")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(ln(value)), 6) AS mu, round(stddev_samp(ln(value)), 6) AS sigma FROM events WHERE value > 0 GROUP BY 1")
+def q36_fit_lognormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(numeric.fit_lognormal(_t(spark, sf_dir, "events"), "value", ["event_type"]), 6, "mu", "sigma")
+
+
+@query(None)
+def q37_fit_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric.fit_gumbel(_t(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("x")), "x")
+
+
+@query(None)
+def q38_open_reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.open_reading_frames(_t(spark, sf_dir, "documents"), symbols.as_dna(F.col("text")), "doc_id", least=FRAME_LEAST)
+
+
+_KEYS = "(SELECT c_custkey AS key FROM customer UNION ALL SELECT -c_custkey - 1 FROM customer)"
+
+
+@query(f"SELECT key, coalesce(n, 0)::BIGINT AS n_found, s_name FROM {_KEYS} LEFT JOIN (SELECT k, count(*) AS n, min(s_name) AS s_name FROM (SELECT DISTINCT k, s_suppkey, s_name FROM (SELECT s_suppkey AS k, s_suppkey, s_name FROM supplier UNION ALL SELECT s_nationkey, s_suppkey, s_name FROM supplier)) GROUP BY k) ON key = k")
+def q39_fetch_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _t(spark, sf_dir, "customer").select(F.explode(F.array("c_custkey", -F.col("c_custkey") - 1)).alias("key"))
+    supplier = _t(spark, sf_dir, "supplier").withColumn("s_nationkey", F.col("s_nationkey").cast("long"))
+    return sequence.fetch_by_key(keys, supplier, "key", ["s_suppkey", "s_nationkey"], ["s_name"])
+
+
+@query(None)
+def q40_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.sample_rows(_t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 100, seed=42, key="doc_id")
