@@ -17,8 +17,7 @@ from strandframe.llm.common import read_table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the rules."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    return quality.judge(rows, keep=("_row",)).where("kept").select("_row.*")
+    return quality.kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,6 +123,18 @@ def judge(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, least_words: int
     )
 
 
+def kept_rows(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that are kept.
+
+    A plain filter on `kept` would be pushed below the projections and so repeat every measure for
+    every rule; the partition number in the filter's input keeps the filter where it is.
+    """
+    rows = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.struct("*").alias("_row"))
+    judged = judge(rows, rules=rules, least_words=least_words, id_col="_key", text_col="_text", keep=("_row",))
+    placed = judged.select("_row", "kept", F.spark_partition_id().alias("_part"))
+    return placed.where("kept AND _part >= 0").select("_row.*")
+
+
 def oracle(text_table: str = "documents") -> str:
     """DuckDB SQL for `judge` with the production table."""
     stops = ", ".join(f"'{w}'" for w in stop_forms())
