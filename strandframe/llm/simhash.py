@@ -25,6 +25,8 @@ from strandframe.llm.components import components
 SEED = 42
 RADIUS = 3
 HALF_BITS = 32
+#: The rows of one fingerprint are dealt over so many tasks when they are named.
+SALTS = 64
 #: Variants of the other half: within one bit, and with exactly two bits.
 _STRONG = HALF_BITS + 1
 _WEAK = HALF_BITS * (HALF_BITS - 1) // 2
@@ -113,14 +115,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id are fingerprinted but never name a component; a component of such rows only has a null id.
     Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
     """
-    marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col))
-    classes = checkpoint(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
+    # a third of all rows may share a fingerprint: its rows are dealt over SALTS places, and each place is named once
+    salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col).withColumn("_salt", salt))
+    places = checkpoint(marked.groupBy("fp", "_salt").agg(F.min(id_col).alias("first")))
+    classes = checkpoint(places.groupBy("fp").agg(F.min("first").alias("first")))
     edges = links(classes.select("fp"))
     roots = components(edges)
     rooted = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = places.select("fp", "_salt").join(named, "fp")
+    return marked.join(named, ["fp", "_salt"]).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
