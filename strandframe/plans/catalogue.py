@@ -5,13 +5,16 @@ Doubles are rounded here, and only here, as sums of doubles depend on the order
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions import symbols
-from strandframe.operators import alignment, numeric, pairwise, sequence
+from strandframe.functions import codecs, distributions, storage, symbols
+from strandframe.operators import alignment, editing, fits, numeric, pairwise, sequence, splitting, structure, trees
+from strandframe.sources import packed, sequences
+from strandframe.streaming import events as streams
 
 NAME_WIDTH = 12
 ITEM_WIDTH = 512
@@ -314,3 +317,130 @@ def q39_fetch_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def q40_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.sample_rows(_t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 100, seed=42, key="doc_id")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return f"{storage.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT doc_id::VARCHAR AS name, coalesce(lang, '') AS description, md5({_RES.format('text')}) AS seq_md5 FROM documents WHERE text IS NOT NULL")
+def q41_fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _t(spark, sf_dir, "documents").where("text IS NOT NULL"), _scratch(spark, "fasta")
+    sequences.save(sequences.to_fasta(docs, name=F.col("doc_id").cast("string"), seq=symbols.residues_only(F.col("text")), description=F.coalesce("lang", F.lit(""))), path)
+    return sequences.read_fasta(spark, path).select("name", "description", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+@query(f"SELECT p_partkey, {_DNA.format('p_name')} AS seq FROM part")
+def q42_packed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "packed")
+    part = _t(spark, sf_dir, "part").select("p_partkey", symbols.as_dna(F.col("p_name")).alias("seq"))
+    packed.write(part, path, key="p_partkey", seq="seq", names=["p_partkey"], partitions=spark.sparkContext.defaultParallelism)
+    return packed.read(spark, path)
+
+
+@query("WITH m AS (SELECT p_brand, list_sort(list(length(p_name)))[count(*)::BIGINT // 2 + 1] AS med FROM part GROUP BY 1) SELECT p_partkey, p_brand, length(p_name)::INT AS n FROM part JOIN m USING (p_brand) WHERE length(p_name) >= med")
+def q43_median_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editing.by_median_length(_t(spark, sf_dir, "part"), "p_name", "p_brand", low=1.0).select("p_partkey", "p_brand", F.length("p_name").alias("n"))
+
+
+@query(_NAMES_SQL + ", k AS (SELECT aln, col FROM res GROUP BY ALL HAVING count(*) FILTER (WHERE res = '-') / count(*)::DOUBLE <= 0.5) SELECT aln, key, string_agg(res, '' ORDER BY col) AS aseq FROM res JOIN k USING (aln, col) GROUP BY ALL")
+def q44_masked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _names(spark, sf_dir)
+    return editing.rows_from_residues(editing.by_columns(res, alignment.occupancy(res)))
+
+
+@query(f"WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS newname, l_quantity::INT % 6 + 1 AS s, l_suppkey::INT % 6 + 1 AS e, {_DNA.format('p_name')} AS d FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT newname, CASE WHEN s > e THEN reverse(translate(substr(d, e, s - e + 1), 'ACGT', 'TGCA')) ELSE substr(d, s, e - s + 1) END AS subseq FROM r")
+def q45_fetch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = lambda c: (F.col(c).cast("int") % 6 + 1).cast("int")
+    requests = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("newname"), place("l_quantity").alias("start"), place("l_suppkey").alias("end"), F.col("l_partkey").alias("source"))
+    table = _t(spark, sf_dir, "part").select("p_partkey", symbols.as_dna(F.col("p_name")).alias("d"))
+    return editing.fetch_ranges(requests, table, source="p_partkey", seq="d")
+
+
+_BOUND = [(1, 2), (3, 6), (4, 5)]
+_BOUND_SQL = _NAMES_SQL + ", pc AS (SELECT x.aln, x.col AS i, y.col AS j, x.res AS a, y.res AS b, count(*) AS n FROM res x JOIN res y ON x.aln = y.aln AND x.key = y.key JOIN (VALUES (1, 2), (3, 6), (4, 5)) v(i, j) ON x.col = v.i AND y.col = v.j WHERE x.res <> '-' AND y.res <> '-' GROUP BY ALL) "
+
+
+def _pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _names(spark, sf_dir)
+    bound = res.select("aln").distinct().select("aln", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _BOUND])).alias("_p")).select("aln", "_p.*")
+    return structure.pair_counts(res, bound)
+
+
+@query(_BOUND_SQL + "SELECT aln, i::INT AS i, j::INT AS j, a, b, n FROM pc")
+def q46_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_counts(spark, sf_dir)
+
+
+@query(_BOUND_SQL + ", p AS (SELECT *, n / sum(n) OVER (PARTITION BY aln, i, j)::DOUBLE AS p FROM pc), q AS (SELECT *, sum(p) OVER (PARTITION BY aln, i, j, a) AS pa, sum(p) OVER (PARTITION BY aln, i, j, b) AS pb FROM p) SELECT aln, i::INT AS i, j::INT AS j, sum(n)::BIGINT AS n, round(sum(p * log2(p / (pa * pb))), 5) AS mi FROM q GROUP BY aln, i, j")
+def q47_mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(structure.mutual_information(_pair_counts(spark, sf_dir)), 5, "mi")
+
+
+@query("""SELECT event_id, round(CASE WHEN value < 1 THEN 0 ELSE 1 - exp(-0.01 * (value - 1)) END, 8) AS exponential, round(exp(-exp(-0.02 * (value - 200))), 8) AS gumbel,
+round(CASE WHEN 1 + 0.1 * 0.02 * (value - 200) <= 0 THEN 0 ELSE exp(-pow(1 + 0.1 * 0.02 * (value - 200), -10.0)) END, 8) AS gev,
+round(CASE WHEN value < 0 THEN 0 ELSE 1 - exp(-pow(0.005 * value, 1.5)) END, 8) AS weibull FROM events WHERE value IS NOT NULL""")
+def q48_distribution_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, d = F.col("value"), distributions
+    out = _t(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", d.exponential_cdf(v, 1.0, 0.01).alias("exponential"), d.gumbel_cdf(v, 200.0, 0.02).alias("gumbel"), d.gev_cdf(v, 200.0, 0.02, 0.1).alias("gev"), d.weibull_cdf(v, 0.0, 0.005, 1.5).alias("weibull"))
+    return _r(out, 8, "exponential", "gumbel", "gev", "weibull")
+
+
+@query("SELECT p_partkey, repeat('0', length(bin(p_size)) - 1) || bin(p_size) AS gamma, repeat('0', length(bin(length(bin(p_size)))) - 1) || bin(length(bin(p_size))) || substr(bin(p_size), 2) AS delta, repeat('1', p_size // 8) || '0' || right('000' || bin(p_size % 8), 3) AS rice FROM part")
+def q49_integer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    return _t(spark, sf_dir, "part").select("p_partkey", codecs.elias_gamma(n).alias("gamma"), codecs.elias_delta(n).alias("delta"), codecs.golomb_rice(n, 3).alias("rice"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def q50_streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, in windows of an hour."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern, as the stream reader takes a plain path for a folder and the table may be one file
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    windows = streams.windowed_moments(stream, "ts", "value", ["event_type"], width="1 hour", late="1 day")
+    out = streams.run_to_end(windows, _scratch(spark, "stream"), checkpoint=_scratch(spark, "stream-state"))
+    return _r(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4, "total")
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).where("pid >= 0.12").select(F.col("i").alias("a"), F.col("j").alias("b"))
+
+
+@query(None)
+def q51_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.independent_set(_items(spark, sf_dir).select(F.col("item_id").alias("node")), _linked(spark, sf_dir))
+
+
+@query(None)
+def q52_two_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.two_sets(_items(spark, sf_dir).select(F.col("item_id").alias("node")), _linked(spark, sf_dir))
+
+
+@query("SELECT 0::BIGINT AS n_broken")
+def q34_validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the two sides of the split."""
+    return splitting.broken_links(q52_two_sets(spark, sf_dir).where("side IS NOT NULL"), _linked(spark, sf_dir), within=False).agg(F.count("*").alias("n_broken"))
+
+
+@query(None)
+def q53_tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(trees.weights(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH)), 6, "weight")
+
+
+@query(None)
+def q54_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.trees(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH))
+
+
+@query(None)
+def q55_fit_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lam, tau = fits.fit_gamma(_t(spark, sf_dir, "events"), "value")
+    return spark.createDataFrame([(lam, tau)], "lambda double, tau double")
+
+
+@query(None)
+def q56_fit_weibull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lam, tau = fits.fit_weibull(_t(spark, sf_dir, "events"), "value")
+    return spark.createDataFrame([(lam, tau)], "lambda double, tau double")

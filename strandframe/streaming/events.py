@@ -13,7 +13,8 @@ from strandframe.functions import symbols
 def windowed_moments(stream: DataFrame, time: str, value: str, by: list[str], *, width: str, late: str) -> DataFrame:
     """start, the columns `by`, n and total of each window; rows later than the watermark are dropped, state is bounded by it."""
     w = F.window(F.col(time), width)
-    return stream.withWatermark(time, late).groupBy(w.alias("_w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("_w.start").alias("start"), *by, "n", "total")
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs an instant
+    return timed.withWatermark(time, late).groupBy(w.alias("_w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("_w.start").alias("start"), *by, "n", "total")
 
 
 def composition(stream: DataFrame, seq: str, by: list[str]) -> DataFrame:
