@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import codecs, distributions, storage, symbols
-from strandframe.operators import alignment, editing, fits, numeric, pairwise, sequence, splitting, structure, trees
+from strandframe.operators import alignment, editing, fits, models, numeric, pairwise, sequence, splitting, structure, trees
 from strandframe.sources import packed, sequences
 from strandframe.streaming import events as streams
 
@@ -444,3 +444,20 @@ def q55_fit_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q56_fit_weibull(spark: SparkSession, sf_dir: str) -> DataFrame:
     lam, tau = fits.fit_weibull(_t(spark, sf_dir, "events"), "value")
     return spark.createDataFrame([(lam, tau)], "lambda double, tau double")
+
+
+#: Two states over four nucleotides: an even one and one rich in C and G.
+_TWO_STATES = models.HiddenMarkov("ACGT", [0.5, 0.5], [[0.85, 0.1], [0.1, 0.85]], [0.05, 0.05], [[0.25] * 4, [0.1, 0.4, 0.4, 0.1]])
+
+
+@query(None)
+def q57_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").select("p_partkey", symbols.as_dna(F.col("p_name")).alias("d"))
+    return part.select("p_partkey", F.round(models.log_likelihood(F.col("d"), _TWO_STATES), 6).alias("log_likelihood"), F.array_join(models.best_path(F.col("d"), _TWO_STATES), "").alias("states"))
+
+
+@query("SELECT p_partkey, length(p_name)::INT AS n, array_to_string(list_sort(string_split(p_name, '')), '') AS letters FROM part WHERE p_name IS NOT NULL")
+def q58_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted letters of shuffled names, which are those of the names."""
+    mixed = _t(spark, sf_dir, "part").where("p_name IS NOT NULL").select("p_partkey", models.shuffled(F.col("p_name"), F.col("p_partkey"), seed=42).alias("s"))
+    return mixed.select("p_partkey", F.length("s").alias("n"), F.array_join(F.array_sort(F.filter(F.split("s", ""), lambda c: c != "")), "").alias("letters"))
