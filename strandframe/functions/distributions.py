@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -159,3 +160,27 @@ def lognormal_cdf(x: Column, mu: float, sigma: float) -> Column:
 
 def chi_squared_survival(x: float, degrees: int) -> float:
     return float(1 - incomplete_gamma(degrees / 2, np.array([x / 2]))[0])
+
+
+def dirichlet_log_marginal(counts: Sequence[float], alpha: Sequence[float]) -> float:
+    """Natural log of the probability of one order of the counted symbols under a Dirichlet prior."""
+    a, n = sum(alpha), sum(counts)
+    return math.lgamma(a) - math.lgamma(a + n) + sum(math.lgamma(x + c) - math.lgamma(x) for x, c in zip(alpha, counts))
+
+
+def mixture_posterior(counts: Column, parts: Sequence[tuple[float, Sequence[float]]]) -> Column:
+    """Mean posterior probabilities of an array of counts under a mixture of Dirichlet priors [(weight, alpha), ...]; null stays null."""
+
+    def one(c: Sequence[float]) -> list[float]:
+        logs = [math.log(q) + dirichlet_log_marginal(c, a) if q > 0 else -math.inf for q, a in parts]
+        top = max(logs)
+        share = [math.exp(x - top) for x in logs]
+        total, n = sum(share), sum(c)
+        return [sum(s * (x[k] + c[k]) / (n + sum(x)) for s, (_, x) in zip(share, parts)) / total for k in range(len(c))]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda c: None if c is None else one(list(c)))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, returnType="array<double>")(counts)

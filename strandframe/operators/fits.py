@@ -1,9 +1,11 @@
-"""Maximum-likelihood fits that need iteration. Each step is one aggregation of a few sums; no sample reaches the driver."""
+"""Maximum-likelihood fits that need iteration. Each step is one aggregation of a few sums, or works on a summary of fixed size; no sample reaches the driver."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +96,138 @@ def goodness_of_fit(bins: DataFrame, cdf, *, fitted: int = 0) -> tuple[int, floa
         x2 += (obs - want) ** 2 / want
     free = max(1, len(merged) - 1 - fitted)
     return len(merged), g, chi_squared_survival(g, free), x2, chi_squared_survival(x2, free)
+
+
+def gumbel_locations(df: DataFrame, value: str, lam: float, by: list[str]) -> DataFrame:
+    """mu of each group for a known lambda. Samples are shifted to their group's least, so that no power overflows; null groups are left out."""
+    x = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
+    shifted = x.join(x.groupBy(*by).agg(F.min("x").alias("_low")), by)
+    sums = shifted.groupBy(*by).agg(F.min("_low").alias("_low"), F.avg(F.exp(-F.lit(lam) * (F.col("x") - F.col("_low")))).alias("_m"))
+    return sums.select(*by, (F.col("_low") - F.log("_m") / lam).alias("mu"))
+
+
+def binned(df: DataFrame, value: str, *, bins: int = 8192, below: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(means, counts) of the samples in `bins` equal steps of their range: a summary whose size is fixed, for likelihoods without sufficient sums.
+
+    Each bin is taken at the mean of its samples, so a log-likelihood errs by its curvature times the
+    square of a step only. `below` drops smaller samples.
+    """
+    x = _samples(df, value) if below is None else _samples(df, value).where(F.col("x") >= below)
+    low, high = x.agg(F.min("x"), F.max("x")).first()
+    if low is None or low == high:
+        raise ValueError("two different samples are needed")
+    step = F.least(F.floor((F.col("x") - low) / ((high - low) / bins)), F.lit(bins - 1))
+    rows = x.groupBy(step.alias("k")).agg(F.avg("x").alias("m"), F.count("*").alias("n")).collect()  # at most `bins` rows
+    return np.array([r["m"] for r in rows]), np.array([r["n"] for r in rows], float)
+
+
+def minimise(f: Callable[[np.ndarray], float], start: Sequence[float], *, step: float = 0.2, tolerance: float = 1e-10, most_steps: int = 4000) -> np.ndarray:
+    """A local minimum of f by the downhill simplex; f may return inf outside its domain."""
+    points = [np.asarray(start, float)]
+    for k in range(len(start)):
+        p = points[0].copy()
+        p[k] += step * (abs(p[k]) or 1.0)
+        points.append(p)
+    valued = [(f(p), p) for p in points]
+    for _ in range(most_steps):
+        valued.sort(key=lambda v: v[0])
+        (best, top), (worst, bottom) = valued[0], valued[-1]
+        if worst - best <= tolerance * (abs(best) + tolerance) and np.allclose(top, bottom, rtol=1e-8, atol=1e-12):
+            break
+        centre = np.mean([p for _, p in valued[:-1]], axis=0)
+        tried = centre + (centre - bottom)
+        t = f(tried)
+        if t < best:
+            further = centre + 2 * (centre - bottom)
+            u = f(further)
+            valued[-1] = (u, further) if u < t else (t, tried)
+        elif t < valued[-2][0]:
+            valued[-1] = (t, tried)
+        else:
+            inner = centre + 0.5 * ((tried if t < worst else bottom) - centre)
+            u = f(inner)
+            if u < min(t, worst):
+                valued[-1] = (u, inner)
+            else:
+                valued = [valued[0]] + [(f(q), q) for q in (top + 0.5 * (p - top) for _, p in valued[1:])]
+    return min(valued, key=lambda v: v[0])[1]
+
+
+def fit_gumbel_truncated(df: DataFrame, value: str, phi: float) -> tuple[float, float]:
+    """(mu, lambda) from the samples >= phi when nothing is known of those below it."""
+    x, n = binned(df, value, below=phi)
+    mean = float((x * n).sum() / n.sum())
+    sd = math.sqrt(float((n * (x - mean) ** 2).sum() / n.sum()))
+
+    def loss(w: np.ndarray) -> float:
+        mu, lam = mean + sd * w[0], math.exp(min(w[1], 50)) / sd
+        y = lam * (x - mu)
+        if not np.isfinite(y).all() or y.min() < -500:
+            return math.inf
+        beyond = -math.expm1(-math.exp(-lam * (phi - mu))) if lam * (phi - mu) > -500 else 1.0
+        if beyond <= 0:
+            return math.inf
+        return -float((n * (math.log(lam) - y - np.exp(-y))).sum() / n.sum()) + math.log(beyond)
+
+    w = minimise(loss, [-0.5, 0.2])
+    return mean + sd * float(w[0]), math.exp(float(w[1])) / sd
+
+
+def fit_gev(df: DataFrame, value: str) -> tuple[float, float, float]:
+    """(mu, lambda, alpha) of a generalised extreme-value distribution; alpha near 0 is the Gumbel."""
+    x, n = binned(df, value)
+    mean = float((x * n).sum() / n.sum())
+    sd = math.sqrt(float((n * (x - mean) ** 2).sum() / n.sum()))
+
+    def loss(w: np.ndarray) -> float:
+        lam, alpha = math.exp(min(w[1], 50)) / sd, float(w[2])
+        y = lam * (x - mean - sd * w[0])
+        if abs(alpha) < 1e-9:
+            t = y
+        else:
+            inside = 1 + alpha * y
+            if inside.min() <= 0:
+                return math.inf
+            t = np.log(inside) / alpha
+        if t.min() < -500:
+            return math.inf
+        return -float((n * (math.log(lam) - (1 + alpha) * t - np.exp(-t))).sum() / n.sum())
+
+    w = minimise(loss, [-0.45, 0.25, 0.01], step=0.1)
+    return mean + sd * float(w[0]), math.exp(float(w[1])) / sd, float(w[2])
+
+
+def fit_stretched(df: DataFrame, value: str, mu: float = 0.0) -> tuple[float, float]:
+    """(lambda, tau) of a stretched exponential for known mu."""
+    x, n = binned(df, value, below=mu)
+    x, mean = x - mu, float(((x - mu) * n).sum() / n.sum())
+
+    def loss(w: np.ndarray) -> float:
+        if abs(w[0]) > 50 or abs(w[1]) > 5:
+            return math.inf
+        lam, tau = math.exp(w[0]) / mean, math.exp(w[1])
+        return -(math.log(lam * tau) - math.lgamma(1 / tau)) + float((n * (lam * x) ** tau).sum() / n.sum())
+
+    w = minimise(loss, [0.0, 0.0])
+    return math.exp(float(w[0])) / mean, math.exp(float(w[1]))
+
+
+def fit_hyperexponential(df: DataFrame, value: str, mu: float = 0.0, *, parts: int = 2, most_steps: int = 2000) -> list[tuple[float, float]]:
+    """(weight, lambda) of each part, the fastest last, by expectation and maximisation for known mu."""
+    x, n = binned(df, value, below=mu)
+    x = np.maximum(x - mu, 0.0)
+    q, lam = np.full(parts, 1 / parts), float(n.sum() / (x * n).sum()) * 4.0 ** (np.arange(parts) - (parts - 1) / 2)
+    before = -math.inf
+    for _ in range(most_steps):
+        logs = np.log(np.maximum(q * lam, 1e-300)) - np.outer(x, lam)
+        top = logs.max(axis=1, keepdims=True)
+        share = np.exp(logs - top)
+        total = share.sum(axis=1, keepdims=True)
+        now = float((n * (np.log(total) + top)[:, 0]).sum() / n.sum())
+        held = (share / total) * n[:, None]
+        q, lam = held.sum(axis=0) / n.sum(), held.sum(axis=0) / np.maximum((held * x[:, None]).sum(axis=0), 1e-300)
+        if now - before < 1e-12:
+            break
+        before = now
+    order = np.argsort(lam)
+    return [(float(q[k]), float(lam[k])) for k in order]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,28 @@ class HiddenMarkov:
         p = f * b
         return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
 
+    def expected_counts(self, seq: str) -> tuple[np.ndarray, ...]:
+        """The log-likelihood, and expected numbers of starts, moves, ends and emissions over all paths of a sequence."""
+        e, move = self._emissions(seq), np.asarray(self.move, float)
+        n, states = len(e), len(move)
+        f, b, scale = np.zeros((n, states)), np.zeros((n, states)), np.zeros(n)
+        for k in range(n):
+            f[k] = (np.asarray(self.start, float) if k == 0 else f[k - 1] @ move) * e[k]
+            scale[k] = f[k].sum()
+            f[k] /= scale[k]
+        last = float(f[-1] @ np.asarray(self.end, float))
+        b[-1] = np.asarray(self.end, float) / last
+        for k in range(n - 2, -1, -1):
+            b[k] = move @ (e[k + 1] * b[k + 1]) / scale[k + 1]
+        p = f * b
+        moves = move * (f[:-1].T @ (e[1:] * b[1:] / scale[1:, None])) if n > 1 else np.zeros_like(move)
+        at = {c: k for k, c in enumerate(self.alphabet)}
+        emitted = np.zeros((states, len(self.alphabet)))
+        for c, row in zip(seq, p):
+            if c in at:
+                emitted[:, at[c]] += row
+        return np.array([np.log(scale).sum() + np.log(last)]), p[0], moves, p[-1], emitted
+
     def best_path(self, seq: str) -> tuple[float, list[int]]:
         """Log probability and states of the likeliest path; ties take the least state."""
         if not seq:
@@ -169,3 +191,45 @@ def shuffle_pairs(seq: str, rng: random.Random) -> str:
         at = exits[at][k]
         out.append(at)
     return "".join(out)
+
+
+def train(df: DataFrame, seq: str, model: HiddenMarkov, *, rounds: int = 20, tolerance: float = 1e-6, floor: float = 1e-6) -> tuple[HiddenMarkov, list[float]]:
+    """The model after at most `rounds` rounds of expectation and maximisation, and the log-likelihood before each.
+
+    Each task sums the expected counts of its sequences; what is summed over tasks is one number per
+    parameter, whatever the number of sequences. `floor` is added to every count that may be nonzero.
+    Sequences that the model cannot give, empty ones and nulls are left out.
+    """
+    size, kinds = len(model.start), len(model.alphabet)
+
+    def flat(counts: tuple[np.ndarray, ...]) -> np.ndarray:
+        return np.concatenate([np.ravel(c) for c in counts])
+
+    def summed(now: HiddenMarkov) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(1 + size + size * size + size + size * kinds)
+            for batch in batches:
+                for s in batch["s"]:
+                    if s and np.isfinite(now.log_likelihood(s)):
+                        total += flat(now.expected_counts(s))
+            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+        return run
+
+    seqs, history = df.select(F.col(seq).alias("s")).where("s IS NOT NULL AND s <> ''"), []
+    for _ in range(rounds):
+        rows = seqs.mapInPandas(summed(model), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # one row per parameter
+        total = np.zeros(1 + size + size * size + size + size * kinds)
+        for r in rows:
+            total[r["k"]] = r["v"]
+        history.append(float(total[0]))
+        start, move, end, emit = np.split(total[1:], np.cumsum([size, size * size, size]))
+        start = start + floor * (np.asarray(model.start) > 0)
+        leave = np.hstack([move.reshape(size, size) + floor * (np.asarray(model.move) > 0), (end + floor * (np.asarray(model.end) > 0))[:, None]])
+        leave /= np.maximum(leave.sum(axis=1, keepdims=True), 1e-300)
+        emit = emit.reshape(size, kinds) + floor * (np.asarray(model.emit) > 0)
+        emit /= np.maximum(emit.sum(axis=1, keepdims=True), 1e-300)
+        model = HiddenMarkov(model.alphabet, (start / start.sum()).tolist(), leave[:, :-1].tolist(), leave[:, -1].tolist(), emit.tolist())
+        if len(history) > 1 and history[-1] - history[-2] < tolerance * abs(history[-1]):
+            break
+    return model, history

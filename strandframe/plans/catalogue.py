@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import codecs, distributions, storage, symbols
-from strandframe.operators import alignment, editing, fits, models, numeric, pairwise, sequence, splitting, structure, trees
-from strandframe.sources import packed, sequences
+from strandframe.operators import alignment, annotation, columns, editing, fits, models, numeric, pairwise, scoring, sequence, splitting, structure, trees
+from strandframe.sources import packed, reports, sequences
 from strandframe.streaming import events as streams
 
 NAME_WIDTH = 12
@@ -461,3 +461,145 @@ def q58_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sorted letters of shuffled names, which are those of the names."""
     mixed = _t(spark, sf_dir, "part").where("p_name IS NOT NULL").select("p_partkey", models.shuffled(F.col("p_name"), F.col("p_partkey"), seed=42).alias("s"))
     return mixed.select("p_partkey", F.length("s").alias("n"), F.array_join(F.array_sort(F.filter(F.split("s", ""), lambda c: c != "")), "").alias("letters"))
+
+
+_HELD_SQL = _NAMES_SQL + ", h AS (SELECT aln, col, count(*) FILTER (WHERE res = '-') / count(*)::DOUBLE <= 0.5 AS held FROM res GROUP BY ALL), pl AS (SELECT *, sum(held::INT) OVER (PARTITION BY aln ORDER BY col) AS place FROM h)"
+
+
+def _places(res: DataFrame) -> DataFrame:
+    return annotation.numbered_places(alignment.occupancy(res).select("aln", "col", "keep"))
+
+
+@query(_HELD_SQL + ", i AS (SELECT aln, place, key, count(*) AS n FROM res JOIN pl USING (aln, col) WHERE NOT held AND res <> '-' GROUP BY ALL), t AS (SELECT p_brand AS aln, count(*) AS n_all FROM part GROUP BY 1) SELECT aln, place::INT AS place, count(*) AS n_rows, round(count(*) / max(n_all)::DOUBLE, 6) AS share, round(avg(n), 6) AS mean_length FROM i JOIN t USING (aln) GROUP BY aln, place")
+def q59_insert_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _names(spark, sf_dir)
+    return _r(annotation.insert_stats(res, _places(res)), 6, "share", "mean_length")
+
+
+@query(_HELD_SQL + ", r AS (SELECT aln, key, place, res <> '-' AS has FROM res JOIN pl USING (aln, col) WHERE held), e AS (SELECT aln, key, min(place) AS lo, max(place) AS hi FROM r WHERE has GROUP BY ALL) SELECT aln, place::INT AS place, count(*) FILTER (WHERE has) AS n_residues, count(*) FILTER (WHERE NOT has) AS n_gaps, count(*) FILTER (WHERE place BETWEEN lo AND hi) AS n_spanning, count(*) FILTER (WHERE place BETWEEN lo AND hi AND NOT has) AS n_internal FROM r LEFT JOIN e USING (aln, key) GROUP BY aln, place")
+def q60_place_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _names(spark, sf_dir)
+    return annotation.coverage(res, _places(res))
+
+
+_FLUSH_SQL = _NAMES_SQL + ", pl AS (SELECT i AS col, i <= 3 OR i > 9 AS held FROM unnest(range(1, 13)) u(i)), f AS (SELECT aln, key, res, CASE WHEN held THEN col ELSE 3 + row_number() OVER (PARTITION BY key, held ORDER BY (res = '-')::INT, col) END AS col FROM res JOIN pl USING (col)) SELECT aln, key, string_agg(res, '' ORDER BY col) AS aseq FROM f GROUP BY ALL"
+
+
+@query(_FLUSH_SQL)
+def q61_flush_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _names(spark, sf_dir)
+    mask = res.select("aln", "col").distinct().withColumn("keep", ~F.col("col").between(4, 9))
+    return editing.rows_from_residues(annotation.flush_left(res, annotation.numbered_places(mask)))
+
+
+_MARKS_SQL = _NAMES_SQL + ", m AS (SELECT aln, key, col, CASE WHEN res = '-' THEN '.' ELSE substr('0123456789*', ((key + col * col) % 11 + 1)::BIGINT, 1) END AS pp FROM res), p AS (SELECT *, CASE pp WHEN '0' THEN 0.025 WHEN '*' THEN 0.975 WHEN '.' THEN NULL ELSE pp::DOUBLE / 10 END::DOUBLE AS mid, CASE pp WHEN '0' THEN 0.0 WHEN '*' THEN 0.95 WHEN '.' THEN NULL ELSE pp::DOUBLE / 10 - 0.05 END::DOUBLE AS low FROM (SELECT *, pp AS q FROM m))"
+_MARKS_SQL = _MARKS_SQL.replace("pp::DOUBLE", "TRY_CAST(pp AS DOUBLE)")
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = ((F.col("key") + F.col("col") * F.col("col")) % 11 + 1).cast("int")
+    return _names(spark, sf_dir).select("aln", "key", "col", F.when(F.col("res") == "-", ".").otherwise(F.substr(F.lit("0123456789*"), place, F.lit(1))).alias("pp"))
+
+
+_COUNTED = ", ".join(f"count(*) FILTER (WHERE pp = '{m}') AS n_{'star' if m == '*' else m}" for m in "0123456789*")
+
+
+@query(_MARKS_SQL + f" SELECT aln, col::INT AS col, {_COUNTED}, count(*) FILTER (WHERE pp = '.') AS n_gaps, count(mid) AS n_marks, round(avg(mid), 6) AS mean_pp FROM p GROUP BY aln, col")
+def q62_posterior_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(annotation.posterior_stats(_marks(spark, sf_dir), ["aln", "col"]), 6, "mean_pp")
+
+
+@query(_MARKS_SQL + f" SELECT aln, key, {_COUNTED}, count(*) FILTER (WHERE pp = '.') AS n_gaps, count(mid) AS n_marks, round(avg(mid), 6) AS mean_pp FROM p GROUP BY aln, key")
+def q63_posterior_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(annotation.posterior_stats(_marks(spark, sf_dir), ["aln", "key"]), 6, "mean_pp")
+
+
+@query(_MARKS_SQL + " SELECT aln, col::INT AS col, count(low) > 0 AND count(*) FILTER (WHERE low >= 0.45 - 1e-9) >= 0.55 * count(low) AS keep FROM p GROUP BY aln, col")
+def q64_posterior_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.posterior_mask(_marks(spark, sf_dir), least=0.45, share=0.55)
+
+
+@query(_NAMES_SQL + ", c AS (SELECT aln, col, res, count(*) AS n FROM res WHERE res <> '-' GROUP BY ALL), s AS (SELECT x.res AS a, y.res AS b, sum(CASE WHEN x.res = y.res THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END)::BIGINT AS n FROM c x JOIN c y ON x.aln = y.aln AND x.col = y.col AND x.res <= y.res GROUP BY 1, 2 HAVING sum(CASE WHEN x.res = y.res THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END) > 0), h AS (SELECT s, sum(n) / 2.0::DOUBLE AS m FROM (SELECT a AS s, n FROM s UNION ALL SELECT b, n FROM s) GROUP BY 1) SELECT a, b, n, round(log2(n / (x.m * y.m / (SELECT sum(n) FROM s)::DOUBLE * CASE WHEN a = b THEN 1 ELSE 2 END)), 5) AS odds FROM s JOIN h x ON x.s = a JOIN h y ON y.s = b")
+def q65_substitution_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(scoring.log_odds(scoring.substitution_counts(alignment.column_counts(_names(spark, sf_dir)))), 5, "odds")
+
+
+def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names again, each flush right in a wider row."""
+    row = F.lpad(F.regexp_replace(symbols.residues_only(F.col("p_name")), "^$", "-"), NAME_WIDTH + 4, "-")
+    return alignment.residue_table(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", row)
+
+
+@query(f"WITH a AS (SELECT p_brand AS aln, p_partkey AS key, {_ALN.format('p_name', NAME_WIDTH)} AS s, lpad(regexp_replace({_RES.format('p_name')}, '^$', '-'), {NAME_WIDTH + 4}, '-') AS t FROM part), x AS (SELECT aln, key, i, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM a, unnest(range(1, {NAME_WIDTH + 1})) u(i) WHERE substr(s, i, 1) <> '-'), y AS (SELECT key, i AS j, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM a, unnest(range(1, {NAME_WIDTH + 5})) u(i) WHERE substr(t, i, 1) <> '-') SELECT aln, i::INT AS i, j::INT AS j, count(*) AS n FROM x JOIN y USING (key, k) GROUP BY aln, i, j")
+def q66_shared_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.shared_residues(_names(spark, sf_dir), _shifted(spark, sf_dir))
+
+
+@query(None)
+def q67_column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.column_map(_names(spark, sf_dir), _shifted(spark, sf_dir))
+
+
+def _two_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early, late = "xxxx..xxxxxx", "xxxxxx..xxxx"
+    return _t(spark, sf_dir, "part").select(F.col("p_size").alias("aln"), F.col("p_partkey").alias("key"), symbols.aligned(F.col("p_name"), NAME_WIDTH).alias("aseq"), F.when(F.col("p_size") % 2 == 0, early).otherwise(late).alias("reference"))
+
+
+@query(f"SELECT p_size AS aln, p_partkey AS key, CASE WHEN p_size % 2 = 0 THEN concat(substr(s, 1, 8), '..', substr(s, 9, 4)) ELSE concat(substr(s, 1, 4), '..', substr(s, 5, 8)) END AS aseq FROM (SELECT *, {_ALN.format('p_name', NAME_WIDTH)} AS s FROM part)")
+def q68_merged_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editing.merged(_two_references(spark, sf_dir))
+
+
+@query(f"SELECT p_partkey AS key, length(replace(s, '-', ''))::BIGINT AS n, length(replace(concat(substr(s, 1, 4), substr(s, 9, 4)), '-', ''))::BIGINT AS \"right\", round(length(replace(concat(substr(s, 1, 4), substr(s, 9, 4)), '-', '')) / length(replace(s, '-', ''))::DOUBLE, 6) AS accuracy FROM (SELECT *, {_ALN.format('p_name', NAME_WIDTH)} AS s FROM part) WHERE length(replace(s, '-', '')) > 0")
+def q69_alignment_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _two_references(spark, sf_dir)
+    known, test = (rows.withColumn("reference", F.lit(r)) for r in ("xxxx..xxxxxx", "xxxxxx..xxxx"))
+    return _r(editing.accuracy(known, test), 6, "accuracy")
+
+
+@query("SELECT p_partkey, 4::BIGINT AS n_known, k::BIGINT AS n_predicted, k::BIGINT AS found, k::BIGINT AS \"right\", k / 4.0::DOUBLE AS sensitivity, least(k, 1)::DOUBLE AS ppv FROM (SELECT p_partkey, p_size % 5 AS k FROM part)")
+def q70_structure_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 5
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.lit("<<<<....>>>>").alias("known"), F.concat(F.repeat(F.lit("<"), k), F.repeat(F.lit("."), 12 - 2 * k), F.repeat(F.lit(">"), k)).alias("test"))
+    return structure.compare(structure.pair_table(rows, "p_partkey", "known"), structure.pair_table(rows, "p_partkey", "test"), "p_partkey")
+
+
+@query("SELECT event_type, round(low - ln(mean) / 0.02, 5) AS mu FROM (SELECT event_type, min(low) AS low, avg(exp(-0.02 * (value - low))) AS mean FROM events JOIN (SELECT event_type, min(value) AS low FROM events GROUP BY 1) USING (event_type) GROUP BY 1)")
+def q71_gumbel_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(fits.gumbel_locations(_t(spark, sf_dir, "events"), "value", 0.02, ["event_type"]), 5, "mu")
+
+
+@query(None)
+def q72_fit_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of four families that have no closed form, for order prices or event values in thousands."""
+    prices, values = _t(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("x")), _t(spark, sf_dir, "events").select("value")
+    found = {"gumbel, truncated": fits.fit_gumbel_truncated(prices, "x", 100.0), "gev": fits.fit_gev(prices, "x"), "stretched": fits.fit_stretched(values, "value"), "hyperexponential": [v for part in fits.fit_hyperexponential(values, "value") for v in part]}
+    return spark.createDataFrame([(k, [round(float(v), 5) for v in vs]) for k, vs in found.items()], "family string, parameters array<double>")
+
+
+@query(None)
+def q73_hidden_markov_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states over the vowels and consonants of names, from a rough start."""
+    kinds = F.translate(symbols.residues_only(F.col("p_name")), symbols.UPPER, "".join("v" if c in "AEIOU" else "c" for c in symbols.UPPER))
+    rough = models.HiddenMarkov("vc", [0.5, 0.5], [[0.4, 0.5], [0.5, 0.4]], [0.1, 0.1], [[0.6, 0.4], [0.3, 0.7]])
+    model, history = models.train(_t(spark, sf_dir, "part").select(kinds.alias("s")), "s", rough, rounds=8)
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in enumerate(history)], "round int, log_likelihood double")
+
+
+@query("SELECT concat_ws(chr(9), p_brand, 'parts', 'match', l_linenumber::VARCHAR, (l_linenumber + 9)::VARCHAR, printf('%.1f', l_quantity::DOUBLE), CASE WHEN l_suppkey % 9 > l_partkey % 9 THEN '-' ELSE '+' END, '.', concat('gene \"', l_orderkey, '\"')) AS value FROM lineitem JOIN part ON l_partkey = p_partkey")
+def q74_feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    hits = met.select(F.col("l_orderkey").cast("string").alias("query"), F.col("p_brand").alias("target"), F.col("l_quantity").cast("double").alias("score"), (F.col("l_suppkey") % 9).alias("qstart"), (F.col("l_partkey") % 9).alias("qend"), F.col("l_linenumber").alias("tstart"), (F.col("l_linenumber") + 9).alias("tend"))
+    return reports.to_lines(hits, "gff", source="parts", feature="match")
+
+
+@query(_NAMES_SQL + ", k AS (SELECT aln, col, row_number() OVER (PARTITION BY aln ORDER BY col) AS place FROM res GROUP BY aln, col HAVING bool_or(res <> '-')) SELECT aln, key, string_agg(res, '' ORDER BY place) AS aseq FROM res JOIN k USING (aln, col) GROUP BY ALL")
+def q75_without_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _names(spark, sf_dir)
+    return editing.rows_from_residues(editing.by_columns(res, editing.gap_mask(res)))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def q76_rows_not_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return editing.by_names(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), listed, "o_custkey", keep=False)
