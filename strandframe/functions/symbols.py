@@ -33,6 +33,34 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, *DNA_COMPLEMENT))
 
 
+#: What each named conversion replaces, and by what; both cases, degenerate codes of nucleotides to N.
+CONVERSIONS = {
+    "dna": ("Uu", "Tt"),
+    "rna": ("Tt", "Uu"),
+    "lower": (UPPER, LOWER),
+    "upper": (LOWER, UPPER),
+    "no_degenerate": ("RYMKSWHBVDrymkswhbvd", "N" * 10 + "n" * 10),
+    "no_x": ("Xx", "Nn"),
+}
+
+
+def converted(seq: Column, *names: str, gap: str | None = None, replace: tuple[str, str] | None = None) -> Column:
+    """The named conversions in turn; `gap` first replaces all gap symbols, `replace` is (from, to), where a single `to` stands for all."""
+    pairs = [replace] if replace else []
+    pairs += [("-_.", gap)] if gap else []
+    for old, new in pairs + [CONVERSIONS[n] for n in names]:
+        if len(new) not in (1, len(old)):
+            raise ValueError("as many new symbols as old ones are needed, or one")
+        seq = F.translate(seq, old, new * len(old) if len(new) == 1 else new)
+    return seq
+
+
+def reversed_structure(marks: Column) -> Column:
+    """The brackets of the other strand: reversed, with openings and closings exchanged, letters too."""
+    swap = F.translate(marks, "<>()[]{}" + UPPER + LOWER, "><)(][}{" + LOWER + UPPER)
+    return F.reverse(swap)
+
+
 def mask_range(seq: Column, start: int, end: int, symbol: str = "X", *, invert: bool = False) -> Column:
     """Letters at 1-based places start..end become `symbol`; with `invert` those outside."""
     inside = F.substring(seq, start, end - start + 1)

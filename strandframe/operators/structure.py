@@ -102,3 +102,34 @@ def mutual_information(counts: DataFrame) -> DataFrame:
     joined = both.join(one("a", "_a"), by).join(one("b", "_b"), by)
     n: Column = F.col("n")
     return joined.select(*by, "n", ((F.col("_ab") - F.col("_a") - F.col("_b")) / n + F.log2(n)).alias("mi"))
+
+
+def pair_support(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(aln, i, j, n, share): in how many rows' own structures each pair stands. `pairs` is (aln, key, i, j), `rows` one row per row of the alignments (aln, ...)."""
+    sizes = rows.groupBy("aln").agg(F.count("*").alias("_all"))
+    return pairs.groupBy("aln", "i", "j").agg(F.count("*").alias("n")).join(sizes, "aln").select("aln", "i", "j", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def _ends(support: DataFrame) -> DataFrame:
+    return support.select("aln", "n", "share", F.explode(F.array(F.struct(F.col("i").alias("col"), F.col("j").alias("to")), F.struct(F.col("j").alias("col"), F.col("i").alias("to")))).alias("_e")).select("aln", "n", "share", "_e.*")
+
+
+def conflicts(support: DataFrame) -> DataFrame:
+    """(aln, col, n_partners) of columns that pair with more than one other."""
+    return _ends(support).groupBy("aln", "col").agg(F.count("*").alias("n_partners")).where("n_partners > 1")
+
+
+def least_share(support: DataFrame) -> DataFrame:
+    """(aln, share): the pairs of more than this share conflict nowhere, and no lower share does that: the second greatest share of any column, or 0."""
+    two = _ends(support).groupBy("aln", "col").agg(F.slice(F.sort_array(F.collect_list("share"), asc=False), 2, 1).alias("_s"))  # a column has at most as many partners as there are columns
+    return two.groupBy("aln").agg(F.coalesce(F.max(F.get("_s", F.lit(0))), F.lit(0.0)).alias("share"))
+
+
+def consistent_pairs(support: DataFrame, share: float | None = None) -> DataFrame:
+    """(aln, i, j, n, share) of a structure that all rows agree on: pairs of more than `share` of the rows (by default the least share that works) whose columns have no other such partner."""
+    if share is None:
+        chosen = support.join(least_share(support).withColumnRenamed("share", "_least"), "aln").where("share > _least").drop("_least")
+    else:
+        chosen = support.where(F.col("share") > share)
+    bad = conflicts(chosen).select("aln", "col")
+    return chosen.join(bad.withColumnRenamed("col", "i"), ["aln", "i"], "left_anti").join(bad.withColumnRenamed("col", "j"), ["aln", "j"], "left_anti").select("aln", "i", "j", "n", "share")

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions import codecs, distributions, storage, symbols
-from strandframe.operators import alignment, annotation, columns, editing, fits, models, numeric, pairwise, scoring, sequence, splitting, structure, trees
+from strandframe.functions import codecs, distributions, storage, symbols, vectors
+from strandframe.operators import alignment, annotation, columns, editing, fits, generation, models, numeric, pairwise, scoring, sequence, splitting, structure, trees
 from strandframe.sources import packed, reports, sequences
 from strandframe.streaming import events as streams
 
@@ -603,3 +603,46 @@ def q75_without_empty_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q76_rows_not_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = _t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     return editing.by_names(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), listed, "o_custkey", keep=False)
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), z AS (SELECT *, list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) AS z FROM v), p AS (SELECT *, list_transform(v, lambda x: exp(x - z)) AS p FROM z)
+SELECT vec_id, round(list_sum(v), 5) AS total, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm, list_position(v, list_max(v))::BIGINT AS arg_max, list_position(v, list_min(v))::BIGINT AS arg_min, round(z, 5) AS log_sum_exp, round(-list_sum(list_transform(p, lambda x: x * log2(x))), 5) AS entropy, round(list_sum(list_transform(p, lambda x: x * log2(x * len(p)))), 5) AS rel_entropy FROM p""")
+def q77_vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = F.col("v")
+    p = df.withColumns({"p": vectors.log_normalised(v), "even": F.transform(v, lambda x: F.lit(1.0) / F.size(v))})
+    out = p.select("vec_id", vectors.total(v).alias("total"), vectors.norm(v).alias("norm"), vectors.arg_max(v).cast("long").alias("arg_max"), vectors.arg_min(v).cast("long").alias("arg_min"), vectors.log_sum_exp(v).alias("log_sum_exp"), vectors.entropy(F.col("p")).alias("entropy"), vectors.relative_entropy(F.col("p"), F.col("even")).alias("rel_entropy"))
+    return _r(out, 5, "total", "norm", "log_sum_exp", "entropy", "rel_entropy")
+
+
+@query("SELECT p_partkey, replace(replace(translate(p_name, 'Uu', 'Tt'), '-', '.'), '_', '.') AS dna, translate(translate(upper(p_name), 'RYMKSWHBVD', 'NNNNNNNNNN'), 'X', 'N') AS plain, translate(p_name, 'aeiou', '*****') AS vowels FROM part")
+def q78_symbol_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    return _t(spark, sf_dir, "part").select("p_partkey", symbols.converted(name, "dna", gap=".").alias("dna"), symbols.converted(name, "upper", "no_degenerate", "no_x").alias("plain"), symbols.converted(name, replace=("aeiou", "*")).alias("vowels"))
+
+
+#: Four structures over twelve columns, by part size.
+_SHAPES = ("<<<<....>>>>", "<<<.....>>>.", ".<<<....>>>.", "............")
+_SHAPES_SQL = "WITH r AS (SELECT p_brand AS aln, p_partkey AS key, p_size % 4 AS k FROM part), s AS (SELECT * FROM (VALUES (0, 1, 12), (0, 2, 11), (0, 3, 10), (0, 4, 9), (1, 1, 11), (1, 2, 10), (1, 3, 9), (2, 2, 11), (2, 3, 10), (2, 4, 9)) t(k, i, j)), n AS (SELECT aln, i, j, count(*) AS n FROM r JOIN s USING (k) GROUP BY ALL), u AS (SELECT aln, i, j, n, n / c::DOUBLE AS share FROM n JOIN (SELECT aln, count(*) AS c FROM r GROUP BY 1) USING (aln)), e AS (SELECT aln, i AS col, share FROM u UNION ALL SELECT aln, j, share FROM u), b AS (SELECT aln, max(share) AS least FROM (SELECT aln, share FROM e QUALIFY row_number() OVER (PARTITION BY aln, col ORDER BY share DESC) = 2) GROUP BY 1)"
+
+
+def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = F.element_at(F.array(*[F.lit(s) for s in _SHAPES]), F.col("p_size") % 4 + 1)
+    rows = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("aln"), F.col("p_partkey").alias("key"), shape.alias("s"))
+    pairs = structure.pair_table(rows.withColumn("k", F.struct("aln", "key")), "k", "s").select("k.*", "i", "j")
+    return structure.pair_support(pairs, rows)
+
+
+@query(_SHAPES_SQL + " SELECT aln, i, j, n, round(share, 6) AS share FROM u LEFT JOIN b USING (aln) WHERE share > coalesce(least, 0)")
+def q79_consistent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(structure.consistent_pairs(_support(spark, sf_dir)), 6, "share")
+
+
+@query(_SHAPES_SQL + " SELECT aln, col, count(*) AS n_partners FROM e GROUP BY aln, col HAVING count(*) > 1")
+def q80_pair_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.conflicts(_support(spark, sf_dir))
+
+
+@query(None)
+def q81_random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generation.independent(spark, 100, 60, {"A": 1, "C": 2, "G": 2, "T": 1}, seed=7).unionByName(generation.chained(spark, 100, 60, {"A": 1, "C": 1}, {"A": {"C": 3, "A": 1}, "C": {"A": 1}}, seed=7))

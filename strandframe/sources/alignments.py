@@ -252,3 +252,30 @@ def to_text(rows: DataFrame, form: str, *, aln: str = "aln", key: str = "seqidx"
 
     part = rows.selectExpr(f"`{aln}` AS _a", f"`{key}` AS _k", f"cast(`{name}` AS string) AS _n", f"`{aseq}` AS _s")
     return part.groupBy("_a").applyInPandas(run, f"aln {part.schema['_a'].dataType.simpleString()}, value string")
+
+
+def render_annotated(rows: Rows, notes: Sequence[tuple[str, str | None, str, str]]) -> str:
+    """Stockholm text, one line per row, with notes (kind GF/GS/GC/GR, name, tag, value): GF and GS before the rows, GR below its row, GC last."""
+    pad = max([len(n) for n, _ in rows] + [len(f"#=GR {n or ''} {t}") for k, n, t, _ in notes if k in ("GC", "GR")]) + 1
+    out = ["# STOCKHOLM 1.0", ""]
+    for want in ("GF", "GS"):
+        out += [" ".join(filter(None, (f"#={k}", n, t, part))) for k, n, t, v in notes if k == want for part in v.split("\n")]
+    out.append("")
+    for name, s in rows:
+        out.append(name.ljust(pad) + s)
+        out += [f"#=GR {n} {t}".ljust(pad) + v for k, n, t, v in notes if k == "GR" and n == name]
+    out += [f"#=GC {t}".ljust(pad) + v for k, _, t, v in notes if k == "GC"]
+    return "\n".join(out) + "\n//\n"
+
+
+def to_annotated(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """(aln, value) of rows (aln, seqidx, name, aseq) and notes (aln, kind, name, tag, value): a text is one alignment, so one task holds it. Alignments without rows give no text."""
+
+    def run(r: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
+        if r.empty:
+            return pd.DataFrame({"aln": r["aln"], "value": r["aseq"]})
+        r, n = r.sort_values("seqidx"), n.sort_values(["kind", "tag"], kind="stable")
+        marks = [(k, None if pd.isna(m) else m, t, v) for k, m, t, v in zip(n["kind"], n["name"], n["tag"], n["value"])]
+        return pd.DataFrame({"aln": [r["aln"].iloc[0]], "value": [render_annotated(list(zip(r["name"], r["aseq"])), marks)]})
+
+    return rows.groupBy("aln").cogroup(notes.groupBy("aln")).applyInPandas(run, f"aln {dict(rows.dtypes)['aln']}, value string")
