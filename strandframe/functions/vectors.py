@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: used inside a lambda as it is, it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
@@ -45,21 +52,23 @@ def arg_min(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Divided by the sum; a sum of zero gives equal shares."""
-    s = _sum(v)
-    return F.transform(v, lambda x: F.when(s != 0, x.cast("double") / s).otherwise(F.lit(1.0) / F.size(v)))
+    return _once(_sum(v), lambda s: F.transform(v, lambda x: F.when(s != 0, x.cast("double") / s).otherwise(F.lit(1.0) / F.size(v))))
 
 
 def log_sum_exp(v: Column) -> Column:
     """ln of the sum of exponentials, without overflow; -inf for an empty vector."""
-    top = F.array_max(v).cast("double")
     lowest = F.lit(float("-inf"))
-    return F.when(top.isNull() | (top == lowest), F.when(v.isNotNull(), lowest)).otherwise(top + F.log(_sum(F.transform(v, lambda x: F.exp(x.cast("double") - top)))))
+
+    def shifted(top: Column) -> Column:
+        terms = F.transform(v, lambda x: F.exp(x.cast("double") - top))
+        return F.when(top.isNull() | (top == lowest), F.when(v.isNotNull(), lowest)).otherwise(top + F.log(_sum(terms)))
+
+    return _once(F.array_max(v).cast("double"), shifted)
 
 
 def log_normalised(v: Column) -> Column:
     """Probabilities of log weights."""
-    z = log_sum_exp(v)
-    return F.transform(v, lambda x: F.exp(x.cast("double") - z))
+    return _once(log_sum_exp(v), lambda z: F.transform(v, lambda x: F.exp(x.cast("double") - z)))
 
 
 def entropy(p: Column) -> Column:
