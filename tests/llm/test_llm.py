@@ -172,6 +172,29 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.decontaminate(rows, bench.limit(0)).where("contaminated").isEmpty()
 
 
+def test_decontamination_meets_every_pattern_at_80_percent(spark):
+    from itertools import combinations
+
+    docs, bench = [], []
+    for n in (*range(5, 16), 20, 36, 200):
+        item = [f"i{n}w{p}" for p in range(n)]
+        bench.append((n, " ".join(item)))
+        rng = random.Random(n)
+        every = list(combinations(range(n), n // 5)) if n < 15 else [tuple(range(4, n, 5)), *(tuple(rng.sample(range(n), n // 5)) for _ in range(60))]
+        if n == 36:
+            every.append((4, 5, 10, 11))
+        for lost in every:
+            docs.append((n * 1000 + len(docs), n, " ".join(["front"] + ["zz" if p in lost else w for p, w in enumerate(item)] + ["back"])))
+        docs.append((n * 1000 + len(docs), None, " ".join("zz" if p <= n // 5 else w for p, w in enumerate(item))))  # one word short of 80 %
+    rows = spark.createDataFrame(docs, "doc_id long, want long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    want = {d: [] if w is None else [w] for d, w, _ in docs}
+    for least in (decontam.BROADCAST_WORDS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decontam, "BROADCAST_WORDS", least)
+            assert {r.doc_id: list(r.item_ids) for r in decontam.decontaminate(rows, items).collect()} == want
+
+
 def brute(fps):
     fps, root = sorted(set(fps)), {}
     for x in fps:
