@@ -24,8 +24,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-#: Credential contexts of the added spans: a name, a sign, and a value up to a space or quote.
-CONTEXT = re.compile(r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|auth|secret)[_-]?key|auth(?:orization)?|credentials?|bearer)["']?\x20*(?::|=>|=|\bis\b)\x20*["']?([^\s"'<>(){}\[\],;]{6,})""", re.IGNORECASE | re.ASCII)
+#: Credential contexts of the added spans: a name and a sign. A scheme before the value belongs to the context.
+CONTEXT = re.compile(r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|auth|secret)[_-]?key|auth(?:orization)?|credentials?|bearer)["']?\x20*(?::|=>|=|\bis\b)\x20*""", re.IGNORECASE | re.ASCII)
+SCHEME = re.compile(r"(?:bearer|basic|digest|token)\x20+", re.IGNORECASE)
+#: What follows: up to the closing quote on the line, or without one up to a space, quote, bracket, comma or semicolon.
+QUOTED = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*(?={q})") for q in "\"'"}
+UNQUOTED = re.compile(r"""[^\s"'<>(){}\[\],;]*""")
+GUESS_LEAST = 6
 CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "token", "key", "auth", "credential", "bearer")
 
 #: log10 of the guesses from which a value counts as a secret.
@@ -140,22 +145,40 @@ class Scanner:
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
     def added(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Values in credential contexts that no fixed pattern touches and that are dear to guess."""
+        """Values in credential contexts that are dear to guess and that the fixed patterns do not cover. What lies within a value that was judged is not judged again."""
         low = text.lower()
         if not any(w in low for w in CONTEXT_WORDS):
             return []
-        out, k = [], 0
+        out, k, judged, run = [], 0, 0, 0
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            while b > a and text[b - 1] in ".:!?":
-                b -= 1
+            a, quoted = m.end(), None
+            if scheme := SCHEME.match(text, a):
+                a = scheme.end()
+            if quotes := QUOTED.get(text[a : a + 1]):
+                a += 1
+                quoted = quotes.match(text, a)
+                if scheme := SCHEME.match(text, a):
+                    a = scheme.end()
+            if quoted:
+                b = quoted.end()
+            else:
+                if run <= a:  # a run is looked through once, however many names it holds
+                    run = UNQUOTED.match(text, a).end()
+                b = run
+                while b > a and text[b - 1] in ".:!?":
+                    b -= 1
+            if b - a < GUESS_LEAST or b <= judged:
+                continue
             while k < len(base) and base[k][1] <= a:
                 k += 1
-            i, free = k, b - a >= 6
-            while free and i < len(base) and base[i][0] < b:
-                free = base[i][1] <= a
+            i, covered = k, a
+            while covered < b and i < len(base) and base[i][0] <= covered:
+                covered = max(covered, base[i][1])
                 i += 1
-            if free and self.cost(text[a:b]) >= self.least:
+            if covered >= b:
+                continue
+            judged = b
+            if self.cost(text[a:b]) >= self.least:
                 out.append((a, b, "guess"))
         return out
 

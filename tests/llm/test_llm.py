@@ -100,6 +100,23 @@ def test_secrets(odd, spark):
     assert text.startswith("[SECRET] ")
 
 
+def test_secrets_are_whole_values():
+    scan = secrets.Scanner()
+
+    def guessed(text):
+        return [text[s:e] for s, e, k in scan.spans(text)[1] if k == "guess"]
+
+    assert guessed('password = "correct horse battery staple" x') == ["correct horse battery staple"]
+    assert guessed("db_pass = 'xK9(mQ2$vL7pZ'") == ["xK9(mQ2$vL7pZ"]
+    assert guessed('pwd = "xK9\\"mQ2$ vL7pZ" x') == ['xK9\\"mQ2$ vL7pZ']
+    assert guessed("Authorization: Bearer xK9#mQ2$vL7pZ.") == guessed('"Authorization": "Bearer xK9#mQ2$vL7pZ"') == guessed("auth: Bearer 'xK9#mQ2$vL7pZ'") == guessed("password: secret: xK9#mQ2$vL7pZ") == ["xK9#mQ2$vL7pZ"]
+    assert guessed('pwd: "xK9#mQ2$vL7pZ and more') == ["xK9#mQ2$vL7pZ"]  # never closed
+    text = 'password = "Abcdefgh1234#Secret!tail" x'
+    assert guessed(text) == ["Abcdefgh1234#Secret!tail"] and secrets.redacted(text, scan.spans(text)[1]) == '[SECRET]" x'
+    assert guessed('password = "hello my love" token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == []
+    assert guessed("key=" * 50_000 + "secret=" * 50_000) == []
+
+
 def test_chat_round_trip(spark):
     texts = [r"\### Assistant: </turn> ok", "<turn>\\<|image:0|>", "", None, "a\\", "### \n"]
     rows = [(1, i, "assistant" if i % 2 else "user\n<turn>", t) for i, t in enumerate(texts)]
