@@ -12,6 +12,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame
 
@@ -96,10 +97,10 @@ class LicenseScanner:
         self.least = least_coverage
         self.words = {name: [w for w, *_ in words_of(t)] for name, t in templates.items()}
         held = Counter(w for ws in self.words.values() for w in set(ws))
-        #: The words of a template that the fewest templates hold; of these the longest comes first. With coverage c, at least one of n(1-c)+1 words must stand in the text.
+        #: The words of a template that the fewest templates hold; of these the longest comes first. With coverage c at most n - ceil(cn) words may miss, so of one word more at least one must stand in the text.
         self.telling: dict[str, list[str]] = {}
         for name, ws in self.words.items():
-            need = int(len(ws) * (1 - least_coverage)) + 1
+            need = len(ws) - ceil(least_coverage * len(ws) - 1e-9) + 1
             self.telling[name] = sorted(set(ws), key=lambda w: (held[w], -len(w), w))[:need]
         self.by_word: dict[str, list[str]] = {}
         for name, ws in self.telling.items():
@@ -123,7 +124,7 @@ class LicenseScanner:
                 size = len(template) + max(2, len(template) // 4)
                 low = max(done.get(name, 0), i - size)
                 match = align(words[low : i + size], template)
-                if len(match) >= self.least * len(template):
+                if len(match) >= self.least * len(template) - 1e-9:
                     first, last = low + match[0][0], low + match[-1][0]
                     if last - first < 2 * len(template):
                         found.append((Match(name, len(match) / len(template), tokens[first][1], tokens[last][2]), len(template)))

@@ -164,6 +164,12 @@ def test_licenses(odd):
     assert licenses.scan_licenses(odd).count() == odd.count()
 
 
+def test_licenses_with_one_of_five_words_replaced():
+    scan = licenses.LicenseScanner()
+    for text in ("Distributed under the MIT License", "Licensed under the MIT License", "It is available under the MIT License now"):
+        assert [(m.license, m.coverage) for m in scan.scan(text)] == [("MIT", 0.8)]
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
