@@ -2,7 +2,8 @@
 
 In a window around a telling word of a template, words that stand once in the window and once in the
 template are anchors; the longest increasing run of anchors is kept, and the gaps between them are
-aligned the same way. The share of the template's words that are aligned is its coverage.
+aligned the same way. As a window may hold more than one copy, the telling word is also taken as the
+anchor, between its neighbouring occurrences. The share of the template's words that are aligned is its coverage.
 """
 
 from __future__ import annotations
@@ -108,27 +109,52 @@ class LicenseScanner:
                 self.by_word.setdefault(w, []).append(name)
         self.hint = re.compile("|".join(sorted(map(re.escape, self.by_word), key=len, reverse=True)) or r"(?!)")
 
+    def _aligned(self, words: Sequence[str], name: str, i: int, low: int, at: Mapping[str, list[int]]) -> list[tuple[int, int]]:
+        """Places of the text and of the template that are aligned, the trigger at place i among them; empty if they are too few. A window may hold copies of the notice, so it is also cut where the trigger stands more often than in one copy."""
+        template, w = self.words[name], words[i]
+        size = len(template) + max(2, len(template) // 4)
+        low, high = max(low, i - size), min(len(words), i + size)
+        least = self.least * len(template) - 1e-9
+        held = set(words[low:high])
+        if sum(t in held for t in template) < least:
+            return []
+        places, k = at[w], bisect_left(at[w], i)
+        own = [j for j, t in enumerate(template) if t == w]
+        tries = []
+        whole = [(low + x, y) for x, y in align(words[low:high], template)]
+        if any(x == i for x, _ in whole):
+            tries.append(whole)
+        for t, j in enumerate(own):
+            before, after = k - t - 1, k + len(own) - t
+            first = max(low, places[before] + 1) if before >= 0 else low
+            last = min(high, places[after]) if after < len(places) else high
+            left = [(first + x, y) for x, y in align(words[first:i], template[:j])]
+            right = [(i + 1 + x, j + 1 + y) for x, y in align(words[i + 1 : last], template[j + 1 :])]
+            tries.append([*left, (i, j), *right])
+        tries = [m for m in tries if len(m) >= least and m[-1][0] - m[0][0] < 2 * len(template)]
+        return max(tries, key=lambda m: (len(m), m[0][0] - m[-1][0]), default=[])
+
     def scan(self, text: str | None) -> list[Match]:
         """All matches by start; of overlapping ones the one with the highest coverage, then the longest template."""
         if not text or not self.hint.search(text.lower()):
             return []
         tokens = words_of(text)
         words = [t[0] for t in tokens]
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.by_word:
+                at.setdefault(w, []).append(i)
         done: dict[str, int] = {}
         found: list[tuple[Match, int]] = []
-        for i, w in enumerate(words):
-            for name in self.by_word.get(w, ()):
+        for i in sorted(i for places in at.values() for i in places):
+            for name in self.by_word[words[i]]:
                 if i < done.get(name, 0):
                     continue
-                template = self.words[name]
-                size = len(template) + max(2, len(template) // 4)
-                low = max(done.get(name, 0), i - size)
-                match = align(words[low : i + size], template)
-                if len(match) >= self.least * len(template) - 1e-9:
-                    first, last = low + match[0][0], low + match[-1][0]
-                    if last - first < 2 * len(template):
-                        found.append((Match(name, len(match) / len(template), tokens[first][1], tokens[last][2]), len(template)))
-                        done[name] = last + 1
+                match = self._aligned(words, name, i, done.get(name, 0), at)
+                if match:
+                    first, last = match[0][0], match[-1][0]
+                    found.append((Match(name, len(match) / len(self.words[name]), tokens[first][1], tokens[last][2]), len(self.words[name])))
+                    done[name] = last + 1
         out: list[Match] = []
         for m, _ in sorted(found, key=lambda x: (-x[0].coverage, -x[1], x[0].start, x[0].license)):
             if all(m.end <= o.start or o.end <= m.start for o in out):

@@ -170,6 +170,17 @@ def test_licenses_with_one_of_five_words_replaced():
         assert [(m.license, m.coverage) for m in scan.scan(text)] == [("MIT", 0.8)]
 
 
+def test_repeated_license_notices_are_all_found():
+    scan = licenses.LicenseScanner()
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-SA-4.0", "MPL-2.0"):
+        notice = licenses.TEMPLATES[name] if isinstance(licenses.TEMPLATES[name], str) else licenses.TEMPLATES[name][0]
+        for n in (1, 2, 3, 5):
+            text = "Some prose before it. " + " ".join([notice] * n) + " Some prose behind it."
+            found = scan.scan(text)
+            assert [m.license for m in found] == [name] * n
+            assert [text[m.start : m.end] for m in found] == [notice.rstrip(".")] * n
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
