@@ -181,6 +181,22 @@ def test_repeated_license_notices_are_all_found():
             assert [text[m.start : m.end] for m in found] == [notice.rstrip(".")] * n
 
 
+def test_license_texts_and_headers():
+    scan = licenses.LicenseScanner()
+
+    def best(text):
+        found = scan.scan(text)
+        return [m.license for m in found]
+
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            assert best(f"Copyright 2020 by some people. {t} And so on.") == [name], (name, t)
+    assert best("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version.") == ["GPL-3.0"]
+    two = licenses.TEMPLATES["BSD-2-Clause"][0].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR").replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "AUTHOR")
+    assert best(two) == ["BSD-2-Clause"]
+    assert best(f"{two} {licenses.TEMPLATES['MIT'][1]} {licenses.TEMPLATES['MIT'][1]}") == ["BSD-2-Clause", "MIT", "MIT"]
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
