@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import checkpoint, per_text
+from strandframe.llm.common import bound_batches, checkpoint, per_text, text_udf
 from strandframe.llm.components import components
 
 SEED = 42
@@ -50,16 +50,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp, the fingerprint as a signed long, for each row."""
+def _fingerprint_texts() -> Callable[[Sequence[str | None]], dict[str, list]]:
+    def work(texts: Sequence[str | None]) -> dict[str, list]:
+        return {"fp": [x - (1 << 64) if x >> 63 else x for x in map(fingerprint, texts)]}
+
+    return work
 
-    def make() -> Callable:
-        def work(texts: Sequence[str | None]) -> dict[str, list]:
-            return {"fp": [x - (1 << 64) if x >> 63 else x for x in map(fingerprint, texts)]}
 
-        return work
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fp, the fingerprint as a signed long, for each row."""
 
-    return per_text(docs, make, "fp long", id_col=id_col, text_col=text_col)
+    return per_text(docs, _fingerprint_texts, "fp long", id_col=id_col, text_col=text_col)
 
 
 def _half(fp: Column, half: int) -> Column:
@@ -108,13 +109,8 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, fingerprint (16 hex digits), component_id (the smallest id that can be reached over links, itself included).
-
-    Null, empty and blank texts have fingerprint zero and are linked like any other. Rows without an
-    id are fingerprinted but never name a component; a component of such rows only has a null id.
-    Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
-    """
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of `docs`: id, fp, root (a fingerprint that only this component has), component_id."""
     # a third of all rows may share a fingerprint: its rows are dealt over SALTS places, and each place is named once
     salt = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
     marked = checkpoint(fingerprints(docs, id_col=id_col, text_col=text_col).withColumn("_salt", salt))
@@ -123,27 +119,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = links(classes.select("fp"))
     roots = components(edges)
     rooted = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    named = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
     named = places.select("fp", "_salt").join(named, "fp")
-    return marked.join(named, ["fp", "_salt"]).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(named, ["fp", "_salt"]).select(id_col, "fp", "root", "component_id")
+
+
+def _hex(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id, fingerprint (16 hex digits), component_id (the smallest id that can be reached over links, itself included).
+
+    Null, empty and blank texts have fingerprint zero and are linked like any other. Rows without an
+    id are fingerprinted but never name a component; a component of such rows only has a null id.
+    Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty result.
+    """
+    return _named(docs, id_col, text_col).select(id_col, _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that name their component: one of each group of near-duplicates.
 
-    Of rows that repeat an id one stays, the first by text. Rows without an id stay only where the
+    Of rows that repeat an id one stays for each group that the id names, the first by text. Rows without an id stay only where the
     whole group has none.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    found = _named(docs, id_col, text_col)
     gone = checkpoint(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     named = F.col(id_col).isNotNull()
     # a row without an id can name a group only if no row of the group has an id
-    nameless = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fingerprint").distinct().limit(1)
+    nameless = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fp").distinct().limit(1)
     kept = docs.where(named).join(gone, id_col, "left_anti")
     again = checkpoint(docs.where(named).groupBy(id_col).count().where("count > 1").select(id_col))
     if not again.isEmpty():
-        kept = kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").orderBy(text_col).dropDuplicates([id_col]).select(*docs.columns))
+        # the rows of one id may lie in several groups, so the verdict on them goes by id and fingerprint
+        bound_batches(docs.sparkSession)
+        own = text_udf(_fingerprint_texts, "fp long")(F.col(text_col))["fp"]
+        rows = docs.where(named).join(again, id_col, "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), own.alias("fp"))
+        naming = found.join(again, id_col, "left_semi").where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id"), "fp", "root").distinct()
+        text = F.col("_row").getField(text_col)
+        first = rows.join(naming, ["_id", "fp"]).groupBy("_id", "root").agg(F.min_by("_row", F.struct(text.isNotNull(), text)).alias("_row"))
+        kept = kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(first.select("_row.*"))
     if not nameless.isEmpty():
         kept = kept.select(*docs.columns).unionByName(docs.where(~named).dropDuplicates([text_col]))
     return kept.select(*docs.columns)

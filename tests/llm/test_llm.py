@@ -276,6 +276,13 @@ def test_simhash_against_brute_force(odd, docs):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_repeated_ids_lose_no_group(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (5, c), (6, c), (7, None), (7, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "-") for r in kept) == [(3, a), (5, b), (5, c), (7, "-")]
+
+
 def test_dense_groups_take_the_star_path(spark):
     rng = random.Random(9)
     fps = set()
