@@ -1,13 +1,16 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints within three bits agree up to one bit in one 32-bit half. So for each half every
-fingerprint emits its own value and all variants within half the radius (one bit, rounded down);
-the shuffle on (half, variant) brings the two together. What happens in a bucket depends on its size
-only, never on the result: with few members the pairs are made and verified. Where that would be
-more work than hashing, the same idea is applied to the other half: members emit the variants of the
-other half within the part of the radius that is left to them, split in two, and whoever meets is
-within three bits by construction, so a star to the least member carries all links without making
-pairs. Equal fingerprints are one node throughout.
+Of two fingerprints within three bits at least one differing bit lies in some third of the 64 places,
+so with that third left out two remain at most: each of the two is then within half the radius (one
+bit) of a common variant. So for each third every fingerprint emits the rest of itself and all its
+one-bit variants, 42 or 43 bits a key; the shuffle on the keys brings the two together, and pairs are
+verified over all 64 bits. Keys that wide stay apart at 10^10 fingerprints and more.
+
+A key that more than MANY fingerprints share would make too many pairs. Its members emit the whole
+ball instead: their 64-bit variants within one bit, marked, and with two bits. Who meets a marked
+member is within three bits of it by construction, and any two within three bits meet where one of
+them is marked; so stars to the least marked member carry all links without making pairs. Equal
+fingerprints are one node throughout.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from strandframe.llm.components import components
 
 SEED = 42
 RADIUS = 3
-HALF_BITS = 32
+#: (first place, places) of the thirds that are left out in turn.
+THIRDS = ((0, 21), (21, 21), (42, 22))
+#: Keys with more fingerprints than this are linked by balls and not by pairs.
+MANY = 128
 #: The rows of one fingerprint are dealt over so many tasks when they are named.
 SALTS = 64
-#: Variants of the other half: within one bit, and with exactly two bits.
-_STRONG = HALF_BITS + 1
-_WEAK = HALF_BITS * (HALF_BITS - 1) // 2
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -52,7 +55,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def _fingerprint_texts() -> Callable[[Sequence[str | None]], dict[str, list]]:
     def work(texts: Sequence[str | None]) -> dict[str, list]:
-        return {"fp": [x - (1 << 64) if x >> 63 else x for x in map(fingerprint, texts)]}
+        return {"fp": [_signed(x) for x in map(fingerprint, texts)]}
 
     return work
 
@@ -63,49 +66,48 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return per_text(docs, _fingerprint_texts, "fp long", id_col=id_col, text_col=text_col)
 
 
-def _half(fp: Column, half: int) -> Column:
-    return (F.shiftrightunsigned(fp, 32) if half else fp).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def _masks(bits: Sequence[int], shift: int = 0) -> Column:
-    return F.array(*[F.lit(b << shift) for b in bits])
-
-
-def _variants(rows: DataFrame, of: Column, bits: Sequence[int], name: str) -> DataFrame:
-    """Each row once for each mask, with the masked value as column `name`."""
-    masked = rows.withColumn("_of", of).withColumn("_mask", F.explode(_masks(bits)))
-    return masked.withColumn(name, F.col("_of").bitwiseXOR(F.col("_mask"))).drop("_of", "_mask")
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between different fingerprints of `fps(fp)` with all links' components; each edge is within RADIUS bits."""
-    one = [1 << i for i in range(HALF_BITS)]
-    two = [1 << i | 1 << j for i in range(HALF_BITS) for j in range(i)]
-    fp = F.col("fp")
-    own = fps.select(fp, F.explode(F.array(*[F.struct(F.lit(h).alias("half"), _half(fp, h).alias("v")) for h in (0, 1)])).alias("k")).select("fp", "k.half", "k.v")
-    # buckets are the values that some fingerprint has itself; variants that meet none are dropped in the join
-    buckets = own.groupBy("half", "v").agg(F.count("*").alias("n_own"))
-    near = _variants(own, F.col("v"), one, "v").join(buckets, ["half", "v"]).select("fp", "half", "v", F.lit(1).alias("off"))
-    near = checkpoint(near)
-    met = near.groupBy("half", "v").agg(F.count("*").alias("n_near"))
-    sizes = buckets.join(met, ["half", "v"], "left").select("half", "v", "n_own", F.coalesce("n_near", F.lit(0)).alias("n_near")).where("n_own + n_near > 1")
-    n_own, n_near = F.col("n_own"), F.col("n_near")
-    sizes = sizes.withColumn("many", n_own * (n_own + n_near) > n_own * F.lit(_STRONG + _WEAK) + n_near * F.lit(_STRONG))
-    members = own.withColumn("off", F.lit(0)).unionByName(near).join(sizes.select("half", "v", "many"), ["half", "v"])
-    members = checkpoint(members)
-    few, many = members.where("NOT many"), members.where("many")
-
-    x = few.where("off = 0").select("half", "v", F.col("fp").alias("a"))
-    y = few.select("half", "v", F.col("fp").alias("b"), "off")
-    pairs = x.join(y, ["half", "v"]).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, RADIUS)).select("a", "b")
-
-    rest = F.when(F.col("half") == 0, _half(fp, 1)).otherwise(_half(fp, 0))
-    strong = _variants(many.where("off = 0"), rest, [0, *one], "w").select("half", "v", "fp", "w", F.lit(True).alias("strong"))
-    weak = _variants(many.where("off = 0"), rest, two, "w").select("half", "v", "fp", "w", F.lit(False).alias("strong"))
-    probe = _variants(many.where("off = 1"), rest, [0, *one], "w").select("half", "v", "fp", "w", F.lit(False).alias("strong"))
-    balls = strong.unionByName(weak).unionByName(probe)
-    centres = balls.groupBy("half", "v", "w").agg(F.min(F.when(F.col("strong"), fp)).alias("a"), F.count("*").alias("n")).where("a IS NOT NULL AND n > 1").drop("n")
-    stars = balls.join(centres, ["half", "v", "w"]).where("fp <> a").select("a", F.col("fp").alias("b"))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _keys() -> list[tuple[int, int]]:
+    """(kept places, flipped places) of every key: without a third, the rest and its one-bit variants. The third's own places hold its number."""
+    out = []
+    for k, (first, n) in enumerate(THIRDS):
+        left_out = ((1 << n) - 1) << first
+        rest = [0, *(1 << i for i in range(64) if not left_out >> i & 1)]
+        out += [(~left_out & ((1 << 64) - 1), x | k << first) for x in rest]
+    return out
+
+
+def _flipped(rows: DataFrame, masks: Sequence[tuple[int, int]], name: str, *more: Column) -> DataFrame:
+    """fp, `name` (the places kept, then flipped) and `more`, once for each mask."""
+    array = F.array(*[F.struct(F.lit(_signed(k)).alias("k"), F.lit(_signed(x)).alias("x")) for k, x in masks])
+    return rows.select("fp", *more, F.explode(array).alias("_m")).select("fp", F.col("fp").bitwiseAND(F.col("_m.k")).bitwiseXOR(F.col("_m.x")).alias(name), *[c for c in rows.columns if c != "fp"])
+
+
+def links(fps: DataFrame, *, many: int = MANY) -> DataFrame:
+    """Edges (a, b) between different fingerprints of `fps(fp)`, which holds each once: all links' components, and each edge is within RADIUS bits."""
+    fp, every = F.col("fp"), (1 << 64) - 1
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+    # one exchange serves the counts and the members
+    keys = _flipped(fps.select("fp"), _keys(), "key").repartition("key")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    members = keys.join(counts.where("n > 2").select("key", "n").hint("shuffle_hash"), "key")
+    lists = members.where(F.col("n") <= many).groupBy("key").agg(F.collect_list("fp").alias("l"))
+    others = lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.lit(many)), lambda y: near(x, y)), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+    pairs = lists.select(F.inline(F.flatten(F.transform("l", others))))
+    pairs = counts.where("n = 2").where(near(F.col("a"), F.col("b"))).select("a", "b").unionByName(pairs)
+    pairs = checkpoint(pairs.distinct())
+
+    dense = checkpoint(members.where(F.col("n") > many).select("fp").distinct())
+    if dense.isEmpty():
+        return pairs
+    one = [(every, 0), *((every, 1 << i) for i in range(64))]
+    two = [(every, 1 << i | 1 << j) for i in range(64) for j in range(i)]
+    balls = _flipped(dense, one, "w").withColumn("marked", F.lit(True)).unionByName(_flipped(dense, two, "w").withColumn("marked", F.lit(False))).repartition("w")
+    centres = balls.groupBy("w").agg(F.min(F.when(F.col("marked"), fp)).alias("a"), F.count("*").alias("n")).where("a IS NOT NULL AND n > 1").drop("n")
+    stars = balls.join(centres.hint("shuffle_hash"), "w").where("fp <> a").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -142,25 +144,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that name their component: one of each group of near-duplicates.
 
-    Of rows that repeat an id one stays for each group that the id names, the first by text. Rows without an id stay only where the
-    whole group has none.
+    Of rows that repeat an id one stays for each group that the id names, the first by text (null
+    first). Rows without an id stay only where no row of the group has one; of these, too, the first
+    by text. An empty table gives an empty result.
     """
     found = _named(docs, id_col, text_col)
-    gone = checkpoint(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    named = F.col(id_col).isNotNull()
-    # a row without an id can name a group only if no row of the group has an id
-    nameless = found.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select("fp").distinct().limit(1)
-    kept = docs.where(named).join(gone, id_col, "left_anti")
-    again = checkpoint(docs.where(named).groupBy(id_col).count().where("count > 1").select(id_col))
+    key = F.col(id_col)
+    gone = checkpoint(found.where(key != F.col("component_id")).select(id_col).distinct())
+    again = checkpoint(docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).select(id_col))
+    kept = docs.where(key.isNotNull()).join(gone, id_col, "left_anti")
     if not again.isEmpty():
-        # the rows of one id may lie in several groups, so the verdict on them goes by id and fingerprint
+        # rows with a repeated id or none may lie in several groups, so the verdict on them goes by id and fingerprint
         bound_batches(docs.sparkSession)
-        own = text_udf(_fingerprint_texts, "fp long")(F.col(text_col))["fp"]
-        rows = docs.where(named).join(again, id_col, "left_semi").select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), own.alias("fp"))
-        naming = found.join(again, id_col, "left_semi").where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id"), "fp", "root").distinct()
-        text = F.col("_row").getField(text_col)
-        first = rows.join(naming, ["_id", "fp"]).groupBy("_id", "root").agg(F.min_by("_row", F.struct(text.isNotNull(), text)).alias("_row"))
+        listed = again.select(key.alias("_id"))
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_id"), F.col(text_col).alias("_text"))
+        rows = rows.join(listed.withColumnRenamed("_id", "_again"), F.col("_id").eqNullSafe(F.col("_again")), "left_semi").select("_row", "_id", "_text", text_udf(_fingerprint_texts, "fp long")(F.col("_text"))["fp"].alias("fp"))
+        naming = found.where(key.eqNullSafe(F.col("component_id"))).select(key.alias("_name"), F.col("fp").alias("_fp"), "root")
+        naming = checkpoint(naming.join(listed, F.col("_name").eqNullSafe(F.col("_id")), "left_semi").distinct())
+        joined = rows.join(naming, F.col("_id").eqNullSafe(F.col("_name")) & (F.col("fp") == F.col("_fp")))
+        first = joined.groupBy("_id", "root").agg(F.min_by("_row", F.struct(F.col("_text").isNotNull(), F.col("_text"))).alias("_row"))
         kept = kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(first.select("_row.*"))
-    if not nameless.isEmpty():
-        kept = kept.select(*docs.columns).unionByName(docs.where(~named).dropDuplicates([text_col]))
     return kept.select(*docs.columns)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, chat, classifier, decontam, langid, licenses, quality, queries, secrets, simhash, tokens
@@ -261,9 +262,25 @@ def brute(fps):
     return {x: find(x) for x in fps}
 
 
+def plain_fingerprint(text):
+    """The fingerprint by its definition: a bit is set if over half of the shingles' hashes have it."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_by_their_definition(docs):
+    texts = [t for t in TEXTS if t != LONG] + ["One two", "É a\x0bb c\x1fd\u00a0e f", "A B C D " * 200, "\ud83d\ude42 x y z".encode("utf-16", "surrogatepass").decode("utf-16")]
+    texts += [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
 def test_simhash_against_brute_force(odd, docs):
     rows = docs.collect()
-    fps = {r.doc_id: simhash.fingerprint(r.text) for r in rows}
+    fps = {r.doc_id: plain_fingerprint(r.text) for r in rows}
     root, first = brute(fps.values()), {}
     for k, v in sorted(fps.items()):
         first.setdefault(root[v], k)
@@ -283,17 +300,34 @@ def test_repeated_ids_lose_no_group(spark):
     assert sorted((r.doc_id, r.text or "-") for r in kept) == [(3, a), (5, b), (5, c), (7, "-")]
 
 
-def test_dense_groups_take_the_star_path(spark):
+def test_rows_without_an_id_go_by_their_group(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, None), (2, ""), (None, c), (4, c), (4, d)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "-") for r in kept) == [(0, b), (1, a), (2, "-"), (4, c), (4, d)]
+    kept = simhash.one_of_each(spark.createDataFrame([(None, a), (None, a), (None, None)], "doc_id long, text string")).collect()
+    assert sorted(r.text or "-" for r in kept) == ["-", a]
+
+
+@pytest.mark.parametrize("many", [2, 8, simhash.MANY])
+def test_dense_and_sparse_keys_give_the_same_groups(spark, many):
     rng = random.Random(9)
     fps = set()
     for centre in (rng.getrandbits(64), rng.getrandbits(64)):
-        for _ in range(700):
+        for _ in range(500):
             x = centre
             for _ in range(rng.randrange(1, 4)):
                 x ^= 1 << rng.randrange(16)
             fps.add(x)
+    for _ in range(400):  # chains of one to three bits anywhere, and neighbours at four bits, which are no links
+        x = rng.getrandbits(64)
+        fps.add(x)
+        for n in (1, 2, 3, 4):
+            for p in rng.sample(range(64), n):
+                x ^= 1 << p
+            fps.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"))
+    edges = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), many=many)
     assert edges.where("bit_count(a ^ b) > 3").isEmpty()
     found = {r.node: r.root for r in components(edges).collect()}
     root, groups, want = brute(fps), {}, {}
