@@ -33,6 +33,9 @@ THIRDS = ((0, 21), (21, 21), (42, 22))
 MANY = 128
 #: The rows of one fingerprint are dealt over so many tasks when they are named.
 SALTS = 64
+#: Components with over LARGE_NODES nodes, and with over one LARGE_ROOTS-th of all linked nodes, are named by a broadcast of at most LARGE_ROOTS rows.
+LARGE_NODES = 1000
+LARGE_ROOTS = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -90,17 +93,18 @@ def links(fps: DataFrame, *, many: int = MANY) -> DataFrame:
     """Edges (a, b) between different fingerprints of `fps(fp)`, which holds each once: all links' components, and each edge is within RADIUS bits."""
     fp, every = F.col("fp"), (1 << 64) - 1
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
-    # one exchange serves the counts and the members
+    edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    # both sides of the join have the same columns below the exchange, so that one exchange serves both
     keys = _flipped(fps.select("fp"), _keys(), "key").repartition("key")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    members = keys.join(counts.where("n > 2").select("key", "n").hint("shuffle_hash"), "key")
-    lists = members.where(F.col("n") <= many).groupBy("key").agg(F.collect_list("fp").alias("l"))
-    others = lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.lit(many)), lambda y: near(x, y)), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
-    pairs = lists.select(F.inline(F.flatten(F.transform("l", others))))
-    pairs = counts.where("n = 2").where(near(F.col("a"), F.col("b"))).select("a", "b").unionByName(pairs)
-    pairs = checkpoint(pairs.distinct())
-
-    dense = checkpoint(members.where(F.col("n") > many).select("fp").distinct())
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    members = keys.join(counts.hint("shuffle_hash"), "key").where(fp >= F.col("least"))
+    # members of a key with many stand alone, the others in one list
+    lists = members.groupBy("key", F.when(F.col("n") > many, fp).alias("alone")).agg(F.collect_list(F.when(F.col("n") <= many, fp)).alias("l"))
+    others = lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.lit(many)), lambda y: near(x, y)), lambda y: edge(F.least(x, y), F.greatest(x, y)))
+    alone = F.array(edge(F.col("alone"), F.lit(None).cast("long")))
+    found = lists.select(F.inline(F.when(F.col("alone").isNotNull(), alone).otherwise(F.flatten(F.transform("l", others)))))
+    found = checkpoint(found.distinct())
+    pairs, dense = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("fp"))
     if dense.isEmpty():
         return pairs
     one = [(every, 0), *((every, 1 << i) for i in range(64))]
@@ -121,7 +125,12 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     edges = links(classes.select("fp"))
     roots = components(edges)
     rooted = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    per = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    # components with more nodes than this are at most LARGE_ROOTS in number; the exchange by root is left to the others
+    large = max(LARGE_NODES, (per.agg(F.sum("n")).first()[0] or 0) // LARGE_ROOTS)
+    named = rooted.join(F.broadcast(per.where(F.col("n") > large).select("root", F.lit(True).alias("_large"), "component_id")), "root", "left")
+    others = named.where("_large IS NULL").select("fp", "root").join(per.where(F.col("n") <= large).select("root", "component_id"), "root")
+    named = named.where("_large").select("fp", "root", "component_id").unionByName(others.select("fp", "root", "component_id"))
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
     named = places.select("fp", "_salt").join(named, "fp")
     return marked.join(named, ["fp", "_salt"]).select(id_col, "fp", "root", "component_id")
