@@ -1,20 +1,19 @@
 """Token counts with a SentencePiece vocabulary, exact for documents of any length.
 
-Two facts carry the proofs. (1) Merging works on neighbours only, so a sequence of tokens is the
-encoding of a text exactly if every two neighbours are (as encoding the two alone would give them
-back). Where the encodings of two overlapping chunks share the token before and the token after a
-boundary, the splice of both at that boundary has only neighbours that stand in one of the two, so
-it is the encoding of the joined text. (2) Where no piece of the vocabulary holds a space mark after
-another character, no merge crosses the place before a space, so the spans between such places are
-encoded alone; that is read off the vocabulary, not assumed.
+Short texts are encoded whole. Longer ones are encoded in overlapping chunks, with the places of the
+tokens. Merging works on neighbours only, so a sequence of tokens is the encoding of a text exactly if
+every two neighbours are (as encoding the two alone would give them back). Where the encodings of two
+overlapping chunks share the token before and the token after a boundary, the splice of both at that
+boundary has only neighbours that stand in one of the two, so it is the encoding of the joined text.
+Where they share no such boundary, the overlap is doubled until they do.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +21,21 @@ from strandframe.llm.common import per_text
 
 MARK = "▁"
 #: Longer texts are encoded in chunks of so many characters that overlap by so many at first.
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
-#: A memo of spans is emptied when it holds so many; longer spans are not kept.
-MEMO_SPANS = 600_000
-MEMO_CHARS = 64
-#: Each span: spaces, then what runs up to the next space.
-SPAN = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+")
+
+
+class Tokens:
+    """The tokens of a chunk: ids, and the first place and the place behind each in the whole text. The library's own mark before a chunk lies before its start; of a character spelled in bytes, the first byte has it all."""
+
+    def __init__(self, ids: np.ndarray, widths: np.ndarray, start: int):
+        self.ids = ids
+        self.end = np.cumsum(widths) + start
+        self.begin = self.end - widths
+
+    def between(self, low: int, high: int) -> int:
+        """How many tokens begin in [low, high)."""
+        return int(np.count_nonzero((self.begin >= low) & (self.begin < high)))
 
 
 class PieceCounter:
@@ -36,55 +43,34 @@ class PieceCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.parts_at_spaces = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
-        #: Whether the library puts a space before a text; then a span that has one already is given without it.
+        #: Whether the library puts a space before a text.
         self.adds_mark = self.model.encode("x", out_type=str)[0].startswith(MARK)
-        self.width = [len(p) for p in pieces]
-        for i, p in enumerate(pieces):
-            if self.model.is_byte(i):
-                self.width[i] = int(not 0x80 <= int(p[3:5], 16) < 0xC0)
-            elif self.model.is_unknown(i):
-                self.width[i] = 1
+        self.width = np.array([self._width(i) for i in range(self.model.get_piece_size())], dtype=np.int64)
         self.chunk, self.overlap = chunk, overlap
-        self.memo: dict[str, int] = {}
         self.splices = self.widened = 0
 
+    def _width(self, i: int) -> int:
+        """The characters of the text that a token stands for."""
+        piece = self.model.id_to_piece(i)
+        if self.model.is_byte(i):
+            return int(not 0x80 <= int(piece[3:5], 16) < 0xC0)
+        return 1 if self.model.is_unknown(i) else len(piece)
+
     def count(self, text: str | None) -> int:
         """The number of tokens that the library gives for the text; 0 for null."""
         if not text:
             return 0
-        if not (self.parts_at_spaces and self.adds_mark):
-            return self.whole(text)
-        # the library's own first space makes the text a row of spans that each start with a space
-        memo = self.memo
-        return sum([memo.get(s) or self._span(s) for s in SPAN.findall(" " + text)])
-
-    def _span(self, span: str) -> int:
-        if span[0] == " " or span[0] == MARK:
-            n = self.whole(span[1:]) if len(span) > 1 else len(self.model.encode(MARK)) - 1 if len(self.model.encode(MARK)) > 1 else 1
-        else:
-            n = self.whole(span)
-        if len(span) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_SPANS:
-                self.memo.clear()
-            self.memo[span] = n
-        return n
-
-    def whole(self, text: str) -> int:
-        if len(text) <= self.chunk + self.overlap:
+        if len(text) <= self.chunk:
             return len(self.model.encode(text))
         return self.chunked(text)
 
-    def _tokens(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-        """(id, first, end) of each token of a chunk, in characters of the text. The library's own mark before the chunk lies before `start`; of a character spelled in bytes, the first has it all."""
-        out, at = [], start - self.adds_mark
-        for i in self.model.encode(text[start:end]):
-            out.append((i, at, at := at + self.width[i]))
-        return out
+    def _tokens(self, text: str, start: int, end: int) -> Tokens | None:
+        """None if the tokens do not add up to the characters: then the normaliser has changed the text, and places are not known."""
+        ids = np.array(self.model.encode(text[start:end]), dtype=np.int64)
+        out = Tokens(ids, self.width[ids], start - self.adds_mark)
+        return out if len(ids) and out.end[-1] == end else None
 
     def chunked(self, text: str) -> int:
-        """Overlapping chunks, spliced where both encodings share the token before and after a boundary; the overlap is doubled until they do."""
         n, total = len(text), 0
         done, start, end = -1, 0, min(self.chunk, n)  # tokens that begin before `done` are counted
         current = self._tokens(text, start, end)
@@ -94,29 +80,36 @@ class PieceCounter:
                 first = max(0, end - overlap)
                 following_end = min(n, max(first, end) + self.chunk)
                 following = self._tokens(text, first, following_end)
+                if current is None or following is None:
+                    return len(self.model.encode(text))
                 at = self._splice(current, following, max(first, done), end)
                 if at is not None:
                     break
                 self.widened += 1
                 if first <= done:  # nothing left to widen: take both chunks as one
+                    first = start
                     following = self._tokens(text, start, following_end)
+                    if following is None:
+                        return len(self.model.encode(text))
                     at = done
                     break
                 overlap *= 2
             self.splices += 1
-            total += sum(done <= b < at for _, b, _ in current)
+            total += current.between(done, at)
             current, start, end, done = following, first, following_end, at
-        return total + sum(b >= done for _, b, _ in current)
+        return len(self.model.encode(text)) if current is None else total + current.between(done, n + 1)
 
     @staticmethod
-    def _splice(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]], low: int, high: int) -> int | None:
+    def _splice(a: Tokens, b: Tokens, low: int, high: int) -> int | None:
         """The last boundary in (low, high) with the same token on either side in both."""
-        pairs = {(x, y) for x, y in zip(b, b[1:]) if x[1] < high}
-        for x, y in zip(reversed(a[:-1]), reversed(a[1:])):
-            if y[1] <= low:
+        right = int(np.searchsorted(b.begin, high))
+        known = {(int(b.begin[k]), int(b.ids[k - 1]), int(b.ids[k]), int(b.begin[k - 1])) for k in range(1, right)}
+        for k in range(len(a.ids) - 1, 0, -1):
+            at = int(a.begin[k])
+            if at <= low:
                 return None
-            if y[2] > y[1] and x[2] == y[1] and (x, y) in pairs:
-                return y[1]
+            if a.end[k] > at and (at, int(a.ids[k - 1]), int(a.ids[k]), int(a.begin[k - 1])) in known:
+                return at
         return None
 
 
