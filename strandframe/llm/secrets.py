@@ -7,11 +7,13 @@ keyboard walks, and brute force for the rest. A value whose cost reaches the thr
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 from math import log10
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import bound_batches, per_text, text_udf
@@ -36,6 +38,9 @@ CONTEXT_WORDS = ("pass", "pwd", "pin", "secret", "token", "key", "auth", "creden
 #: log10 of the guesses from which a value counts as a secret.
 LEAST_COST = 11.0
 WORD_MOST = 24
+LEAST_LETTERS = 3
+#: The start of an address names nothing secret.
+SCHEMES = re.compile(r"[a-z][a-z0-9+]{1,9}://(?:www\.)?", re.IGNORECASE | re.ASCII)
 LOOK_ALIKE = str.maketrans("0134578@$!", "oieastbasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 #: Frequent words of passwords and of the texts around them, the most frequent first.
@@ -48,6 +53,15 @@ get has him his how man new now old see two way who boy did its let put say she
 """.split()
 
 
+@lru_cache(maxsize=4)
+def ranked_words(path: str) -> tuple[str, ...]:
+    """The common words, then the whole words of a vocabulary file with `</w>` word ends, in its order: the more frequent a word, the sooner it was merged."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    whole = (k[:-4].lower() for k in sorted(vocabulary, key=vocabulary.get) if k.endswith("</w>"))
+    return tuple(dict.fromkeys([*COMMON_WORDS, *(w for w in whole if len(w) >= LEAST_LETTERS and w.isascii() and w.isalpha())]))
+
+
 class GuessCost:
     """Least log10 guesses of a value. Every kind of span has a bounded number of starts per place, so the time is linear in the value."""
 
@@ -88,6 +102,7 @@ class GuessCost:
             out.append((m.start(), m.start() + len(m[1]), log10(200) + (log10(12) if len(m[1]) > 4 else 0) + (log10(31) if len(m[1]) > 7 else 0)))
         for m in re.finditer(r"(?=((?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d))", value, re.ASCII):
             out.append((m.start(), m.start() + len(m[1]), log10(200 * 372)))
+        out += [(m.start(), m.end(), 1.0) for m in SCHEMES.finditer(value)]
         for period in range(1, 9):
             i = 0
             while i + period < n:
@@ -203,17 +218,23 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]
     return "".join(out) + text[at:]
 
 
+def _shared(spark: SparkSession, least_cost: float, words: Sequence[str]) -> Callable[[], Scanner]:
+    """Makes the scanner in a task; the dictionary, whose size its file bounds, is sent to an executor once."""
+    sent = spark.sparkContext.broadcast(tuple(words))
+    return lambda: Scanner(least_cost, sent.value)
+
+
 def scan_documents(docs: DataFrame, *, least_cost: float = LEAST_COST, words: Sequence[str] = COMMON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_assign, n_access, n_hex, n_guess, base (string), spans (string).
 
     A null or empty text has no spans and empty strings. Spans that begin together are in the order
     of KINDS. Repeated rows give repeated rows; other columns are ignored; an empty table gives an
-    empty result.
+    empty result. `words` ranks the dictionary, the most frequent first.
     """
-    words = tuple(words)
+    scanner = _shared(docs.sparkSession, least_cost, words)
 
     def make() -> Callable:
-        scan = Scanner(least_cost, words)
+        scan = scanner()
 
         def work(texts: Sequence[str | None]) -> dict[str, list]:
             both = [scan.spans(t) for t in texts]
@@ -226,12 +247,12 @@ def scan_documents(docs: DataFrame, *, least_cost: float = LEAST_COST, words: Se
 
 
 def redact_column(docs: DataFrame, column: Column, *, least_cost: float = LEAST_COST, words: Sequence[str] = COMMON_WORDS) -> Column:
-    """The text with every span replaced by [SECRET]; null stays null. Overlapping spans leave one mark."""
+    """The text with every span replaced by [SECRET]; null stays null, an empty text stays empty. Overlapping spans leave one mark. A row's text is all that counts, so repeated rows, other columns and empty tables are no cases of their own."""
     bound_batches(docs.sparkSession)
-    words = tuple(words)
+    scanner = _shared(docs.sparkSession, least_cost, words)
 
     def make() -> Callable:
-        scan = Scanner(least_cost, words)
+        scan = scanner()
 
         def work(texts: Sequence[str | None]) -> dict[str, list]:
             return {"text": [t if not t or not (s := scan.spans(t)[1]) else redacted(t, s) for t in texts]}
