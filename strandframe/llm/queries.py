@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, chat, classifier, decontam, langid, licenses, quality, secrets, simhash, tokens
 from strandframe.llm.common import read_table
@@ -34,14 +35,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan_documents(read_table(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.scan_documents(read_table(spark, sf_dir, "documents"), words=secrets.ranked_words(_vocabulary("word_bpe_49k.json"))))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.digest_conversations(chat.format_turns(turns))
+    parts = turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    return chat.digest_conversations(chat.format_turns(parts, parts_col="parts"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
