@@ -3,7 +3,8 @@
 In a window around a telling word of a template, words that stand once in the window and once in the
 template are anchors; the longest increasing run of anchors is kept, and the gaps between them are
 aligned the same way. As a window may hold more than one copy, the telling word is also taken as the
-anchor, between its neighbouring occurrences. The share of the template's words that are aligned is its coverage.
+anchor, between its neighbouring occurrences. The share of the template's words that are aligned is its coverage;
+version numbers must be among them.
 """
 
 from __future__ import annotations
@@ -45,9 +46,14 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 } | {
     f"CC-{short}-{version}": (f"Licensed under CC {short} {version}.", _CC.format(f"{name} {version} {scope}"), *([_CC_CODE.format(f"{name} {version} {scope}")] if version == "4.0" else []))
-    for short, name in (("BY-NC", "Attribution-NonCommercial"), ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"))
+    for short, name in (
+        ("BY-NC", "Attribution-NonCommercial"), ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"),
+        ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )
     for version, scope in (("4.0", "International"), ("3.0", "Unported"), ("2.0", "Generic"))
 }
+#: Short tags name a license by its identifier; all their words must stand.
+TEMPLATES = {name: (*texts, f"SPDX-License-Identifier: {name}") for name, texts in TEMPLATES.items()}
 LEAST_COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
 
@@ -117,6 +123,8 @@ class LicenseScanner:
         #: By license and number of the text.
         self.words = {(name, k): [w for w, *_ in words_of(t)] for name, texts in templates.items() for k, t in enumerate([texts] if isinstance(texts, str) else texts)}
         held = Counter(w for ws in self.words.values() for w in set(ws))
+        #: Places of a template that must be aligned: versions, as another version is another license, and whole tags.
+        self.needed = {key: {j for j, w in enumerate(ws) if ws[0] == "spdx" or any(c.isdigit() for c in w)} for key, ws in self.words.items()}
         #: The words of a template that the fewest templates hold; of these the longest comes first. With coverage c at most n - ceil(cn) words may miss, so of one word more at least one must stand in the text.
         self.telling: dict[tuple[str, int], set[str]] = {}
         for key, ws in self.words.items():
@@ -145,7 +153,8 @@ class LicenseScanner:
             left = [(first + x, y) for x, y in align(words[first:i], template[:j])]
             right = [(i + 1 + x, j + 1 + y) for x, y in align(words[i + 1 : last], template[j + 1 :])]
             tries.append([*left, (i, j), *right])
-        tries = [m for m in tries if len(m) >= least and m[-1][0] - m[0][0] < 2 * len(template)]
+        needed = self.needed[key]
+        tries = [m for m in tries if len(m) >= least and m[-1][0] - m[0][0] < 2 * len(template) and needed <= {j for _, j in m}]
         return max(tries, key=lambda m: (len(m), m[0][0] - m[-1][0]), default=[])
 
     def scan(self, text: str | None) -> list[Match]:
@@ -189,7 +198,7 @@ class LicenseScanner:
 def scan_licenses(docs: DataFrame, *, templates: Mapping[str, str | Sequence[str]] = TEMPLATES, least_coverage: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, license (of the match with the highest coverage, the first of equals; null if none), coverage (0 if none), n_matches, spans (license:start:end, comma-joined; code points).
 
-    Null and empty texts have no license. Repeated rows give repeated rows; other columns are
+    Null and empty texts have no license. A text of any length is scanned whole. Repeated rows give repeated rows; other columns are
     ignored; an empty table gives an empty result.
     """
     templates = dict(templates)
