@@ -1,15 +1,17 @@
 """Language identification with a string kernel.
 
 The blended-spectrum presence kernel of two texts sums, over n = 1, 2, 3, the share of character
-n-grams that both hold (cosine of the presence vectors). Nyström landmarks turn kernel rows into
-features, on which one ridge regression per language is solved; scoring a batch is two matrix products.
+n-grams that both hold (cosine of the presence vectors). N-grams are over lower-case code points of
+any script; what is no letter counts as one gap. They are hashed to 2^18 places an order. Nyström
+landmarks turn kernel rows into features, on which one ridge regression per language is solved;
+scoring a batch is two matrix products.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,56 +20,49 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import per_text
 from strandframe.llm.sampling import fold, labelled_sample
 
-#: Classes of characters: 0 is no letter; Latin letters up to U+024F have their own, as far as they go; all other letters share the rest by block.
-CLASSES = 64
+#: The places of the n-grams of one order are so many bits wide.
+PLACE_BITS = 18
 PER_LANGUAGE = 384
 LANDMARKS = 192
 MOST_CHARS = 50_000
 RIDGE = 1e-2
 SHARPNESS = 6.0
 ORDERS = (1, 2, 3)
+PLACES = 1 << PLACE_BITS
+#: Odd multipliers of the hash: one between the letters of an n-gram, one that spreads the result.
+STEP = np.uint64(0x100000001B3)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _class_table() -> np.ndarray:
-    table = np.zeros(0x250, dtype=np.int32)
-    own: dict[str, int] = {}
-    for c in range(0x250):
-        if chr(c).isalpha():
-            low = chr(c).lower()[0]
-            base = c >= 0x100
-            if base:  # rarer letters count as their unaccented letter
-                low = unicodedata.normalize("NFD", low)[0]
-            if low not in own and len(own) < CLASSES - 9:
-                own[low] = len(own) + 1
-            table[c] = own.get(low, CLASSES - 8)
-    return table
-
-
-CLASS_OF = _class_table()
-OFFSETS = np.cumsum([0] + [CLASSES**n for n in ORDERS])
-
-
-def classes(text: str) -> np.ndarray:
-    """The class of each character; other runs than letters shrink to one 0."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    out = CLASS_OF[np.minimum(codes, 0x24F)]
-    far = np.flatnonzero(codes >= 0x250)
-    if len(far):
-        letter = np.array([chr(c).isalpha() for c in codes[far]])
-        out[far] = np.where(letter, CLASSES - 7 + (codes[far] >> 8) % 7, 0)
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Of each code point the lower-case letter, or 0 if it is none."""
+    return np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)], dtype=np.uint64)
+
+
+def letters(text: str) -> np.ndarray:
+    """The lower-case code points of the letters; other runs shrink to one 0."""
+    out = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     gap = out == 0
     return out[~(gap & np.concatenate([[False], gap[:-1]]))]
 
 
 def ngrams(text: str | None, flags: np.ndarray) -> list[np.ndarray]:
-    """For each order the codes of the n-grams that the text holds; `flags` is scratch space, false before and after."""
-    c = classes(text or "")
-    out, code = [], None
+    """For each order the places of the n-grams that the text holds, none for a text without a letter; `flags` is scratch space, false before and after."""
+    c = letters(text or "")
+    if not c.any():
+        return [np.zeros(0, dtype=np.int64) for _ in ORDERS]
+    out, mixed = [], c
     for n in ORDERS:
-        code = c if n == 1 else code[:-1] * CLASSES + c[n - 1 :] if len(c) >= n else c[:0]
-        flags[code] = True
-        found = np.flatnonzero(flags[: CLASSES**n]) if len(code) > 400 else np.unique(code)
-        flags[code] = False
+        if n > 1:
+            mixed = mixed[:-1] * STEP + c[n - 1 :] if len(c) >= n else c[:0]
+        place = ((mixed + np.uint64(n)) * SPREAD >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        if len(place) > 4000:
+            flags[place] = True
+            found = np.flatnonzero(flags)
+            flags[found] = False
+        else:
+            found = np.unique(place)
         out.append(found)
     return out
 
@@ -85,12 +80,12 @@ class LanguageModel:
         for i, orders in enumerate(grams):
             for k, codes in enumerate(orders):
                 if len(codes):
-                    rows[i, self.column[codes + OFFSETS[k]]] = 1 / np.sqrt(len(codes))
+                    rows[i, self.column[codes + PLACES * k]] = 1 / np.sqrt(len(codes))
         rows[:, -1] = 0
         return rows @ self.landmarks
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
-        flags = np.zeros(CLASSES ** max(ORDERS), dtype=bool)
+        flags = np.zeros(PLACES, dtype=bool)
         langs, scores = [], []
         for i in range(0, len(texts), 128):
             part = texts[i : i + 128]
@@ -101,7 +96,7 @@ class LanguageModel:
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
             for j, g in enumerate(grams):
-                blank = not len(g[0]) or (len(g[0]) == 1 and g[0][0] == 0)
+                blank = not len(g[0])
                 langs.append("und" if blank else self.languages[best[j]])
                 scores.append(0.0 if blank else float(p[j, best[j]]))
         return langs, scores
@@ -110,19 +105,19 @@ class LanguageModel:
 def fit(rows: Sequence[tuple[str, str]], *, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """A model of the languages in `rows`; with no rows every text is `und` or the one language there is."""
     languages = sorted({lang for _, lang in rows})
-    flags = np.zeros(CLASSES ** max(ORDERS), dtype=bool)
+    flags = np.zeros(PLACES, dtype=bool)
     grams = [ngrams(t, flags) for t, _ in rows]
     by = {lang: [i for i, (_, x) in enumerate(rows) if x == lang] for lang in languages}
     each = max(1, landmarks // max(1, len(languages)))
     chosen = [i for lang in languages for i in by[lang][:: max(1, len(by[lang]) // each)][:each]]
-    seen = sorted({int(c) + int(OFFSETS[k]) for i in chosen for k, codes in enumerate(grams[i]) for c in codes})
-    column = np.full(int(OFFSETS[-1]), len(seen), dtype=np.int32)
+    seen = sorted({int(c) + PLACES * k for i in chosen for k, codes in enumerate(grams[i]) for c in codes})
+    column = np.full(PLACES * len(ORDERS), len(seen), dtype=np.int32)
     column[seen] = np.arange(len(seen))
     marks = np.zeros((len(seen) + 1, len(chosen)), dtype=np.float32)
     for j, i in enumerate(chosen):
         for k, codes in enumerate(grams[i]):
             if len(codes):
-                marks[column[codes + OFFSETS[k]], j] = 1 / np.sqrt(len(codes)) / len(ORDERS)
+                marks[column[codes + PLACES * k], j] = 1 / np.sqrt(len(codes)) / len(ORDERS)
     model = LanguageModel(languages, column, marks, np.zeros(0), np.zeros((len(chosen) + 1, max(1, len(languages))), dtype=np.float32))
     if not languages:
         model.languages = ["und"]
