@@ -32,7 +32,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are replaced by a mark, and n_chars follows."""
-    redacted = docs.withColumn("text", secrets.redact_column(docs, F.col("text")))
+    import public_tokenizers
+
+    words = secrets.ranked_words(public_tokenizers.path("word_bpe_49k.json"))
+    redacted = docs.withColumn("text", secrets.redact_column(docs, F.col("text"), words=words))
     if "n_chars" in docs.columns:
         redacted = redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return redacted.select(*docs.columns)
