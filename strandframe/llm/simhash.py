@@ -95,7 +95,7 @@ def links(fps: DataFrame, *, many: int = MANY) -> DataFrame:
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= RADIUS
     edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     # both sides of the join have the same columns below the exchange, so that one exchange serves both
-    keys = _flipped(fps.select("fp"), _keys(), "key").repartition("key")
+    keys = _flipped(fps.select("fp"), _keys(), "key").where("key IS NOT NULL AND fp IS NOT NULL").repartition("key")
     counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
     members = keys.join(counts.hint("shuffle_hash"), "key").where(fp >= F.col("least"))
     # members of a key with many stand alone, the others in one list
