@@ -18,6 +18,87 @@ def column_counts(res: DataFrame) -> DataFrame:
     return res.where(F.col("res") != GAP).groupBy("aln", "col", "res").agg(F.count("*").alias("n"))
 
 
+_DNA_SETS = {"R": "AG", "Y": "CT", "M": "AC", "K": "GT", "S": "CG", "W": "AT", "H": "ACT", "B": "CGT", "V": "ACG", "D": "AGT", "N": "ACGT"}
+_AMINO = "ACDEFGHIKLMNPQRSTVWY"
+#: Each alphabet's symbols, and the symbols that each degenerate code stands for.
+ALPHABETS = {
+    "dna": ("ACGT", _DNA_SETS | {"U": "T", "X": "ACGT"}),
+    "rna": ("ACGU", {k: v.replace("T", "U") for k, v in _DNA_SETS.items()} | {"T": "U", "X": "ACGU"}),
+    "amino": (_AMINO, {"B": "DN", "J": "IL", "Z": "EQ", "O": "K", "U": "C", "X": _AMINO}),
+}
+
+
+def alphabet_shares(alphabet: str) -> list[tuple[str, str, float]]:
+    """(code, symbol, share): a degenerate code is spread evenly over the symbols that it stands for."""
+    symbols, sets = ALPHABETS[alphabet]
+    return [(c, c, 1.0) for c in symbols] + [(c, s, 1 / len(of)) for c, of in sets.items() for s in of]
+
+
+def spread_counts(res: DataFrame, alphabet: str, *, weights: DataFrame | None = None) -> DataFrame:
+    """aln, col, res, n: residues by column, degenerate codes spread over their symbols and rows weighted by `weights(aln, key, weight)` (a missing row weighs 1).
+
+    Codes of either case count; gaps and what the alphabet does not know are left out.
+    """
+    rows = res.withColumn("code", F.upper("res"))
+    if weights is not None:
+        rows = rows.join(weights.select("aln", "key", "weight"), ["aln", "key"], "left")
+    # summed by code first, so that only codes by column meet the table
+    sums = rows.groupBy("aln", "col", "code").agg((F.count("*") if weights is None else F.sum(F.coalesce("weight", F.lit(1.0)))).cast("double").alias("_n"))
+    table = res.sparkSession.createDataFrame(alphabet_shares(alphabet), "code string, symbol string, share double")
+    return sums.join(F.broadcast(table), "code").groupBy("aln", "col", F.col("symbol").alias("res")).agg(F.sum(F.col("_n") * F.col("share")).alias("n"))
+
+
+def summary(rows: DataFrame, aln: str, key: str, aseq: Column, *, most_pairs: int | None = 1000, seed: int = 42) -> DataFrame:
+    """aln, nseq, alen, nres, small, large, avlen and pid of each alignment.
+
+    pid is the mean identity of all pairs, or, where there are more than `most_pairs`, of as many
+    pairs drawn with replacement by seeded hashes; null for one row.
+    """
+    from strandframe.operators.pairwise import pair_table
+
+    part = rows.select(F.col(aln).alias("aln"), F.col(key).alias("key"), aseq.alias("_s")).where("_s IS NOT NULL")
+    n = F.length(F.translate("_s", GAP, ""))
+    sums = part.groupBy("aln").agg(F.count("*").alias("nseq"), F.max(F.length("_s")).alias("alen"), F.sum(n).alias("nres"), F.min(n).alias("small"), F.max(n).alias("large"), F.avg(n).alias("avlen"))
+    if most_pairs is None:
+        return sums.join(pair_table(part, "aln", "key", F.col("_s")).groupBy("aln").agg(F.avg("pid").alias("pid")), "aln", "left")
+    many = F.col("nseq") * (F.col("nseq") - 1) / 2 > most_pairs
+    sizes = sums.select("aln", "nseq", many.alias("many"))
+    few = pair_table(part.join(sizes.where("NOT many"), "aln"), "aln", "key", F.col("_s")).groupBy("aln").agg(F.avg("pid").alias("pid"))
+    numbered = part.withColumn("_k", F.row_number().over(Window.partitionBy("aln").orderBy(F.xxhash64(F.lit(seed), "key"), "key")) - 1)
+    drawn = sizes.where("many").select("aln", "nseq", F.explode(F.sequence(F.lit(1), F.lit(most_pairs))).alias("_d"))
+    first = F.pmod(F.xxhash64(F.lit(seed), F.lit("first"), "_d"), F.col("nseq"))
+    drawn = drawn.withColumn("_i", first).withColumn("_j", F.pmod(F.col("_i") + 1 + F.pmod(F.xxhash64(F.lit(seed), F.lit("second"), "_d"), F.col("nseq") - 1), F.col("nseq")))
+    one = numbered.select("aln", F.col("_k").cast("long").alias("_i"), F.split("_s", "").alias("_a"), n.alias("_m"))
+    two = numbered.select("aln", F.col("_k").cast("long").alias("_j"), F.split("_s", "").alias("_b"), n.alias("_n"))
+    met = drawn.join(one, ["aln", "_i"]).join(two, ["aln", "_j"])
+    same = F.size(F.filter(F.arrays_zip("_a", "_b"), lambda x: (x["_a"] == x["_b"]) & (x["_a"] != GAP)))
+    shorter = F.least("_m", "_n")
+    sampled = met.groupBy("aln").agg(F.avg(F.when(shorter > 0, same / shorter).otherwise(0.0)).alias("pid"))
+    return sums.join(few.unionByName(sampled), "aln", "left")
+
+
+def differing(one: DataFrame, two: DataFrame, aln: str, key: str, aseq: str) -> DataFrame:
+    """Rows (aln, key) that stand in one alignment only, or with different residues, whatever their case or gap symbol: none if the alignments are the same."""
+    plain = lambda df, name: df.select(F.col(aln).alias("aln"), F.col(key).alias("key"), F.translate(F.upper(aseq), "._~", "---").alias(name))
+    both = plain(one, "_x").withColumn("_in_one", F.lit(True)).join(plain(two, "_y").withColumn("_in_two", F.lit(True)), ["aln", "key"], "full")
+    return both.where("_in_one IS NULL OR _in_two IS NULL OR NOT _x <=> _y").select("aln", "key")
+
+
+def repeated_names(rows: DataFrame, aln: str, name: str) -> DataFrame:
+    """(aln, name, n) of names that stand on several rows of one alignment."""
+    return rows.groupBy(F.col(aln).alias("aln"), F.col(name).alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def columns_between(res: DataFrame, first: int, last: int, *, places: DataFrame | None = None) -> DataFrame:
+    """The residues of columns first..last (1-based), renumbered from 1; with `places(aln, col, place, keep)` the bounds are places of the reference line, and columns between them stay."""
+    if not 1 <= first <= last:
+        raise ValueError("1 <= first <= last is needed")
+    if places is None:
+        return res.where(F.col("col").between(first, last)).withColumn("col", F.col("col") - (first - 1))
+    at = places.where("keep").groupBy("aln").agg(F.min(F.when(F.col("place") == first, F.col("col"))).alias("_lo"), F.max(F.when(F.col("place") == last, F.col("col"))).alias("_hi"))
+    return res.join(at, "aln").where("col BETWEEN _lo AND _hi").withColumn("col", F.col("col") - F.col("_lo") + 1).drop("_lo", "_hi")
+
+
 def column_information(res: DataFrame, kinds: int = 26) -> DataFrame:
     """log2(kinds) less the column's entropy over its residues, and the number of residues."""
     counts = column_counts(res)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,24 @@ def survival(bins: DataFrame, *, by: list[str] | None = None) -> DataFrame:
     return bins.select(*(by or []), "bin", "lo", (above / F.sum("obs").over(w)).alias("surv"))
 
 
+def tail_by_score(bins: DataFrame, least: float) -> DataFrame:
+    """The whole bins that lie above `least`: phi (lower bound), n_tail, n_all."""
+    return bins.agg(F.min(F.when(F.col("lo") >= least, F.col("lo"))).alias("phi"), F.coalesce(F.sum(F.when(F.col("lo") >= least, F.col("obs"))), F.lit(0)).alias("n_tail"), F.sum("obs").alias("n_all"))
+
+
+def quantile_pairs(bins: DataFrame, inverse: Callable[[Column], Column]) -> DataFrame:
+    """bin, hi, expected: the upper bound of each bin beside the value below which `inverse` has the same share of samples; the highest bin has none."""
+    w = Window.partitionBy(F.lit(0))  # one row per bin
+    share = F.sum("obs").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("obs").over(w)
+    return bins.select("bin", "hi", share.alias("_p")).where("_p < 1").select("bin", "hi", inverse(F.col("_p")).alias("expected"))
+
+
+def expected_counts(bins: DataFrame, cdf: Callable[[Column], Column]) -> DataFrame:
+    """bin, lo, hi, obs, expected: the number of samples that a distribution would put into each bin."""
+    total = F.sum("obs").over(Window.partitionBy(F.lit(0)))
+    return bins.select("bin", "lo", "hi", "obs", (total * (cdf(F.col("hi")) - cdf(F.col("lo")))).alias("expected"))
+
+
 def tail_by_mass(bins: DataFrame, mass: float) -> DataFrame:
     """The whole bins from the top that hold at least `mass` of the samples: phi (lower bound), n_tail, n_all."""
     w = Window.partitionBy(F.lit(0))

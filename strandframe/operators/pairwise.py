@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 GAP = "-"
 
 
-def pair_table(rows: DataFrame, aln: str, key: str, aseq: Column) -> DataFrame:
-    """(aln, i, j) with i < j: n_id, n_match (both residues), n_any, len_i, len_j, pid (by the shorter length), pmatch."""
-    side = rows.select(F.col(aln).alias("aln"), F.col(key).alias("k"), F.split(aseq, "").alias("s"), F.length(F.translate(aseq, GAP, "")).alias("n"))
-    a = side.select("aln", F.col("k").alias("i"), F.col("s").alias("_a"), F.col("n").alias("len_i"))
-    b = side.select("aln", F.col("k").alias("j"), F.col("s").alias("_b"), F.col("n").alias("len_j"))
-    both = a.join(b, (a["aln"] == b["aln"]) & (a["i"] < b["j"])).drop(b["aln"])
+#: Rows of an alignment are dealt over so many tiles, and each pair of tiles is a task of its own.
+TILES = 8
+
+
+def pair_table(rows: DataFrame, aln: str, key: str, aseq: Column, *, tiles: int = TILES) -> DataFrame:
+    """(aln, i, j) with i < j: n_id, n_match (both residues), n_any, len_i, len_j, pid (by the shorter length), pmatch.
+
+    A row meets the rows of its own and of each other tile, so one alignment's pairs are spread over
+    tiles (tiles + 1) / 2 keys, and a row is copied `tiles` times.
+    """
+    tile = F.pmod(F.xxhash64(F.col(key)), F.lit(tiles)).cast("int")
+    side = rows.select(F.col(aln).alias("aln"), F.col(key).alias("k"), F.split(aseq, "").alias("s"), F.length(F.translate(aseq, GAP, "")).alias("n"), tile.alias("_t"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_u"))
+    side = side.withColumns({"_p": F.least("_t", "_u"), "_q": F.greatest("_t", "_u")})
+    a = side.select("aln", "_p", "_q", F.col("k").alias("i"), F.col("s").alias("_a"), F.col("n").alias("len_i"), F.col("_t").alias("_ta"))
+    b = side.select("aln", "_p", "_q", F.col("k").alias("j"), F.col("s").alias("_b"), F.col("n").alias("len_j"), F.col("_t").alias("_tb"))
+    both = a.join(b, ["aln", "_p", "_q"]).where("i < j AND (_p = _q OR _ta <> _tb)")
     z = F.expr("arrays_zip(_a, _b)")
     count = lambda f: F.size(F.filter(z, f)).cast("long")
     gap = lambda c: c == GAP
@@ -75,19 +85,35 @@ def cluster_weights(clusters: DataFrame) -> DataFrame:
     return clusters.join(sizes, ["aln", "cluster"]).join(totals, "aln").select("aln", "key", (F.col("_all") / F.col("_c") / F.col("_n")).alias("weight"))
 
 
-def identity_filter(rows: DataFrame, aln: str, key: str, aseq: Column, threshold: float = 0.5) -> DataFrame:
-    """Greedy in key order: a row stays if its identity to every row that stayed is below the threshold. Sequential by definition, within one alignment."""
+def identity_filter(rows: DataFrame, aln: str, key: str, aseq: Column, threshold: float = 0.5, *, prefer: str = "order", symfrac: float = 0.5) -> DataFrame:
+    """Greedy: a row stays if its identity to every row that stayed is below the threshold. Sequential by definition, within one alignment.
+
+    Rows are taken in key order, or with prefer="span" those first whose span from the first to the
+    last residue covers the most consensus columns (at least `symfrac` residues); ties by key.
+    """
+    import numpy as np
     import pandas as pd
 
+    if prefer not in ("order", "span"):
+        raise ValueError(f"unknown preference {prefer}")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, int]] = []
-        keys = []
-        for k, s in sorted(zip(pdf["key"], pdf["s"])):
-            n = len(s) - s.count(GAP)
-            if all(sum(x == y != GAP for x, y in zip(s, t)) < threshold * min(n, m) if min(n, m) else threshold > 0 for t, m in kept):
-                kept.append((s, n))
-                keys.append(k)
-        return pd.DataFrame({"aln": [pdf["aln"].iloc[0]] * len(keys), "key": keys})
+        pdf = pdf.sort_values("key", kind="stable")
+        codes = np.array([np.frombuffer(s.encode("utf-32-le"), dtype="<u4") for s in pdf["s"]])
+        held = codes != ord(GAP)
+        lengths, order = held.sum(axis=1), np.arange(len(codes))
+        if prefer == "span":
+            consensus = np.concatenate([[0], np.cumsum(held.mean(axis=0) >= symfrac)])
+            last = codes.shape[1] - held[:, ::-1].argmax(axis=1)
+            cover = np.where(lengths > 0, consensus[last] - consensus[held.argmax(axis=1)], 0)
+            order = np.argsort(-cover, kind="stable")
+        kept: list[int] = []
+        for k in order:
+            shorter = np.minimum(lengths[k], lengths[kept])
+            same = ((codes[kept] == codes[k]) & held[k]).sum(axis=1)
+            if not len(kept) or np.all(np.where(shorter > 0, same < threshold * shorter, threshold > 0)):
+                kept.append(int(k))
+        return pd.DataFrame({"aln": [pdf["aln"].iloc[0]] * len(kept), "key": pdf["key"].to_numpy()[kept]})
 
     part = rows.select(F.col(aln).alias("aln"), F.col(key).alias("key"), aseq.alias("s"))
     return part.groupBy("aln").applyInPandas(run, f"aln {part.schema['aln'].dataType.simpleString()}, key {part.schema['key'].dataType.simpleString()}")

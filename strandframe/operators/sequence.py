@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandframe.functions import symbols
+from strandframe.functions.storage import checkpoint
 
 
 def seq_stats(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
@@ -15,26 +21,38 @@ def seq_stats(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
 
 
 def residue_composition(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
-    """Count and frequency of each residue of each group. Residues are counted per group before anything is shuffled, so at most groups x symbols rows move per task."""
-    one = df.select(*by, F.explode(F.split(symbols.residues_only(F.col(seq)), "")).alias("res")).where("res <> ''")
-    counts = one.groupBy(*by, "res").agg(F.count("*").alias("n"))
+    """Count and frequency of each residue of each group. A text gives one number per letter and no row per residue; at most one row per group and task is shuffled."""
+    plain = df.select(*by, symbols.residues_only(F.col(seq)).alias("_s"))
+    sums = plain.groupBy(*by).agg(*[F.sum(F.length("_s") - F.length(F.replace(F.col("_s"), F.lit(c)))).alias(f"_n{c}") for c in symbols.UPPER])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("res"), F.col(f"_n{c}").alias("n")) for c in symbols.UPPER]))
+    counts = sums.select(*by, each.alias("_x")).select(*by, "_x.res", "_x.n").where("n > 0")
     return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
+#: Letters of amino acids only, letters of all alphabets, other letters of amino acids, and the bounds of the decision.
+AMINO_ONLY, COMMON, AMINO_OTHER = "EFIJLOPQZ", "ACG", "DHKMRSVWY"
+LEAST_LETTERS, LEADING_N, MOST_OTHERS, LEAST_KINDS = 10, 2000, 0.02, 15
+
+
 def guess_alphabet(df: DataFrame, seq: str, key: str) -> DataFrame:
-    """dna, rna, amino or unknown for each sequence, by the kinds and shares of its letters."""
+    """dna, rna, amino or unknown for each sequence, by the kinds and shares of its letters.
+
+    Amino acids need, without a letter of theirs alone, more letters that are no nucleotide than A, C
+    and G together, and LEAST_KINDS kinds of letters (X is none).
+    """
     s = symbols.residues_only(F.col(seq))
     n = F.length("_s")
     count = lambda letters: n - F.length(F.translate("_s", letters, ""))
-    kinds = F.size(F.array_distinct(F.split("_s", "")))
+    kinds = lambda letters: F.expr(" + ".join(f"cast(instr(_s, '{c}') > 0 AS int)" for c in letters))
+    others = lambda letters: n - count(letters) <= MOST_OTHERS * n
     has = lambda letters: F.expr(" AND ".join(f"instr(_s, '{c}') > 0" for c in letters))
     out = (
-        F.when(n <= 10, "unknown")
-        .when((n > 2000) & (count("N") == n), "dna")
-        .when(count("EFIJLOPQZ") > 0, "amino")
-        .when((count("ACGTN") >= 0.98 * n) & has("ACGT"), "dna")
-        .when((count("ACGUN") >= 0.98 * n) & has("ACGU"), "rna")
-        .when((count("ACDEFGHIKLMNPQRSTVWYX") >= 0.98 * n) & (kinds >= 15), "amino")
+        F.when(n <= LEAST_LETTERS, "unknown")
+        .when((n > LEADING_N) & (count("N") == n), "dna")
+        .when(count(AMINO_ONLY) > 0, "amino")
+        .when(others(COMMON + "TN") & has(COMMON + "T"), "dna")
+        .when(others(COMMON + "UN") & has(COMMON + "U"), "rna")
+        .when(others(COMMON + AMINO_OTHER + "NTX") & (count(AMINO_OTHER) > count(COMMON)) & (kinds(COMMON + AMINO_OTHER + "NT") >= LEAST_KINDS), "amino")
         .otherwise("unknown")
     )
     return df.select(F.col(key), s.alias("_s")).select(key, out.alias("alphabet"), n.cast("long").alias("n_letters"))
@@ -51,8 +69,50 @@ def windows(df: DataFrame, seq: str, key: str, *, context: int, width: int) -> D
     return each.select(key, (F.col("_k") * width + 1).alias("start"), F.concat(F.expr(f"right(_x.before, {context})"), F.col("_x.block")).alias("window"))
 
 
+DENSE_K = 3
+#: Letters that are counted in one array operation; texts are taken together up to so many.
+DENSE_LETTERS = 1 << 20
+
+
+def _dense_kmers(df: DataFrame, seq: str, by: list[str], k: int) -> DataFrame:
+    part = df.select(*by, symbols.residues_only(F.col(seq)).alias("_s")).where(F.length("_s") >= k)
+    kinds = len(symbols.UPPER) ** k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(by)).to_pylist()
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))])) if by else [()] * len(texts)
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= DENSE_LETTERS):
+                    size += len(texts[end])
+                    end += 1
+                groups: dict[tuple, int] = {}
+                of = np.array([groups.setdefault(x, len(groups)) for x in keys[at:end]])
+                sizes = np.array([len(t) for t in texts[at:end]])
+                codes = np.frombuffer("".join(texts[at:end]).encode("ascii"), dtype=np.uint8).astype(np.int64) - ord("A")
+                ends = np.repeat(np.cumsum(sizes), sizes)
+                mers = codes[: len(codes) - k + 1]
+                for i in range(1, k):
+                    mers = mers * len(symbols.UPPER) + codes[i : len(codes) - k + 1 + i]
+                whole = np.arange(len(mers)) + k <= ends[: len(mers)]
+                place, n = np.unique((np.repeat(of, sizes)[: len(mers)] * kinds + mers)[whole], return_counts=True)
+                listed = list(groups)
+                columns = [pa.array([listed[g][i] for g in place // kinds], batch.schema.field(i).type) for i in range(len(by))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(place % kinds), pa.array(n)], names=[*by, "code", "n"])
+                at = end
+
+    schema = StructType([*[part.schema[c] for c in by], StructField("code", LongType()), StructField("n", LongType())])
+    sums = part.mapInArrow(run, schema).groupBy(*by, "code").agg(F.sum("n").alias("n"))
+    letter = lambda i: F.substring(F.lit(symbols.UPPER), (F.expr(f"code DIV {len(symbols.UPPER) ** (k - 1 - i)}") % len(symbols.UPPER) + 1).cast("int"), F.lit(1))
+    return sums.select(*by, F.concat(*[letter(i) for i in range(k)]).alias("kmer"), "n")
+
+
 def kmer_counts(df: DataFrame, seq: str, by: list[str], k: int) -> DataFrame:
-    """Counts of the k-mers of letters in each group."""
+    """Counts of the k-mers of letters in each group. Up to k = 3 a batch of texts is counted by one array operation, so no row per k-mer is made."""
+    if k <= DENSE_K:
+        return _dense_kmers(df, seq, by, k)
     s = df.select(*by, symbols.residues_only(F.col(seq)).alias("_s")).where(F.length("_s") >= k).select(*by, F.split("_s", "").alias("_s"))
     shifted = F.arrays_zip(*[F.slice("_s", F.lit(i + 1), F.size("_s") - (k - 1)).alias(f"s{i}") for i in range(k)])
     one = s.select(*by, F.explode(shifted).alias("_x")).select(*by, F.concat(*[F.col(f"_x.s{i}") for i in range(k)]).alias("kmer"))
@@ -71,7 +131,8 @@ def even_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
     Ranks come from a range partitioning: a row is ranked within its partition, and the partitions' row counts are summed.
     """
     ordered = df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    counted = ordered.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    # written once: a second planning could cut the ranges at other places
+    counted = checkpoint(ordered.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key))))
     sizes = counted.groupBy("_p").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(F.lit(0))  # one row per partition of the table
     before = sizes.select("_p", F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.sum("_n").over(w).alias("_total"))
@@ -86,37 +147,85 @@ def even_ranges(df: DataFrame, key: str, parts: int) -> DataFrame:
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
-def codon_map() -> dict[str, str]:
-    return {a + b + c: STANDARD_CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
-
-
-def translate_frames(df: DataFrame, dna: Column, key: str, *, strands: tuple[int, ...] = (1, -1)) -> DataFrame:
-    """key, strand, frame (0 to 2), protein: codons through a map literal, X for codons with other letters."""
-    table = F.create_map(*[F.lit(x) for kv in sorted(codon_map().items()) for x in kv])
+#: The public genetic codes by number, as what differs from the standard code, and the codons that may begin a protein.
+GENETIC_CODES = {
+    1: ("", "TTG CTG ATG"),
+    2: ("AGA=* AGG=* ATA=M TGA=W", "ATT ATC ATA ATG GTG"),
+    3: ("ATA=M CTT=T CTC=T CTA=T CTG=T TGA=W", "ATA ATG"),
+    4: ("TGA=W", "TTA TTG CTG ATT ATC ATA ATG GTG"),
+    5: ("AGA=S AGG=S ATA=M TGA=W", "TTG ATT ATC ATA ATG GTG"),
+    6: ("TAA=Q TAG=Q", "ATG"),
+    9: ("AAA=N AGA=S AGG=S TGA=W", "ATG GTG"),
+    10: ("TGA=C", "ATG"),
+    11: ("", "TTG CTG ATT ATC ATA ATG GTG"),
+    12: ("CTG=S", "CTG ATG"),
+    13: ("AGA=G AGG=G ATA=M TGA=W", "TTG ATA ATG GTG"),
+    14: ("AAA=N AGA=S AGG=S TAA=Y TGA=W", "ATG"),
+    16: ("TAG=L", "ATG"),
+    21: ("TGA=W ATA=M AGA=S AGG=S AAA=N", "ATG GTG"),
+    22: ("TCA=* TAG=L", "ATG"),
+    23: ("TTA=*", "ATT ATG GTG"),
+    24: ("AGA=S AGG=K TGA=W", "TTG CTG ATG GTG"),
+    25: ("TGA=G", "TTG ATG GTG"),
+    26: ("CTG=A", "CTG ATG"),
+}
+
+
+def codon_map(code: int = 1) -> dict[str, str]:
+    """codon -> residue (* for a stop) of a genetic code by its public number."""
+    if code not in GENETIC_CODES:
+        raise ValueError(f"unknown genetic code {code}")
+    standard = {a + b + c: STANDARD_CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
+    return standard | dict(x.split("=") for x in GENETIC_CODES[code][0].split())
+
+
+def translate_frames(df: DataFrame, dna: Column, key: str, *, strands: tuple[int, ...] = (1, -1), code: int = 1) -> DataFrame:
+    """key, strand, frame (0 to 2), protein, by the genetic code of number `code`: codons through a map literal, X for codons with other letters."""
+    return _frames(df, dna, key, strands, code).drop("begins")
+
+
+def _frames(df: DataFrame, dna: Column, key: str, strands: tuple[int, ...], code: int) -> DataFrame:
+    """With `begins`, an M at each residue whose codon may begin a protein and - at others."""
+    literal = lambda pairs: F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
+    table, starts = literal(codon_map(code)), F.array(*[F.lit(c) for c in GENETIC_CODES[code][1].split()])
     rows = df.select(F.col(key), dna.alias("_d")).select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("strand"), (F.col("_d") if s > 0 else symbols.reverse_complement(F.col("_d"))).alias("_s")) for s in strands])).alias("_x"))
     rows = rows.select(key, "_x.*").select(key, "strand", "_s", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("frame"))
-    codons = F.expr("regexp_extract_all(substr(_s, frame + 1), '(?s).{3}', 0)")
-    protein = F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
-    return rows.select(key, "strand", "frame", protein.alias("protein"))
+    rows = rows.withColumn("_c", F.expr("regexp_extract_all(substr(_s, frame + 1), '(?s).{3}', 0)"))
+    protein = F.array_join(F.transform("_c", lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+    begins = F.array_join(F.transform("_c", lambda c: F.when(F.array_contains(starts, c), "M").otherwise("-")), "")
+    return rows.select(key, "strand", "frame", protein.alias("protein"), begins.alias("begins"))
+
 
+def open_reading_frames(df: DataFrame, dna: Column, key: str, *, least: int = 20, strands: tuple[int, ...] = (1, -1), code: int = 1, from_start: bool = False) -> DataFrame:
+    """key, strand, frame, at (1-based residue in the frame's protein), orf: stretches of at least `least` residues without a stop.
 
-def open_reading_frames(df: DataFrame, dna: Column, key: str, *, least: int = 20, strands: tuple[int, ...] = (1, -1)) -> DataFrame:
-    """key, strand, frame, at (1-based residue in the frame's protein), orf: stretches of at least `least` residues without a stop."""
-    frames = translate_frames(df, dna, key, strands=strands)
-    parts = frames.select(key, "strand", "frame", F.split("protein", r"\*").alias("_p"))
-    each = parts.select(key, "strand", "frame", "_p", F.posexplode("_p").alias("_k", "orf")).where(F.length("orf") >= least)
+    With `from_start` a stretch begins at its first codon that the genetic code lets begin a protein,
+    which is read as M; stretches without one are left out.
+    """
+    frames = _frames(df, dna, key, strands, code)
+    parts = frames.select(key, "strand", "frame", "begins", F.split("protein", r"\*").alias("_p"))
+    each = parts.select(key, "strand", "frame", "begins", "_p", F.posexplode("_p").alias("_k", "orf")).where(F.length("orf") >= least)
     at = F.aggregate(F.slice("_p", F.lit(1), F.col("_k")), F.lit(1), lambda a, x: a + F.length(x) + 1)
-    return each.select(key, "strand", "frame", at.cast("long").alias("at"), "orf")
+    each = each.select(key, "strand", "frame", "begins", at.cast("long").alias("at"), "orf")
+    if from_start:
+        first = F.instr(F.substring(F.col("begins"), F.col("at").cast("int"), F.length("orf")), "M")
+        each = each.withColumn("_f", first).where("_f > 0").select(key, "strand", "frame", "begins", (F.col("at") + F.col("_f") - 1).alias("at"), F.expr("concat('M', substr(orf, _f + 1))").alias("orf")).where(F.length("orf") >= least)
+    return each.drop("begins")
+
 
+def fetch_by_key(keys: DataFrame, table: DataFrame, key: str, names: list[str], payload: list[str], *, strict: bool = False) -> DataFrame:
+    """One row per requested key: key, n_found and the columns of `payload`, all of one row (the least, if several match).
 
-def fetch_by_key(keys: DataFrame, table: DataFrame, key: str, names: list[str], payload: list[str]) -> DataFrame:
-    """One row per requested key: key, n_found and the columns of `payload`. A key matches any of the columns `names`; each is an equi-join, and a row that matches by several counts once."""
-    hits = None
-    for name in names:
-        part = table.select(F.col(name).alias("_key"), F.xxhash64(*table.columns).alias("_id"), *payload).where(F.col("_key").isNotNull())
-        hits = part if hits is None else hits.unionByName(part)
-    found = hits.dropDuplicates(["_key", "_id"]).groupBy("_key").agg(F.count("*").alias("n_found"), *[F.min(c).alias(c) for c in payload])
-    return keys.select(key).join(found, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), *payload)
+    A key matches any of the columns `names`; a row that matches by several counts once, and equal
+    rows count each. With `strict` a key that does not name exactly one row is an error.
+    """
+    each = table.select(F.explode(F.array_distinct(F.array(*[F.col(n) for n in names]))).alias("_key"), F.struct(*payload).alias("_row")).where(F.col("_key").isNotNull())
+    found = each.groupBy("_key").agg(F.count("*").alias("n_found"), F.min("_row").alias("_row"))
+    out = keys.select(key).join(found, F.col(key) == F.col("_key"), "left")
+    n = F.coalesce("n_found", F.lit(0)).cast("long")
+    if strict:
+        n = F.when(n == 1, n).otherwise(F.raise_error(F.concat(F.lit("key "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" names "), n.cast("string"), F.lit(" rows"))).cast("long"))
+    return out.select(key, n.alias("n_found"), *[F.col("_row").getField(c).alias(c) for c in payload])
 
 
 def sample_rows(df: DataFrame, m: int, *, seed: int, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.storage import checkpoint
@@ -37,9 +37,10 @@ def independent_set(nodes: DataFrame, links: DataFrame, *, seed: int = 1, most_r
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
-def two_sets(nodes: DataFrame, links: DataFrame, *, share: float = 0.5, seed: int = 1) -> DataFrame:
-    """(node, side): a random split with no link from side S to side T; the nodes of T that are linked to S are left out (side null)."""
-    sided = nodes.select("node", F.when(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 20)) < share * (1 << 20), "S").otherwise("T").alias("side"))
+def two_sets(nodes: DataFrame, links: DataFrame, *, share: float = 0.5, seed: int = 1, first: Column | None = None) -> DataFrame:
+    """(node, side): a split with no link from side S to side T; the nodes of T that are linked to S are left out (side null). S is drawn by seeded hashes, or holds the nodes for which `first` is true."""
+    in_s = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 20)) < share * (1 << 20) if first is None else first
+    sided = nodes.select("node", F.when(in_s, "S").otherwise("T").alias("side"))
     near = _both_ways(links).join(sided.where("side = 'S'").select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().withColumn("near", F.lit(True))
     return sided.join(near, "node", "left").select("node", F.when((F.col("side") == "S") | F.col("near").isNull(), F.col("side")).alias("side"))
 

@@ -8,16 +8,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import codecs, distributions, storage, symbols, vectors
 from strandframe.operators import alignment, annotation, columns, editing, fits, generation, models, numeric, pairwise, scoring, sequence, splitting, structure, trees
-from strandframe.sources import packed, reports, sequences
+from strandframe.sources import alignments, packed, reports, sequences
 from strandframe.streaming import events as streams
 
 NAME_WIDTH = 12
-ITEM_WIDTH = 512
 FRAME_LEAST = 20
 
 _UP = f"translate({{0}}, '{symbols.LOWER}', '{symbols.UPPER}')"
@@ -62,13 +61,21 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").withColumn("aln", F.lit(1))
 
 
+def _item_row(items: DataFrame) -> Column:
+    """The items as rows of one alignment, as wide as the longest."""
+    width = items.agg(F.max(F.length("text"))).first()[0] or 1
+    return symbols.aligned(F.col("text"), width)
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.pair_table(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH))
+    items = _items(spark, sf_dir)
+    return pairwise.pair_table(items, "aln", "item_id", _item_row(items))
 
 
 _NAMES_SQL = f"WITH a AS (SELECT p_brand AS aln, p_partkey AS key, {_ALN.format('p_name', NAME_WIDTH)} AS s FROM part), res AS (SELECT aln, key, i AS col, substr(s, i, 1) AS res FROM a, unnest(range(1, {NAME_WIDTH + 1})) u(i)) "
-_PAIRS_SQL = f"""WITH a AS (SELECT item_id AS k, {_ALN.format('text', ITEM_WIDTH)} AS s, length({_RES.format('text')}) AS n FROM benchmark),
-res AS (SELECT k, i AS col, substr(s, i, 1) AS c FROM a, unnest(range(1, {ITEM_WIDTH + 1})) u(i)),
+_WIDE = "(SELECT max(length(text))::INT FROM benchmark)"
+_PAIRS_SQL = f"""WITH a AS (SELECT item_id AS k, {_ALN.format('text', _WIDE)} AS s, length({_RES.format('text')}) AS n FROM benchmark),
+res AS (SELECT k, unnest(range(1, length(s) + 1)) AS col, unnest(string_split(s, '')) AS c FROM a),
 pr AS (SELECT x.k AS i, y.k AS j, x.n AS len_i, y.n AS len_j FROM a x JOIN a y ON x.k < y.k),
 cnt AS (SELECT x.k AS i, y.k AS j, count(*) FILTER (WHERE x.c = y.c AND x.c <> '-') AS n_id, count(*) FILTER (WHERE x.c <> '-' AND y.c <> '-') AS n_match,
   count(*) FILTER (WHERE x.c <> '-' OR y.c <> '-') AS n_any FROM res x JOIN res y ON x.col = y.col AND x.k < y.k GROUP BY 1, 2),
@@ -98,10 +105,11 @@ def q04_mask_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COUNT = "(n - length(translate(s, '{0}', '')))"
+_KINDS = " + ".join(f"(s LIKE '%{c}%')::INT" for c in "ACGDHKMRSVWYNT")
 _GUESS = f"""SELECT doc_id, CASE WHEN n <= 10 THEN 'unknown' WHEN n > 2000 AND {_COUNT.format('N')} = n THEN 'dna' WHEN {_COUNT.format('EFIJLOPQZ')} > 0 THEN 'amino'
-WHEN {_COUNT.format('ACGTN')} >= 0.98 * n AND s LIKE '%A%' AND s LIKE '%C%' AND s LIKE '%G%' AND s LIKE '%T%' THEN 'dna'
-WHEN {_COUNT.format('ACGUN')} >= 0.98 * n AND s LIKE '%A%' AND s LIKE '%C%' AND s LIKE '%G%' AND s LIKE '%U%' THEN 'rna'
-WHEN {_COUNT.format('ACDEFGHIKLMNPQRSTVWYX')} >= 0.98 * n AND len(list_distinct(string_split(s, ''))) >= 15 THEN 'amino' ELSE 'unknown' END AS alphabet, n::BIGINT AS n_letters
+WHEN n - {_COUNT.format('ACGTN')} <= 0.02::DOUBLE * n AND s LIKE '%A%' AND s LIKE '%C%' AND s LIKE '%G%' AND s LIKE '%T%' THEN 'dna'
+WHEN n - {_COUNT.format('ACGUN')} <= 0.02::DOUBLE * n AND s LIKE '%A%' AND s LIKE '%C%' AND s LIKE '%G%' AND s LIKE '%U%' THEN 'rna'
+WHEN n - {_COUNT.format('ACGDHKMRSVWYNTX')} <= 0.02::DOUBLE * n AND {_COUNT.format('DHKMRSVWY')} > {_COUNT.format('ACG')} AND {_KINDS} >= 15 THEN 'amino' ELSE 'unknown' END AS alphabet, n::BIGINT AS n_letters
 FROM (SELECT doc_id, s, length(s) AS n FROM (SELECT doc_id, {{0}} AS s FROM documents))"""
 
 
@@ -192,9 +200,10 @@ def q18_consensus_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.consensus_line(_names(spark, sf_dir))
 
 
-@query(f"SELECT 1 AS aln, item_id AS key, length(rtrim(ltrim(s, '-'), '-'))::BIGINT AS span, length(rtrim(ltrim(s, '-'), '-')) < ceil({ITEM_WIDTH} * 0.5) AS is_fragment FROM (SELECT item_id, {_ALN.format('text', ITEM_WIDTH)} AS s FROM benchmark)")
+@query(f"SELECT 1 AS aln, item_id AS key, length(rtrim(ltrim(s, '-'), '-'))::BIGINT AS span, length(rtrim(ltrim(s, '-'), '-')) < ceil(length(s) * 0.5) AS is_fragment FROM (SELECT item_id, {_ALN.format('text', _WIDE)} AS s FROM benchmark)")
 def q19_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.fragments(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH))
+    items = _items(spark, sf_dir)
+    return alignment.fragments(items, "aln", "item_id", _item_row(items))
 
 
 @query("SELECT doc_id, s::INT AS start, substr(text, greatest(1, s - 10), s + 50 - greatest(1, s - 10)) AS \"window\" FROM documents, unnest(range(1, length(text) + 1, 50)) u(s) WHERE length(text) > 0")
@@ -279,9 +288,25 @@ def q32_cluster_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(pairwise.cluster_weights(_clusters(spark, sf_dir)), 6, "weight")
 
 
-@query(None)
+_GREEDY_SQL = _PAIRS_SQL.replace("WITH a AS", "WITH RECURSIVE a AS") + """, c AS (SELECT key, list(other) AS near FROM (SELECT i AS key, j AS other FROM p WHERE pid >= 0.12 UNION ALL SELECT j, i FROM p WHERE pid >= 0.12) GROUP BY key),
+{0} o AS (SELECT k AS key, row_number() OVER (ORDER BY {1} k) AS pos, coalesce(near, []) AS near FROM a LEFT JOIN c ON c.key = a.k {2}),
+f AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS kept UNION ALL SELECT o.pos, CASE WHEN list_has_any(kept, o.near) THEN kept ELSE list_append(kept, o.key) END FROM f JOIN o ON o.pos = f.pos + 1)
+SELECT 1 AS aln, unnest(kept) AS key FROM f WHERE pos = (SELECT max(pos) FROM o)"""
+
+
+@query(_GREEDY_SQL.format("", "", ""))
 def q33_identity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.identity_filter(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH), 0.12)
+    items = _items(spark, sf_dir)
+    return pairwise.identity_filter(items, "aln", "item_id", _item_row(items), 0.12)
+
+
+_COVER_SQL = "held AS (SELECT col, avg((c <> '-')::INT) >= 0.5 AS h FROM res GROUP BY col), ends AS (SELECT k, min(col) AS lo, max(col) AS hi FROM res WHERE c <> '-' GROUP BY k), cover AS (SELECT k AS ck, count(*) FILTER (WHERE h AND col BETWEEN lo AND hi) AS n FROM ends, held GROUP BY k),"
+
+
+@query(_GREEDY_SQL.format(_COVER_SQL, "coalesce(cover.n, 0) DESC,", "LEFT JOIN cover ON ck = a.k"))
+def q33b_identity_filter_by_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    return pairwise.identity_filter(items, "aln", "item_id", _item_row(items), 0.12, prefer="span")
 
 
 @query("SELECT event_type, min(value) AS mu, round(1 / (avg(value) - min(value)), 8) AS rate FROM events GROUP BY 1")
@@ -299,7 +324,17 @@ def q37_fit_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.fit_gumbel(_t(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("x")), "x")
 
 
-@query(None)
+_CODON = "substr('{0}', (16 * (instr('TCAG', substr(c, 1, 1)) - 1) + 4 * (instr('TCAG', substr(c, 2, 1)) - 1) + instr('TCAG', substr(c, 3, 1)))::BIGINT, 1)"
+
+
+def _frames_sql(table: str, key: str, text: str, code: int) -> str:
+    residues = "".join(sequence.codon_map(code)[a + b + c] for a in "TCAG" for b in "TCAG" for c in "TCAG")
+    return f"""WITH d AS (SELECT {key}, {_DNA.format(text)} AS s FROM {table}), st AS (SELECT {key}, 1 AS strand, s FROM d UNION ALL SELECT {key}, -1, reverse(translate(s, 'ACGT', 'TGCA')) FROM d),
+pr AS (SELECT {key}, strand, f AS frame, array_to_string(list_transform(regexp_extract_all(substr(s, f + 1), '...'), lambda c: {_CODON.format(residues)}), '') AS protein FROM st, unnest([0, 1, 2]) u(f)) """
+
+
+@query(_frames_sql("documents", "doc_id", "text", 1) + f""", x AS (SELECT doc_id, strand, frame, string_split(protein, '*') AS parts FROM pr), y AS (SELECT doc_id, strand, frame, parts, unnest(range(1, len(parts) + 1)) AS k FROM x)
+SELECT doc_id, strand::INT AS strand, frame::INT AS frame, (1 + coalesce(list_sum(list_transform(parts[1:k - 1], lambda z: length(z) + 1)), 0))::BIGINT AS at, parts[k] AS orf FROM y WHERE length(parts[k]) >= {FRAME_LEAST}""")
 def q38_open_reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.open_reading_frames(_t(spark, sf_dir, "documents"), symbols.as_dna(F.col("text")), "doc_id", least=FRAME_LEAST)
 
@@ -418,20 +453,25 @@ def q52_two_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.two_sets(_items(spark, sf_dir).select(F.col("item_id").alias("node")), _linked(spark, sf_dir))
 
 
-@query("SELECT 0::BIGINT AS n_broken")
+@query(_PAIRS_SQL + ", l AS (SELECT i AS x, j AS y FROM p WHERE pid >= 0.12 UNION ALL SELECT j, i FROM p WHERE pid >= 0.12), s AS (SELECT k, CASE WHEN k % 2 = 0 THEN 'S' WHEN k IN (SELECT y FROM l WHERE x % 2 = 0) THEN NULL ELSE 'T' END AS side FROM a) SELECT count(*) FILTER (WHERE side = 'S') AS n_s, count(*) FILTER (WHERE side = 'T') AS n_t, count(*) FILTER (WHERE side IS NULL) AS n_left_out, (SELECT count(*) FROM p JOIN s u ON u.k = p.i JOIN s v ON v.k = p.j WHERE pid >= 0.12 AND u.side <> v.side) AS n_broken FROM s")
 def q34_validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between the two sides of the split."""
-    return splitting.broken_links(q52_two_sets(spark, sf_dir).where("side IS NOT NULL"), _linked(spark, sf_dir), within=False).agg(F.count("*").alias("n_broken"))
+    """The sides of a split by even numbers, and the links between them."""
+    linked = _linked(spark, sf_dir)
+    sets = storage.checkpoint(splitting.two_sets(_items(spark, sf_dir).select(F.col("item_id").alias("node")), linked, first=F.col("node") % 2 == 0))
+    broken = splitting.broken_links(sets.where("side IS NOT NULL"), linked, within=False).agg(F.count("*").alias("n_broken"))
+    return sets.agg(F.count_if(F.col("side") == "S").alias("n_s"), F.count_if(F.col("side") == "T").alias("n_t"), F.count_if(F.col("side").isNull()).alias("n_left_out")).crossJoin(F.broadcast(broken))
 
 
 @query(None)
 def q53_tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(trees.weights(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH)), 6, "weight")
+    items = _items(spark, sf_dir)
+    return _r(trees.weights(items, "aln", "item_id", _item_row(items)), 6, "weight")
 
 
 @query(None)
 def q54_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.trees(_items(spark, sf_dir), "aln", "item_id", symbols.aligned(F.col("text"), ITEM_WIDTH))
+    items = _items(spark, sf_dir)
+    return trees.trees(items, "aln", "item_id", _item_row(items))
 
 
 @query(None)
@@ -646,3 +686,70 @@ def q80_pair_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def q81_random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.independent(spark, 100, 60, {"A": 1, "C": 2, "G": 2, "T": 1}, seed=7).unionByName(generation.chained(spark, 100, 60, {"A": 1, "C": 1}, {"A": {"C": 3, "A": 1}, "C": {"A": 1}}, seed=7))
+
+
+@query(_PAIRS_SQL + "SELECT 1 AS aln, count(*) AS nseq, max(length(s))::INT AS alen, sum(n)::BIGINT AS nres, min(n)::INT AS small, max(n)::INT AS large, round(avg(n), 6) AS avlen, (SELECT round(avg(pid), 6) FROM p) AS pid FROM a")
+def q82_alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    return _r(alignment.summary(items, "aln", "item_id", _item_row(items), most_pairs=None), 6, "avlen", "pid")
+
+
+_SHARES = ", ".join(f"('{c}', '{s}', {v!r}::DOUBLE)" for c, s, v in alignment.alphabet_shares("amino"))
+
+
+@query(_NAMES_SQL + f", w AS (SELECT p_partkey AS key, p_size / 10.0::DOUBLE AS w FROM part), t AS (SELECT * FROM (VALUES {_SHARES}) v(code, symbol, share)) SELECT aln, col::INT AS col, symbol AS res, round(sum(w * share), 5) AS n FROM res JOIN w USING (key) JOIN t ON res = code GROUP BY ALL")
+def q83_weighted_column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("aln"), F.col("p_partkey").alias("key"), (F.col("p_size") / 10).alias("weight"))
+    return _r(alignment.spread_counts(_names(spark, sf_dir), "amino", weights=weights), 5, "n")
+
+
+@query(f"SELECT 'GR' AS kind, p_partkey::VARCHAR AS name, 'PP' AS tag, regexp_replace({_ALN.format('p_name', NAME_WIDTH)}, '[A-Z]', '9', 'g') AS value FROM part UNION ALL SELECT 'GC', NULL, 'RF', repeat('x', {NAME_WIDTH}) FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 'GF', NULL, 'ID', p_brand FROM (SELECT DISTINCT p_brand FROM part)")
+def q84_annotation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated text of one alignment per brand, written and read again."""
+    part, path = _t(spark, sf_dir, "part"), _scratch(spark, "annotated")
+    rows = part.select(F.col("p_brand").alias("aln"), F.col("p_partkey").alias("seqidx"), F.col("p_partkey").cast("string").alias("name"), symbols.aligned(F.col("p_name"), NAME_WIDTH).alias("aseq"))
+    note = lambda df, kind, name, tag, value: df.select("aln", F.lit(kind).alias("kind"), name.cast("string").alias("name"), F.lit(tag).alias("tag"), value.alias("value"))
+    brands = rows.select("aln").distinct()
+    notes = note(rows, "GR", F.col("name"), "PP", F.regexp_replace("aseq", "[A-Z]", "9")).unionByName(note(brands, "GC", F.lit(None), "RF", F.lit("x" * NAME_WIDTH))).unionByName(note(brands, "GF", F.lit(None), "ID", F.col("aln")))
+    alignments.to_annotated(rows, notes).select("value").write.text(path)
+    return alignments.read_annotations(spark, path).select("kind", "name", "tag", "value")
+
+
+@query(f"SELECT min(bin * 5000.0::DOUBLE) FILTER (WHERE bin * 5000.0 >= 60000) AS phi, coalesce(sum(obs) FILTER (WHERE bin * 5000.0 >= 60000), 0)::BIGINT AS n_tail, sum(obs)::BIGINT AS n_all FROM {_BINS}")
+def q85_tail_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric.tail_by_score(_price_bins(spark, sf_dir), 60000.0)
+
+
+@query(f"SELECT bin, (bin + 1) * 5000.0::DOUBLE AS hi, round(900 - ln(1 - p) / 0.00002, 4) AS expected FROM (SELECT bin, (sum(obs) OVER (ORDER BY bin) / sum(obs) OVER ())::DOUBLE AS p FROM {_BINS}) WHERE p < 1")
+def q86_quantile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(numeric.quantile_pairs(_price_bins(spark, sf_dir), lambda p: distributions.exponential_inverse(p, 900.0, 0.00002)), 4, "expected")
+
+
+_PRICE_CDF = "CASE WHEN {0} < 900 THEN 0 ELSE 1 - exp(-0.00002::DOUBLE * ({0} - 900)) END"
+
+
+@query(f"SELECT bin, bin * 5000.0::DOUBLE AS lo, (bin + 1) * 5000.0::DOUBLE AS hi, obs, round(sum(obs) OVER () * ({_PRICE_CDF.format('(bin + 1) * 5000.0::DOUBLE')} - {_PRICE_CDF.format('bin * 5000.0::DOUBLE')}), 4) AS expected FROM {_BINS}")
+def q87_expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(numeric.expected_counts(_price_bins(spark, sf_dir), lambda x: distributions.exponential_cdf(x, 900.0, 0.00002)), 4, "expected")
+
+
+@query(_frames_sql("part", "p_partkey", "p_name", 2) + "SELECT p_partkey, strand::INT AS strand, frame::INT AS frame, protein FROM pr")
+def q88_another_genetic_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.translate_frames(_t(spark, sf_dir, "part"), symbols.as_dna(F.col("p_name")), "p_partkey", code=2)
+
+
+@query("SELECT p_brand AS aln, p_partkey AS key FROM part WHERE p_size < 5 OR p_size > 45")
+def q89_differing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", symbols.aligned(F.col("p_name"), NAME_WIDTH).alias("aseq"))
+    other = rows.where("p_size <= 45").withColumn("aseq", F.when(F.col("p_size") < 5, F.concat(F.lit("?"), F.substring("aseq", 2, NAME_WIDTH))).otherwise(F.lower(F.translate("aseq", "-", "."))))
+    return alignment.differing(rows, other, "p_brand", "p_partkey", "aseq")
+
+
+@query(_NAMES_SQL + "SELECT aln, key, string_agg(res, '' ORDER BY col) AS aseq FROM res WHERE col BETWEEN 3 AND 8 GROUP BY ALL")
+def q90_columns_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editing.rows_from_residues(alignment.columns_between(_names(spark, sf_dir), 3, 8))
+
+
+@query("SELECT p_brand AS aln, p_type AS name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def q91_repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.repeated_names(_t(spark, sf_dir, "part"), "p_brand", "p_type")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Rows = list[tuple[str, str]]
 SCHEMA = "path string, aln int, seqidx int, name string, aseq string"
@@ -29,32 +30,41 @@ def _same_width(rows: Rows) -> Rows:
     return rows
 
 
-def _gathered(pairs: Sequence[tuple[str, str]]) -> Rows:
-    out: dict[str, list[str]] = {}
-    for name, part in pairs:
-        out.setdefault(name, []).append(part)
-    return _same_width([(n, "".join(p)) for n, p in out.items()])
+def _gathered(blocks: Sequence[Sequence[tuple[str, str]]]) -> Rows:
+    """The rows of blocks that all hold the same names, each once, in the same order."""
+    blocks = [b for b in blocks if b]
+    if not blocks:
+        raise FormatError("no sequences")
+    names = [n for n, _ in blocks[0]]
+    if len(set(names)) < len(names):
+        raise FormatError(f"a name stands twice in one block: {next(n for k, n in enumerate(names) if n in names[:k])}")
+    for block in blocks[1:]:
+        if [n for n, _ in block] != names:
+            raise FormatError("blocks with different names")
+    return _same_width([(n, "".join(b[k][1] for b in blocks)) for k, n in enumerate(names)])
 
 
 def parse_stockholm(text: str) -> Iterator[Rows]:
-    block: list[tuple[str, str]] | None = None
+    blocks: list[list[tuple[str, str]]] | None = None
     for line in text.splitlines():
         line = line.strip()
         if line.startswith("# STOCKHOLM"):
-            if block is not None:
+            if blocks is not None:
                 raise FormatError("header inside an alignment")
-            block = []
+            blocks = [[]]
         elif line == "//":
-            if block is None:
+            if blocks is None:
                 raise FormatError("end without a header")
-            yield _gathered(block)
-            block = None
+            yield _gathered(blocks)
+            blocks = None
+        elif not line and blocks and blocks[-1]:
+            blocks.append([])
         elif line and not line.startswith("#"):
             fields = line.split()
-            if block is None or len(fields) != 2:
+            if blocks is None or len(fields) != 2:
                 raise FormatError(f"bad line: {line[:60]}")
-            block.append((fields[0], fields[1]))
-    if block is not None:
+            blocks[-1].append((fields[0], fields[1]))
+    if blocks is not None:
         raise FormatError("no end of the alignment")
 
 
@@ -101,16 +111,19 @@ def parse_a2m(text: str) -> Iterator[Rows]:
 
 
 def _interleaved(lines: Sequence[str]) -> Rows:
-    """Lines `name residues`, with an optional count at the end."""
-    pairs = []
+    """Blocks of lines `name residues`, with an optional count at the end, between blank lines."""
+    blocks: list[list[tuple[str, str]]] = [[]]
     for line in lines:
         f = line.split()
+        if not f:
+            blocks.append([])
+            continue
         if len(f) == 3 and f[2].isdigit():
             f.pop()
         if len(f) != 2:
             raise FormatError(f"bad line: {line[:60]}")
-        pairs.append((f[0], f[1]))
-    return _gathered(pairs)
+        blocks[-1].append((f[0], f[1]))
+    return _gathered(blocks)
 
 
 def parse_clustal(text: str) -> Iterator[Rows]:
@@ -118,24 +131,24 @@ def parse_clustal(text: str) -> Iterator[Rows]:
     heads = [k for k, x in enumerate(lines) if x.strip()]
     if not heads or not (lines[heads[0]].startswith("CLUSTAL") or "multiple sequence alignment" in lines[heads[0]]):
         raise FormatError("no heading line")
-    yield _interleaved([x for x in lines[heads[0] + 1 :] if x.strip() and not x[0].isspace()])
+    yield _interleaved([x for x in lines[heads[0] + 1 :] if not x.strip() or not x[0].isspace()])
 
 
 def parse_psiblast(text: str) -> Iterator[Rows]:
-    yield _interleaved([x for x in text.splitlines() if x.strip()])
+    yield _interleaved(text.splitlines())
 
 
 def parse_selex(text: str) -> Iterator[Rows]:
     """Blocks of `name residues`; spaces inside residues are gaps. Lines #= and % are annotation or comments."""
     blocks = [[x for x in b.splitlines() if x.strip() and x[0] not in "#%"] for b in re.split(r"\n[ \t\r]*\n", text)]
-    pairs = []
+    parts = []
     for block in filter(None, blocks):
         starts = [m.end() for x in block if (m := re.match(r"\S+\s+", x))]
         if len(starts) < len(block):
             raise FormatError("a name without residues")
         left, right = min(starts), max(len(x.rstrip()) for x in block)
-        pairs += [(x.split()[0], x.rstrip()[left:].ljust(right - left).replace(" ", ".")) for x in block]
-    yield _gathered(pairs)
+        parts.append([(x.split()[0], x.rstrip()[left:].ljust(right - left).replace(" ", ".")) for x in block])
+    yield _gathered(parts)
 
 
 def _phylip_head(lines: list[str]) -> tuple[int, int, list[str]]:
@@ -211,6 +224,25 @@ def read(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     return files.mapInPandas(run, SCHEMA)
 
 
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """The annotation of Stockholm files, one row per mark: path, aln, kind (GF of the alignment, GS of a sequence, GC by column, GR by residue), name (of the sequence, else null), tag, value."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for place, content in zip(batch["path"], batch["content"]):
+                notes = stockholm_annotation(bytes(content).decode("utf-8", "replace").replace("\r\n", "\n"))
+                yield pd.DataFrame([(place, *n) for n in notes], columns=["path", "aln", "kind", "name", "tag", "value"])
+
+    return files.mapInPandas(run, "path string, aln int, kind string, name string, tag string, value string")
+
+
+def residue_annotations(notes: DataFrame) -> DataFrame:
+    """GC and GR marks in long form: path, aln, name (null for GC), tag, col, mark."""
+    long = notes.where("kind IN ('GC', 'GR')").select("path", "aln", "name", "tag", F.posexplode(F.split("value", "")).alias("col", "mark"))
+    return long.where("mark <> ''").withColumn("col", F.col("col") + 1)
+
+
 def _blocks(rows: Rows, width: int) -> Iterator[list[tuple[str, str]]]:
     for at in range(0, max(1, len(rows[0][1])), width):
         yield [(n, s[at : at + width]) for n, s in rows]
@@ -220,6 +252,8 @@ def render(rows: Rows, form: str, width: int = 60) -> str:
     """The alignment as text in the named format."""
     pad = max(len(n) for n, _ in rows) + 1
     line = lambda n, s: n.ljust(pad) + s
+    if form in ("phylip", "phylips") and len({n[:10] for n, _ in rows}) < len(rows):
+        raise FormatError("names that are equal in their first ten characters")
     if form in ("stockholm", "pfam"):
         blocks = [rows] if form == "pfam" else _blocks(rows, width)
         return "# STOCKHOLM 1.0\n\n" + "\n\n".join("\n".join(line(*r) for r in b) for b in blocks) + "\n//\n"

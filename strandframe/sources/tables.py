@@ -45,11 +45,12 @@ def format_score_matrix(cells: Sequence[tuple[str, str, float]]) -> str:
 
 
 def rate_matrix(text: str, kinds: int = 20) -> tuple[list[tuple[int, int, float]], list[float]]:
-    """Lower triangle of exchangeabilities, then frequencies: (i, j, value) in both directions, and the frequencies."""
-    numbers = [float(x) for x in text.split() if x.replace(".", "", 1).replace("e-", "", 1).isdigit()]
+    """Lower triangle of exchangeabilities, then frequencies: (i, j, value) in both directions, and the frequencies. What follows these is a remark."""
     need = kinds * (kinds - 1) // 2
-    if len(numbers) < need + kinds:
-        raise ValueError(f"{len(numbers)} numbers; {need + kinds} are needed")
+    fields = text.split()[: need + kinds]
+    if len(fields) < need + kinds:
+        raise ValueError(f"{len(fields)} numbers; {need + kinds} are needed")
+    numbers = [float(x) for x in fields]  # anything else among them is an error
     cells, at = [], iter(numbers)
     for i in range(1, kinds):
         for j in range(i):
@@ -94,10 +95,3 @@ def tabular_hits(spark: SparkSession, path: str) -> DataFrame:
     names = "query target pct_id length mismatches gap_opens qstart qend tstart tend evalue score".split()
     kinds = "string string double int int int int int int int double double".split()
     return read_columns(spark, path).where(F.size("fields") >= 12).select(*[_field(i + 1, k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))])
-
-
-def to_gff(hits: DataFrame, *, source: str, feature: str) -> DataFrame:
-    """GFF lines of hits; a hit with tstart > tend lies on the other strand."""
-    strand = F.when(F.col("tstart") > F.col("tend"), "-").otherwise("+")
-    cols = [F.col("target"), F.lit(source), F.lit(feature), F.least("tstart", "tend").cast("string"), F.greatest("tstart", "tend").cast("string"), F.col("score").cast("string"), strand, F.lit("."), F.col("query")]
-    return hits.select(F.concat_ws("\t", *cols).alias("value"))

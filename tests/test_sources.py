@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.sources import alignments, packed, sequences, tables
+from strandframe.sources import reports, alignments, packed, sequences, tables
 
 ROWS = [("one", "AC-GTacgA"), ("two", "ACCGT---A"), ("three", "----TACGA")]
 
@@ -61,7 +61,10 @@ def test_text_tables(spark, tmp_path):
     assert tables.mixture("2 1 # sizes\n1.0 0.5 0.25\n") == [(1.0, [0.5, 0.25])]
     (tmp_path / "h").write_text("q t 90.0 10 1 0 1 10 30 21 1e-5 50\n# c\n")
     hits = tables.tabular_hits(spark, str(tmp_path / "h"))
-    assert tables.to_gff(hits, source="s", feature="hit").first()[0] == "t\ts\thit\t21\t30\t50.0\t-\t.\tq"
+    assert reports.to_lines(hits, "gff", source="s", feature="hit").first()[0] == 't\ts\thit\t30\t21\t50.0\t+\t.\tgene "q"'
+    with pytest.raises(ValueError):
+        tables.rate_matrix("1 2E-1 x\n.5 .3 .2", 3)
+    assert tables.rate_matrix("1 2E-1 3\n.5 .3 .2 a remark", 3)[0][2] == (2, 0, 0.2)
 
 
 def test_packed_store_and_key_index(spark, tmp_path):
@@ -71,3 +74,14 @@ def test_packed_store_and_key_index(spark, tmp_path):
     assert sorted(tuple(r) for r in packed.read(spark, str(tmp_path / "p")).select("name", "seq", "acc").collect()) == rows
     keys = spark.createDataFrame([("X3",), ("a",), ("zz",)], "key string")
     assert sorted((r.key, r.n_found, r.seq) for r in packed.fetch(spark, str(tmp_path / "p"), keys).collect()) == [("X3", 1, "ACGNT"), ("a", 1, "ACGTACG"), ("zz", 0, None)]
+
+
+def test_blocks_must_agree(spark):
+    head, end = "# STOCKHOLM 1.0\n", "//\n"
+    read = lambda body: list(alignments.parse_stockholm(head + body + end))
+    assert read("a AC\nb GT\n\na A\nb G\n") == [[("a", "ACA"), ("b", "GTG")]]
+    for bad in ("a AC\na GT\nb ACGT\n", "a AC\nb GT\n\nb AC\na GT\n", "a AC\nb GT\n\na AC\n"):
+        with pytest.raises(alignments.FormatError):
+            read(bad)
+    with pytest.raises(alignments.FormatError):
+        alignments.render([("abcdefghijk", "A"), ("abcdefghijl", "C")], "phylip")
