@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions import codecs, distributions, storage, symbols, vectors
-from strandframe.operators import alignment, annotation, columns, editing, fits, generation, models, numeric, pairwise, scoring, sequence, splitting, structure, trees
+from strandframe.functions import codecs, distributions, families, storage, symbols, vectors
+from strandframe.operators import alignment, annotation, columns, editing, fits, generation, matrices, models, numeric, pairwise, scoring, sequence, splitting, structure, trees
 from strandframe.sources import alignments, packed, reports, sequences
 from strandframe.streaming import events as streams
 
@@ -753,3 +753,32 @@ def q90_columns_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand AS aln, p_type AS name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
 def q91_repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.repeated_names(_t(spark, sf_dir, "part"), "p_brand", "p_type")
+
+
+_GEV_T = "(1 + 0.1::DOUBLE * 0.02 * (value - 200))"
+
+
+@query(f"""SELECT event_id, round(CASE WHEN value < 1 THEN 0 ELSE -0.01 * (value - 1) END, 7) AS exponential_log_survival, round(ln(0.02) - 0.02 * (value - 200) - exp(-0.02 * (value - 200)), 7) AS gumbel_log_pdf,
+round(-exp(-0.02 * (value - 200)), 7) AS gumbel_log_cdf, round(CASE WHEN {_GEV_T} > 0 THEN 0.02 * pow({_GEV_T}, -11.0) * exp(-pow({_GEV_T}, -10.0)) ELSE 0 END, 9) AS gev_pdf,
+round(CASE WHEN value < 0 THEN 0 ELSE -pow(0.005 * value, 1.5) END, 7) AS weibull_log_survival, round(0.3 * CASE WHEN {_GEV_T} > 0 THEN exp(-pow({_GEV_T}, -10.0)) ELSE 0 END + 0.7 * exp(-exp(-0.03 * (value - 300))), 8) AS mixture_cdf FROM events WHERE value IS NOT NULL""")
+def q92_distribution_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    gev = families.extreme_value(200.0, 0.02, 0.1)
+    out = _t(spark, sf_dir, "events").where("value IS NOT NULL").select(
+        "event_id", families.exponential(1.0, 0.01).log_survival(v).alias("exponential_log_survival"), families.gumbel(200.0, 0.02).log_pdf(v).alias("gumbel_log_pdf"), families.gumbel(200.0, 0.02).log_cdf(v).alias("gumbel_log_cdf"),
+        gev.pdf(v).alias("gev_pdf"), families.weibull(0.0, 0.005, 1.5).log_survival(v).alias("weibull_log_survival"), families.extreme_value_mixture([(0.3, 200.0, 0.02, 0.1), (0.7, 300.0, 0.03, 0.0)]).cdf(v).alias("mixture_cdf"),
+    )
+    return _r(_r(_r(out, 7, "exponential_log_survival", "gumbel_log_pdf", "gumbel_log_cdf", "weibull_log_survival"), 9, "gev_pdf"), 8, "mixture_cdf")
+
+
+@query("WITH m AS (SELECT p_brand AS i, p_size AS j, count(*)::DOUBLE AS v FROM part GROUP BY ALL) SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM m x JOIN m y ON x.j = y.j GROUP BY ALL")
+def q93_matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands by sizes, times its transpose."""
+    counts = _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("i"), F.col("p_size").alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return matrices.product(counts, matrices.transposed(counts))
+
+
+@query("WITH m AS (SELECT o_orderstatus AS i, o_orderpriority AS j, count(*)::DOUBLE AS v FROM orders GROUP BY ALL) SELECT i, j, round(v / sum(v) OVER (PARTITION BY i), 8) AS v FROM m")
+def q94_normalised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("i"), F.col("o_orderpriority").alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return _r(matrices.normalised_rows(counts), 8, "v")
