@@ -407,6 +407,10 @@ def test_simhash_against_brute_force(odd, docs):
         first.setdefault(root[v], k)
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert all(int(r.fingerprint, 16) == fps[k] and r.component_id == first[root[fps[k]]] for k, r in got.items())
+    with pytest.MonkeyPatch.context() as patch:  # all components by the broadcast of the large ones
+        patch.setattr(simhash, "LARGE_NODES", 0)
+        patch.setattr(simhash, "LARGE_ROOTS", 1 << 40)
+        assert {r.doc_id: r for r in simhash.near_duplicates(docs).collect()} == got
     got = simhash.near_duplicates(odd).collect()
     assert {r.component_id for r in got if r.doc_id in (0, 1, 3)} == {0} and {r.component_id for r in got if r.doc_id in (5, 6)} == {5}
     kept = simhash.one_of_each(odd)
