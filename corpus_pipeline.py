@@ -61,13 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents. Between two stages the rows are written to the shared checkpoint folder and read again."""
+    """Applies the stages to documents. Between two stages the rows are written to the shared checkpoint folder and read again; what a stage has read is deleted once its own rows are written, so the input of the last stage stays."""
     from strandframe.llm.common import checkpoint_folder
 
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     docs, folder = read_table(spark, sf_dir, "documents"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                old = hadoop(f"{folder}/{k - 1}")
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return docs
