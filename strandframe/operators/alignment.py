@@ -100,10 +100,11 @@ def columns_between(res: DataFrame, first: int, last: int, *, places: DataFrame
 
 
 def column_information(res: DataFrame, kinds: int = 26) -> DataFrame:
-    """log2(kinds) less the column's entropy over its residues, and the number of residues."""
-    counts = column_counts(res)
-    p = counts.withColumn("_p", F.col("n") / F.sum("n").over(Window.partitionBy("aln", "col")))
-    return p.groupBy("aln", "col").agg(F.sum("n").alias("n_res"), (F.log2(F.lit(float(kinds))) + F.sum(F.col("_p") * F.log2("_p"))).alias("information"))
+    """The number of residues, and log2(kinds) less the column's entropy over them; a column of gaps only has none and tells nothing."""
+    counts = res.groupBy("aln", "col", "res").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("res") != GAP, F.col("n")))
+    sums = counts.groupBy("aln", "col").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_res"), F.sum(F.col("n") * F.log2("n")).alias("_x"))
+    information = F.log2(F.lit(float(kinds))) - F.log2("n_res") + F.col("_x") / F.col("n_res")
+    return sums.select("aln", "col", "n_res", F.when(F.col("n_res") > 0, information).otherwise(0.0).alias("information"))
 
 
 def occupancy(res: DataFrame, gap_threshold: float = 0.5) -> DataFrame:

@@ -185,7 +185,7 @@ def q15_column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.column_counts(_names(spark, sf_dir))
 
 
-@query(_NAMES_SQL + ", c AS (SELECT aln, col, res, count(*) AS n FROM res WHERE res <> '-' GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY aln, col)::DOUBLE AS p FROM c) SELECT aln, col::INT AS col, sum(n)::BIGINT AS n_res, round(log2(26) + sum(p * log2(p)), 6) AS information FROM p GROUP BY aln, col")
+@query(_NAMES_SQL + ", c AS (SELECT aln, col, res, count(*) AS n FROM res WHERE res <> '-' GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY aln, col)::DOUBLE AS p FROM c), i AS (SELECT aln, col, sum(n)::BIGINT AS n_res, round(log2(26) + sum(p * log2(p)), 6) AS information FROM p GROUP BY aln, col) SELECT aln, col::INT AS col, coalesce(n_res, 0) AS n_res, coalesce(information, 0.0::DOUBLE) AS information FROM (SELECT DISTINCT aln, col FROM res) LEFT JOIN i USING (aln, col)")
 def q16_column_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(alignment.column_information(_names(spark, sf_dir)), 6, "information")
 
@@ -782,3 +782,11 @@ def q93_matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q94_normalised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("i"), F.col("o_orderpriority").alias("j")).agg(F.count("*").cast("double").alias("v"))
     return _r(matrices.normalised_rows(counts), 8, "v")
+
+
+@query(f"WITH a AS (SELECT {_ALN.format('p_name', NAME_WIDTH)} AS s FROM part) SELECT i::INT AS col, substr(s, i, 1) AS res, count(*) AS n FROM a, unnest(range(1, {NAME_WIDTH + 1})) u(i) GROUP BY ALL")
+def q95_line_column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column counts straight from the lines of a written alignment."""
+    part, path = _t(spark, sf_dir, "part"), _scratch(spark, "lines")
+    part.select(F.concat_ws(" ", F.col("p_partkey").cast("string"), symbols.aligned(F.col("p_name"), NAME_WIDTH)).alias("value")).write.text(path)
+    return alignments.column_counts(spark, path).groupBy("col", "res").agg(F.sum("n").alias("n"))

@@ -237,6 +237,13 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, aln int, kind string, name string, tag string, value string")
 
 
+def column_counts(spark: SparkSession, path: str) -> DataFrame:
+    """path, col, res, n of files that hold one alignment with one line a row: in one pass over the lines, so a file of any size is split among tasks and no alignment is ever held."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("_l")).where("_l <> '' AND _l NOT LIKE '#%' AND _l <> '//'")
+    long = lines.select("path", F.posexplode(F.split(F.regexp_extract("_l", r"^\S+\s+(\S+)$", 1), "")).alias("_at", "res")).where("res <> ''")
+    return long.groupBy("path", (F.col("_at") + 1).alias("col"), "res").agg(F.count("*").alias("n"))
+
+
 def residue_annotations(notes: DataFrame) -> DataFrame:
     """GC and GR marks in long form: path, aln, name (null for GC), tag, col, mark."""
     long = notes.where("kind IN ('GC', 'GR')").select("path", "aln", "name", "tag", F.posexplode(F.split("value", "")).alias("col", "mark"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.sources import reports, alignments, packed, sequences, tables
+from strandframe.sources import alignments, datasource, packed, reports, sequences, tables
 
 ROWS = [("one", "AC-GTacgA"), ("two", "ACCGT---A"), ("three", "----TACGA")]
 
@@ -85,3 +85,15 @@ def test_blocks_must_agree(spark):
             read(bad)
     with pytest.raises(alignments.FormatError):
         alignments.render([("abcdefghijk", "A"), ("abcdefghijl", "C")], "phylip")
+
+
+def test_files_as_formats(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "a").mkdir()
+    for k in range(3):
+        (tmp_path / "a" / f"{k}.sto").write_text(alignments.render(ROWS, "stockholm") * 2)
+    got = spark.read.format("alignment").load(str(tmp_path / "a")).collect()
+    assert sorted((r.aln, r.seqidx, r.name, r.aseq) for r in got) == sorted([(k, i, n, s) for k in (0, 1) for i, (n, s) in enumerate(ROWS)] * 3)
+    (tmp_path / "f.fa").write_text(">x one two\nAC\nGT\n>y\n\n")
+    assert sorted(map(tuple, spark.read.format("fasta").load(str(tmp_path / "f.fa")).collect())) == [("x", "one two", "ACGT"), ("y", "", "")]
+    assert spark.read.format("alignment").option("form", "afa").load(str(tmp_path / "f.fa")) is not None
