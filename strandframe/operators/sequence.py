@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,37 +181,62 @@ def codon_map(code: int = 1) -> dict[str, str]:
 
 
 def translate_frames(df: DataFrame, dna: Column, key: str, *, strands: tuple[int, ...] = (1, -1), code: int = 1) -> DataFrame:
-    """key, strand, frame (0 to 2), protein, by the genetic code of number `code`: codons through a map literal, X for codons with other letters."""
-    return _frames(df, dna, key, strands, code).drop("begins")
+    """key, strand, frame (0 to 2), protein, by the genetic code of number `code`; X for codons with other letters. A null sequence has no rows."""
+    return _frames(df, dna, key, strands, code, lambda protein, begins, frame: [{"frame": frame, "protein": protein}], "frame:int,protein:string")
 
 
-def _frames(df: DataFrame, dna: Column, key: str, strands: tuple[int, ...], code: int) -> DataFrame:
-    """With `begins`, an M at each residue whose codon may begin a protein and - at others."""
-    literal = lambda pairs: F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
-    table, starts = literal(codon_map(code)), F.array(*[F.lit(c) for c in GENETIC_CODES[code][1].split()])
+def _reader(code: int) -> Callable[[str, int], tuple[str, str]]:
+    """(protein, begins) of a strand from a frame on, by array operations; `begins` has an M at each residue whose codon may begin a protein and - at others."""
+    letters, known = "TCAG", codon_map(code)
+    codons = [a + b + c for a in letters for b in letters for c in letters]
+    residues = np.frombuffer("".join(known[c] for c in codons).encode() + b"X", dtype=np.uint8)
+    marks = np.frombuffer("".join("M" if c in GENETIC_CODES[code][1].split() else "-" for c in codons).encode() + b"-", dtype=np.uint8)
+    base = np.full(256, len(codons), dtype=np.int64)
+    for k, c in enumerate(letters):
+        base[ord(c)] = k
+
+    def read(text: str, frame: int) -> tuple[str, str]:
+        codes = base[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
+        three = codes[frame : frame + max(0, len(codes) - frame) // 3 * 3].reshape(-1, 3)
+        at = three @ np.array([16, 4, 1])
+        at[(three == len(codons)).any(axis=1)] = len(codons)
+        return residues[at].tobytes().decode(), marks[at].tobytes().decode()
+
+    return read
+
+
+def _frames(df: DataFrame, dna: Column, key: str, strands: tuple[int, ...], code: int, each: Callable[[str, str, int], list[dict]], schema: str) -> DataFrame:
+    """key, strand and what `each` lists of (protein, begins, frame) of every frame, in Arrow batches."""
+    read = _reader(code)
+
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda text: None if text is None else [x for f in range(3) for x in each(*read(text, f), f)], na_action="ignore")
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
     rows = df.select(F.col(key), dna.alias("_d")).select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("strand"), (F.col("_d") if s > 0 else symbols.reverse_complement(F.col("_d"))).alias("_s")) for s in strands])).alias("_x"))
-    rows = rows.select(key, "_x.*").select(key, "strand", "_s", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("frame"))
-    rows = rows.withColumn("_c", F.expr("regexp_extract_all(substr(_s, frame + 1), '(?s).{3}', 0)"))
-    protein = F.array_join(F.transform("_c", lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
-    begins = F.array_join(F.transform("_c", lambda c: F.when(F.array_contains(starts, c), "M").otherwise("-")), "")
-    return rows.select(key, "strand", "frame", protein.alias("protein"), begins.alias("begins"))
+    listed = F.pandas_udf(run, returnType=f"array<struct<{schema}>>")(F.col("_x._s"))
+    return rows.select(key, F.col("_x.strand").alias("strand"), F.explode(listed).alias("_f")).select(key, "strand", "_f.*")
 
 
 def open_reading_frames(df: DataFrame, dna: Column, key: str, *, least: int = 20, strands: tuple[int, ...] = (1, -1), code: int = 1, from_start: bool = False) -> DataFrame:
     """key, strand, frame, at (1-based residue in the frame's protein), orf: stretches of at least `least` residues without a stop.
 
     With `from_start` a stretch begins at its first codon that the genetic code lets begin a protein,
-    which is read as M; stretches without one are left out.
+    which is read as M; stretches without one are left out. A frame is read once, whatever its length.
     """
-    frames = _frames(df, dna, key, strands, code)
-    parts = frames.select(key, "strand", "frame", "begins", F.split("protein", r"\*").alias("_p"))
-    each = parts.select(key, "strand", "frame", "begins", "_p", F.posexplode("_p").alias("_k", "orf")).where(F.length("orf") >= least)
-    at = F.aggregate(F.slice("_p", F.lit(1), F.col("_k")), F.lit(1), lambda a, x: a + F.length(x) + 1)
-    each = each.select(key, "strand", "frame", "begins", at.cast("long").alias("at"), "orf")
-    if from_start:
-        first = F.instr(F.substring(F.col("begins"), F.col("at").cast("int"), F.length("orf")), "M")
-        each = each.withColumn("_f", first).where("_f > 0").select(key, "strand", "frame", "begins", (F.col("at") + F.col("_f") - 1).alias("at"), F.expr("concat('M', substr(orf, _f + 1))").alias("orf")).where(F.length("orf") >= least)
-    return each.drop("begins")
+
+    def each(protein: str, begins: str, frame: int) -> list[dict]:
+        out, at = [], 0
+        for part in protein.split("*"):
+            first = begins.find("M", at, at + len(part)) if from_start else at
+            if first >= 0:
+                orf = "M" + part[first - at + 1 :] if from_start else part
+                if len(orf) >= least:
+                    out.append({"frame": frame, "at": first + 1, "orf": orf})
+            at += len(part) + 1
+        return out
+
+    return _frames(df, dna, key, strands, code, each, "frame:int,at:bigint,orf:string")
 
 
 def fetch_by_key(keys: DataFrame, table: DataFrame, key: str, names: list[str], payload: list[str], *, strict: bool = False) -> DataFrame:
