@@ -43,6 +43,12 @@ def by_insert(res: DataFrame, places: DataFrame, place: int, least: int, most: i
     return (found if most is None else found.where(F.col("n") <= most)).select("aln", "key")
 
 
+def by_reference_length(res: DataFrame, places: DataFrame, *, least: float = 0.0, most: float = 1.0) -> DataFrame:
+    """(aln, key, n) of rows with residues in at least and at most these shares of the reference columns; n counts them. An alignment without a reference column has no row."""
+    held = res.join(places.where("held"), ["aln", "col"]).groupBy("aln", "key").agg(F.count_if(_is_residue(F.col("res"))).alias("n"), F.count("*").alias("_all"))
+    return held.where((F.col("n") >= least * F.col("_all")) & (F.col("n") <= most * F.col("_all"))).select("aln", "key", "n")
+
+
 def flush_left(res: DataFrame, places: DataFrame) -> DataFrame:
     """The long table with the residues of each insertion moved to its left end; the reference columns stay."""
     joined = res.join(places, ["aln", "col"])

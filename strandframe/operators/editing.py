@@ -52,6 +52,13 @@ def missing_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     return names.select(F.col(names.columns[0]).alias(column)).distinct().join(df, column, "left_anti")
 
 
+def reordered(df: DataFrame, order: DataFrame, column: str, *, rest: bool = False) -> DataFrame:
+    """Rows that `order(name, place)` lists, with `place`, by which the caller sorts or numbers them; a name listed twice has its least place. With `rest` the others stay, too, with a null place."""
+    name, place = order.columns[:2]
+    listed = order.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(column)).agg(F.min(place).alias("place"))
+    return df.join(listed, column, "left" if rest else "inner")
+
+
 def by_columns(res: DataFrame, mask: DataFrame) -> DataFrame:
     """The long table without the columns that `mask(aln, col, keep)` drops, columns numbered anew. A mask has one row per column, so its window is small."""
     place = F.sum(F.col("keep").cast("int")).over(Window.partitionBy("aln").orderBy("col"))

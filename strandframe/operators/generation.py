@@ -1,8 +1,4 @@
-"""Random sequences and weighted choices.
-
-Every draw is a hash of the seed, the row's key and the place, so a task that runs again gives the
-same rows, and no generator's state passes from row to row.
-"""
+"""Random sequences, weighted choices, and shuffled or resampled columns; all from the draws of `functions.draws`."""
 
 from __future__ import annotations
 
@@ -12,10 +8,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def uniform(seed: int, *keys: Column) -> Column:
-    """A double in [0, 1) from the top 53 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), *keys), 11) / F.lit(float(1 << 53))
+from strandframe.functions.draws import draw, uniform
 
 
 def _pick(u: Column, weights: Mapping[str, float]) -> Column:
@@ -33,7 +26,7 @@ def _pick(u: Column, weights: Mapping[str, float]) -> Column:
 
 def choice(weights: Mapping[str, float], *, seed: int, key: Column) -> Column:
     """One symbol per row by weight."""
-    return _pick(uniform(seed, key.cast("string")), weights)
+    return _pick(uniform(seed, key), weights)
 
 
 def independent(spark: SparkSession, n: int, length: int, weights: Mapping[str, float], *, seed: int) -> DataFrame:
@@ -61,7 +54,26 @@ def chained(spark: SparkSession, n: int, length: int, first: Mapping[str, float]
 def shuffled_windows(seq: Column, key: Column, width: int, *, seed: int) -> Column:
     """Symbols shuffled within windows of `width`, so that local composition stays."""
     at = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)))
-    ranked = F.transform(at, lambda i: F.struct(F.floor(i / width).alias("w"), F.xxhash64(F.lit(seed).cast("long"), key.cast("string"), i).alias("h"), i.alias("i")))
+    ranked = F.transform(at, lambda i: F.struct(F.floor(i / width).alias("w"), draw(seed, key, i).alias("h"), i.alias("i")))
     letters = F.transform(F.array_sort(ranked), lambda x: F.substr(seq, (x["i"] + 1).cast("int"), F.lit(1)))
     return F.when(seq.isNotNull(), F.array_join(letters, ""))
 
+
+
+def _columns(aseq: Column) -> Column:
+    return F.when(F.length(aseq) > 0, F.sequence(F.lit(1), F.length(aseq))).otherwise(F.array().cast("array<int>"))
+
+
+def _picked(aseq: Column, columns: Column) -> Column:
+    return F.when(aseq.isNotNull(), F.array_join(F.transform(columns, lambda c: F.substr(aseq, c.cast("int"), F.lit(1))), ""))
+
+
+def shuffled_columns(aseq: Column, aln: Column, *, seed: int) -> Column:
+    """The row with its columns in an order that all rows of alignment `aln` share. The order follows from the alignment's name and width, so no row needs another."""
+    ranked = F.transform(_columns(aseq), lambda i: F.struct(draw(seed, aln, i).alias("d"), i.alias("i")))
+    return _picked(aseq, F.transform(F.array_sort(ranked), lambda x: x["i"]))
+
+
+def resampled_columns(aseq: Column, aln: Column, *, seed: int) -> Column:
+    """A bootstrap sample: as many columns as the row has, drawn with replacement, the same for all rows of alignment `aln`."""
+    return _picked(aseq, F.transform(_columns(aseq), lambda i: draw(seed, aln, i) % F.length(aseq) + 1))

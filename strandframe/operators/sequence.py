@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from strandframe.functions import symbols
+from strandframe.functions.draws import draw
 from strandframe.functions.storage import checkpoint
 
 
@@ -255,5 +256,5 @@ def fetch_by_key(keys: DataFrame, table: DataFrame, key: str, names: list[str],
 
 
 def sample_rows(df: DataFrame, m: int, *, seed: int, key: str) -> DataFrame:
-    """m rows, repeatable: those with the least seeded hash of the key; each task keeps m at most."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(m)
+    """m rows, repeatable: those with the least draws by seed and key; each task keeps m at most."""
+    return df.orderBy(draw(seed, F.col(key)), key).limit(m)

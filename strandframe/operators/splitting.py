@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions.draws import draw, uniform
 from strandframe.functions.storage import checkpoint
 
 
@@ -18,10 +19,10 @@ def _both_ways(links: DataFrame) -> DataFrame:
 def independent_set(nodes: DataFrame, links: DataFrame, *, seed: int = 1, most_rounds: int = 100) -> DataFrame:
     """A maximal set of `nodes(node)` without a link between two of them.
 
-    In each round a node whose seeded hash is below those of all its undecided neighbours enters,
+    In each round a node whose seeded draw is below those of all its undecided neighbours enters,
     and its neighbours leave. So nodes decide together; the rounds are few with random ranks.
     """
-    rank = F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node")
+    rank = F.struct(draw(seed, F.col("node")).alias("h"), "node")
     left = checkpoint(nodes.select("node").distinct().withColumn("rank", rank))
     arcs = checkpoint(_both_ways(links))
     chosen = left.select("node").limit(0)
@@ -38,8 +39,8 @@ def independent_set(nodes: DataFrame, links: DataFrame, *, seed: int = 1, most_r
 
 
 def two_sets(nodes: DataFrame, links: DataFrame, *, share: float = 0.5, seed: int = 1, first: Column | None = None) -> DataFrame:
-    """(node, side): a split with no link from side S to side T; the nodes of T that are linked to S are left out (side null). S is drawn by seeded hashes, or holds the nodes for which `first` is true."""
-    in_s = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 20)) < share * (1 << 20) if first is None else first
+    """(node, side): a split with no link from side S to side T; the nodes of T that are linked to S are left out (side null). S is drawn by seed, or holds the nodes for which `first` is true."""
+    in_s = uniform(seed, F.col("node")) < share if first is None else first
     sided = nodes.select("node", F.when(in_s, "S").otherwise("T").alias("side"))
     near = _both_ways(links).join(sided.where("side = 'S'").select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().withColumn("near", F.lit(True))
     return sided.join(near, "node", "left").select("node", F.when((F.col("side") == "S") | F.col("near").isNull(), F.col("side")).alias("side"))

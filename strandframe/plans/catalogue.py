@@ -5,13 +5,14 @@ Doubles are rounded here, and only here, as sums of doubles depend on the order
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions import codecs, distributions, families, storage, symbols, vectors
+from strandframe.functions import codecs, distributions, draws, families, storage, symbols, vectors
 from strandframe.operators import alignment, annotation, columns, editing, fits, generation, matrices, models, numeric, pairwise, scoring, sequence, splitting, structure, trees
 from strandframe.sources import alignments, packed, reports, sequences
 from strandframe.streaming import events as streams
@@ -319,9 +320,17 @@ def q36_fit_lognormal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(numeric.fit_lognormal(_t(spark, sf_dir, "events"), "value", ["event_type"]), 6, "mu", "sigma")
 
 
-@query(None)
+def _bisected(cut: str, *, over: str = "", low: float, high: float, rounds: int = 80) -> str:
+    """A table `b(k, lo, hi)` whose last row encloses the place `m` at which the falling expression `cut` is zero, by halving in the logarithm. `cut` may sum over the tables `over`."""
+    groups = " GROUP BY k, lo, hi, m" if over else ""
+    return f"b AS (SELECT 0 AS k, {low!r}::DOUBLE AS lo, {high!r}::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN f > 0 THEN m ELSE lo END, CASE WHEN f > 0 THEN hi ELSE m END FROM (SELECT k, lo, hi, m, {cut} AS f FROM (SELECT *, sqrt(lo * hi) AS m FROM b WHERE k < {rounds}) h{over}{groups}) g), z AS (SELECT sqrt(lo * hi) AS m FROM b WHERE k = {rounds})"
+
+
+@query("WITH RECURSIVE v AS (SELECT o_totalprice::DOUBLE / 1000 AS x FROM orders WHERE o_totalprice IS NOT NULL), s AS (SELECT min(x) AS low, avg(x) AS mean, count(*) AS n FROM v), " + _bisected("1 / m - max(mean - low) + sum(exp(-m * (x - low)) * (x - low)) / sum(exp(-m * (x - low)))", over=", v, s", low=1e-6, high=1e3) + " SELECT round(max(low) - ln(sum(exp(-m * (x - low))) / max(n)) / max(m), 5) AS mu, round(max(m), 8) AS lambda, max(n) AS n FROM z, v, s")
 def q37_fit_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric.fit_gumbel(_t(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("x")), "x")
+    """The SQL halves the interval in which the score equation has its zero."""
+    fit = numeric.fit_gumbel(_t(spark, sf_dir, "orders").select((F.col("o_totalprice") / 1000).alias("x")), "x")
+    return _r(_r(fit, 5, "mu"), 8, "lambda")
 
 
 _CODON = "substr('{0}', (16 * (instr('TCAG', substr(c, 1, 1)) - 1) + 4 * (instr('TCAG', substr(c, 2, 1)) - 1) + instr('TCAG', substr(c, 3, 1)))::BIGINT, 1)"
@@ -349,7 +358,12 @@ def q39_fetch_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.fetch_by_key(keys, supplier, "key", ["s_suppkey", "s_nationkey"], ["s_name"])
 
 
-@query(None)
+def _draw_sql(seed: int, *keys: str) -> str:
+    parts = " || ".join(f"':' || coalesce(({k})::VARCHAR, '')" for k in keys)
+    return f"('0x' || substr(md5('{seed}' || {parts}), 1, {draws.DIGITS}))::BIGINT"
+
+
+@query(f"SELECT doc_id, lang, n_chars FROM documents ORDER BY {_draw_sql(42, 'doc_id')}, doc_id LIMIT 100")
 def q40_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.sample_rows(_t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 100, seed=42, key="doc_id")
 
@@ -443,12 +457,12 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).where("pid >= 0.12").select(F.col("i").alias("a"), F.col("j").alias("b"))
 
 
-@query(None)
+@query(_PAIRS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f", l AS (SELECT i AS x, j AS y FROM p WHERE pid >= 0.12 UNION ALL SELECT j, i FROM p WHERE pid >= 0.12), o AS (SELECT k, row_number() OVER (ORDER BY {_draw_sql(1, 'k')}, k) AS r, coalesce((SELECT list(y) FROM l WHERE x = k), []) AS near FROM a), t AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS s UNION ALL SELECT o.r, CASE WHEN list_has_any(s, near) THEN s ELSE list_append(s, k) END FROM t JOIN o ON o.r = t.r + 1) SELECT unnest(s) AS node FROM t WHERE r = (SELECT count(*) FROM o)")
 def q51_independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.independent_set(_items(spark, sf_dir).select(F.col("item_id").alias("node")), _linked(spark, sf_dir))
 
 
-@query(None)
+@query(_PAIRS_SQL + f", l AS (SELECT i AS x, j AS y FROM p WHERE pid >= 0.12 UNION ALL SELECT j, i FROM p WHERE pid >= 0.12), d AS (SELECT k, {_draw_sql(1, 'k')} / {draws.RANGE}::DOUBLE < 0.5 AS s FROM a) SELECT k AS node, CASE WHEN s THEN 'S' WHEN k IN (SELECT y FROM l JOIN d u ON u.k = x WHERE u.s) THEN NULL ELSE 'T' END AS side FROM d")
 def q52_two_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.two_sets(_items(spark, sf_dir).select(F.col("item_id").alias("node")), _linked(spark, sf_dir))
 
@@ -474,23 +488,40 @@ def q54_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.trees(items, "aln", "item_id", _item_row(items))
 
 
-@query(None)
+#: The digamma function at m: shifted up by ten, then by its asymptotic series.
+_DIGAMMA = "(ln(m + 10) - 1 / (2 * (m + 10)) - 1 / (12 * pow(m + 10, 2)) + 1 / (120 * pow(m + 10, 4)) - 1 / (252 * pow(m + 10, 6)) + 1 / (240 * pow(m + 10, 8))" + "".join(f" - 1 / (m + {k})" for k in range(10)) + ")"
+
+
+@query("WITH RECURSIVE s AS (SELECT avg(value) AS mean, ln(avg(value)) - avg(ln(value)) AS c FROM events WHERE value > 0), " + _bisected(f"ln(m) - {_DIGAMMA} - (SELECT c FROM s)", low=1e-3, high=1e3) + " SELECT round(m / mean, 7) AS lambda, round(m, 7) AS tau FROM z, s")
 def q55_fit_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     lam, tau = fits.fit_gamma(_t(spark, sf_dir, "events"), "value")
-    return spark.createDataFrame([(lam, tau)], "lambda double, tau double")
+    return _r(spark.createDataFrame([(lam, tau)], "lambda double, tau double"), 7, "lambda", "tau")
 
 
-@query(None)
+@query("WITH RECURSIVE s AS (SELECT max(value) AS top FROM events), v AS (SELECT ln(value / top) AS y FROM events, s WHERE value > 0), " + _bisected("1 / m + avg(y) - sum(exp(m * y) * y) / sum(exp(m * y))", over=", v", low=1e-3, high=1e3) + " SELECT round(pow(avg(exp(m * y)), -1 / max(m)) / max(top), 7) AS lambda, round(max(m), 7) AS tau FROM z, v, s")
 def q56_fit_weibull(spark: SparkSession, sf_dir: str) -> DataFrame:
     lam, tau = fits.fit_weibull(_t(spark, sf_dir, "events"), "value")
-    return spark.createDataFrame([(lam, tau)], "lambda double, tau double")
+    return _r(spark.createDataFrame([(lam, tau)], "lambda double, tau double"), 7, "lambda", "tau")
 
 
 #: Two states over four nucleotides: an even one and one rich in C and G.
 _TWO_STATES = models.HiddenMarkov("ACGT", [0.5, 0.5], [[0.85, 0.1], [0.1, 0.85]], [0.05, 0.05], [[0.25] * 4, [0.1, 0.4, 0.4, 0.1]])
 
 
-@query(None)
+def _log_sql(p: float) -> str:
+    return f"'{math.log(p)!r}'::DOUBLE"
+
+
+_RICH = "CASE WHEN substr(d, {0}, 1) IN ('C', 'G') THEN {1} ELSE {2} END"
+_STAY, _MOVE, _EVEN = _log_sql(0.85), _log_sql(0.1), _log_sql(0.25)
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT p_partkey, {_DNA.format('p_name')} AS d FROM part),
+r AS (SELECT p_partkey, d, 1 AS i, 0.125::DOUBLE AS f1, 0.5::DOUBLE * {_RICH.format('1', 0.4, 0.1)} AS f2, {_log_sql(0.5)} + {_EVEN} AS v1, {_log_sql(0.5)} + {_RICH.format('1', _log_sql(0.4), _log_sql(0.1))} AS v2, '0' AS p1, '1' AS p2 FROM a WHERE length(d) > 0
+UNION ALL SELECT p_partkey, d, i + 1, (f1 * 0.85 + f2 * 0.1) * 0.25, (f1 * 0.1 + f2 * 0.85) * {_RICH.format('i + 1', 0.4, 0.1)}, greatest(v1 + {_STAY}, v2 + {_MOVE}) + {_EVEN}, greatest(v1 + {_MOVE}, v2 + {_STAY}) + {_RICH.format('i + 1', _log_sql(0.4), _log_sql(0.1))},
+CASE WHEN v2 + {_MOVE} > v1 + {_STAY} THEN p2 ELSE p1 END || '0', CASE WHEN v2 + {_STAY} > v1 + {_MOVE} THEN p2 ELSE p1 END || '1' FROM r WHERE i < length(d))
+SELECT p_partkey, round(ln((f1 + f2) * 0.05), 6) AS log_likelihood, CASE WHEN v2 > v1 THEN p2 ELSE p1 END AS states FROM r WHERE i = length(d)
+UNION ALL SELECT p_partkey, CASE WHEN d = '' THEN 0 END, d FROM a WHERE coalesce(d, '') = ''""")
 def q57_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part").select("p_partkey", symbols.as_dna(F.col("p_name")).alias("d"))
     return part.select("p_partkey", F.round(models.log_likelihood(F.col("d"), _TWO_STATES), 6).alias("log_likelihood"), F.array_join(models.best_path(F.col("d"), _TWO_STATES), "").alias("states"))
@@ -683,7 +714,14 @@ def q80_pair_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.conflicts(_support(spark, sf_dir))
 
 
-@query(None)
+def _share_sql(key: str) -> str:
+    return f"{_draw_sql(7, 'id', key)} / {draws.RANGE}::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT id, i, {_share_sql('i')} AS u FROM range(100) x(id), range(1, 61) y(i)),
+c AS (SELECT id, 1 AS i, CASE WHEN {_share_sql('1')} < 0.5 THEN 'A' ELSE 'C' END AS seq FROM range(100) x(id)
+UNION ALL SELECT id, i + 1, seq || CASE WHEN right(seq, 1) = 'A' AND {_share_sql('i + 1')} < 0.75 THEN 'C' ELSE 'A' END FROM c WHERE i < 60)
+SELECT id, string_agg(CASE WHEN u < 1 / 6::DOUBLE THEN 'A' WHEN u < 3 / 6::DOUBLE THEN 'C' WHEN u < 5 / 6::DOUBLE THEN 'G' ELSE 'T' END, '' ORDER BY i) AS seq FROM u GROUP BY id UNION ALL SELECT id, seq FROM c WHERE i = 60""")
 def q81_random_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.independent(spark, 100, 60, {"A": 1, "C": 2, "G": 2, "T": 1}, seed=7).unionByName(generation.chained(spark, 100, 60, {"A": 1, "C": 1}, {"A": {"C": 3, "A": 1}, "C": {"A": 1}}, seed=7))
 
@@ -790,3 +828,40 @@ def q95_line_column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, path = _t(spark, sf_dir, "part"), _scratch(spark, "lines")
     part.select(F.concat_ws(" ", F.col("p_partkey").cast("string"), symbols.aligned(F.col("p_name"), NAME_WIDTH)).alias("value")).write.text(path)
     return alignments.column_counts(spark, path).groupBy("col", "res").agg(F.sum("n").alias("n"))
+
+
+_ROWS_SQL = f"WITH a AS (SELECT p_partkey, p_brand, {_ALN.format('p_name', NAME_WIDTH)} AS s FROM part) SELECT p_partkey, string_agg({{0}}, '' ORDER BY {{1}}) AS aseq FROM a, unnest(range(1, {NAME_WIDTH + 1})) u(i) GROUP BY p_partkey"
+
+
+@query(_ROWS_SQL.format("substr(s, i, 1)", f"{_draw_sql(5, 'p_brand', 'i')}, i"))
+def q96_shuffled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aseq = generation.shuffled_columns(symbols.aligned(F.col("p_name"), NAME_WIDTH), F.col("p_brand"), seed=5)
+    return _t(spark, sf_dir, "part").select("p_partkey", aseq.alias("aseq"))
+
+
+@query(_ROWS_SQL.format(f"substr(s, {_draw_sql(5, 'p_brand', 'i')} % {NAME_WIDTH} + 1, 1)", "i"))
+def q97_resampled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aseq = generation.resampled_columns(symbols.aligned(F.col("p_name"), NAME_WIDTH), F.col("p_brand"), seed=5)
+    return _t(spark, sf_dir, "part").select("p_partkey", aseq.alias("aseq"))
+
+
+@query("SELECT p_partkey, p_name, place FROM part LEFT JOIN (SELECT l_partkey, count(*) AS place FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def q98_reordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the order of their number of orders."""
+    order = _t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("place"))
+    return editing.reordered(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), order, "p_partkey", rest=True)
+
+
+@query(_HELD_SQL + ", n AS (SELECT aln, key, count(*) FILTER (WHERE res <> '-') AS n, count(*) AS total FROM res JOIN pl USING (aln, col) WHERE held GROUP BY ALL) SELECT aln, key, n FROM n WHERE n >= 0.8 * total")
+def q99_by_reference_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = _names(spark, sf_dir)
+    return annotation.by_reference_length(res, _places(res), least=0.8)
+
+
+@query(f"SELECT p_partkey::VARCHAR AS name, {_RES.format('p_name')} AS seq FROM part WHERE p_name IS NOT NULL")
+def q100_terminated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as a daemon is sent them, written and read."""
+    part, path = _t(spark, sf_dir, "part").where("p_name IS NOT NULL"), _scratch(spark, "daemon")
+    text = sequences.to_fasta(part, name=F.col("p_partkey").cast("string"), seq=symbols.residues_only(F.col("p_name")))
+    sequences.save(text.select(F.concat("value", F.lit("\n//")).alias("value")), path)
+    return sequences.read(spark, path, "daemon").select("name", "seq")

@@ -18,7 +18,11 @@ def _squeezed(c: Column) -> Column:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """`>name description` and sequence lines."""
-    rows = spark.read.text(path, lineSep="\n>").where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    return _records(spark.read.text(path, lineSep="\n>"))
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    rows = rows.where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
     record = F.regexp_replace("value", "^>", "")
     head = F.regexp_extract(record, r"\A([^\n\r]*)", 1)
     return rows.select(
@@ -29,6 +33,18 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_terminated(spark: SparkSession, path: str) -> DataFrame:
+    """Records as of `read_fasta`, each ended by a line `//`, as a daemon is sent them; what stands behind the slashes is ignored, and so is a rest without a record."""
+    rows = spark.read.text(path, lineSep="\n//").select(F.regexp_replace("value", r"\A[^>]*", "").alias("value"))
+    return _records(rows)
+
+
+def read_headed(spark: SparkSession, path: str) -> DataFrame:
+    """Records as of `read_fasta` below one line `#` of counts, as a search daemon's database has it."""
+    rows = spark.read.text(path, lineSep="\n>")
+    return _records(rows.where(~F.rtrim("value").rlike(r"\A#[ \t]*\d+(?:[ \t]+\S+)*[ \t\r]*\z")))
+
+
 def _flat(spark: SparkSession, path: str) -> DataFrame:
     """Records that end in a line `//`."""
     return spark.read.text(path, lineSep="\n//").select(F.regexp_replace("value", r"\A\s+", "").alias("r")).where("r <> ''")
@@ -60,7 +76,7 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-READERS = {"fasta": read_fasta, "embl": read_embl, "uniprot": read_embl, "genbank": read_genbank, "ddbj": read_genbank}
+READERS = {"fasta": read_fasta, "embl": read_embl, "uniprot": read_embl, "genbank": read_genbank, "ddbj": read_genbank, "daemon": read_terminated, "hmmpgmd": read_headed}
 
 
 def read(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
@@ -68,7 +84,7 @@ def read(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     if form is None:
         first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
         line = first[0][0] if first else ">"
-        form = "fasta" if line.startswith(">") else "embl" if line.startswith("ID ") else "genbank" if line.startswith("LOCUS") else None
+        form = "fasta" if line.startswith(">") else "hmmpgmd" if line.startswith("#") else "embl" if line.startswith("ID ") else "genbank" if line.startswith("LOCUS") else None
         if form is None:
             raise ValueError(f"unknown sequence format: {line[:40]!r}")
     return READERS[form](spark, path)
