@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +139,18 @@ def position_weights(res: DataFrame) -> DataFrame:
     raw = res.join(share, ["aln", "col", "res"], "left").groupBy("aln", "key").agg((F.coalesce(F.sum("share"), F.lit(0.0)) / F.greatest(F.count("share"), F.lit(1))).alias("raw"))
     totals = raw.groupBy("aln").agg(F.sum("raw").alias("_sum"), F.count("*").alias("_n"))
     return raw.join(totals, "aln").select("aln", "key", F.when(F.col("_sum") > 0, F.col("raw") * F.col("_n") / F.col("_sum")).otherwise(1.0).alias("weight"))
+
+
+#: Groups of amino acids that replace each other often, and those that do so at times.
+STRONG_GROUPS = ("STA", "NEQK", "NHQK", "NDEQ", "QHRK", "MILV", "MILF", "HY", "FYW")
+WEAK_GROUPS = ("CSA", "ATV", "SAG", "STNK", "STPA", "SGND", "SNDEQK", "NDEQHK", "NEQHRK", "FVLIM", "HFY")
+AMINO = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def conservation(res: DataFrame, *, letters: str = AMINO, strong: Sequence[str] = STRONG_GROUPS, weak: Sequence[str] = WEAK_GROUPS) -> DataFrame:
+    """(aln, col, mark): * for columns of one letter, : for those within a strong group, . within a weak one, else a space. A column with a gap or another symbol has a space."""
+    found = res.groupBy("aln", "col").agg(F.sort_array(F.collect_set(F.upper("res"))).alias("_s"))
+    within = lambda group: F.size(F.array_except("_s", F.array(*[F.lit(c) for c in group]))) == 0
+    any_of = lambda groups: reduce(Column.__or__, map(within, groups), F.lit(False))
+    mark = F.when(~within(letters), " ").when(F.size("_s") == 1, "*").when(any_of(strong), ":").when(any_of(weak), ".").otherwise(" ")
+    return found.select("aln", "col", mark.alias("mark"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,3 +232,70 @@ def fit_hyperexponential(df: DataFrame, value: str, mu: float = 0.0, *, parts: i
         before = now
     order = np.argsort(lam)
     return [(float(q[k]), float(lam[k])) for k in order]
+
+
+def fit_dirichlet_mixture(df: DataFrame, counts: str, parts: int, *, rounds: int = 100, tolerance: float = 1e-7, seed: int = 1) -> tuple[list[tuple[float, list[float]]], list[float]]:
+    """[(weight, alpha), ...] of a mixture of Dirichlet priors for arrays of whole counts, and the log-likelihood before each round.
+
+    Each round is one pass: tasks sum the shares of the parts and the terms of a fixed-point step that
+    cannot lower the likelihood; one number per parameter is summed over tasks. Nulls and empty counts
+    are left out; arrays must be equally long.
+    """
+    rows = df.select(F.col(counts).cast("array<long>").alias("c")).where(F.expr("c IS NOT NULL AND aggregate(c, 0L, (a, x) -> a + x) > 0"))
+    each = rows.select(F.posexplode("c").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()  # one row per symbol
+    if not each:
+        raise ValueError("no counts")
+    mean = np.array([r["n"] for r in each], float) + 1
+    mean, size = mean / mean.sum(), len(each)
+    rng = np.random.default_rng(seed)
+    alphas, weights = mean * size * rng.uniform(0.5, 1.5, (parts, size)), np.full(parts, 1 / parts)
+
+    def summed(weights: np.ndarray, alphas: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(1 + parts * (size + 2))
+            for batch in batches:
+                if len(batch):
+                    total += expected(np.array(batch["c"].tolist(), dtype=np.int64))
+            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+
+        def expected(c: np.ndarray) -> np.ndarray:
+            # ln Gamma(a + n) - ln Gamma(a) and its derivative are sums over 0 .. n - 1, looked up by n
+            n = c.sum(axis=1)
+            logs, steps, wholes = np.empty((len(c), parts)), np.empty((parts, len(c), size)), np.empty((parts, len(c)))
+            with np.errstate(divide="ignore"):
+                for q in range(parts):
+                    log = np.log(weights[q])
+                    for k in (*range(size), None):
+                        a, at = (alphas[q].sum(), n) if k is None else (alphas[q, k], c[:, k])
+                        up = a + np.arange(at.max())
+                        gained = np.concatenate([[0.0], np.cumsum(np.log(up))])[at]
+                        slope = np.concatenate([[0.0], np.cumsum(1 / up)])[at]
+                        if k is None:
+                            log, wholes[q] = log - gained, slope
+                        else:
+                            log, steps[q, :, k] = log + gained, slope
+                    logs[:, q] = log
+            top = logs.max(axis=1, keepdims=True)
+            share = np.exp(logs - top)
+            whole = share.sum(axis=1, keepdims=True)
+            share /= whole
+            out = [np.array([(top + np.log(whole)).sum()])]
+            for q in range(parts):
+                out += [np.array([share[:, q].sum(), share[:, q] @ wholes[q]]), share[:, q] @ steps[q]]
+            return np.concatenate(out)
+
+        return run
+
+    history: list[float] = []
+    for _ in range(rounds):
+        found = rows.mapInPandas(summed(weights, alphas), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # one row per parameter
+        total = np.zeros(1 + parts * (size + 2))
+        for r in found:
+            total[r["k"]] = r["v"]
+        history.append(float(total[0]))
+        table = total[1:].reshape(parts, size + 2)
+        weights = table[:, 0] / table[:, 0].sum()
+        alphas = np.maximum(alphas * table[:, 2:] / np.maximum(table[:, 1:2], 1e-300), 1e-8)
+        if len(history) > 1 and history[-1] - history[-2] < tolerance * abs(history[-1]):
+            break
+    return [(float(w), a.tolist()) for w, a in zip(weights, alphas)], history

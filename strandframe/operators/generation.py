@@ -7,6 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandframe.functions.draws import draw, uniform
 
@@ -77,3 +78,11 @@ def shuffled_columns(aseq: Column, aln: Column, *, seed: int) -> Column:
 def resampled_columns(aseq: Column, aln: Column, *, seed: int) -> Column:
     """A bootstrap sample: as many columns as the row has, drawn with replacement, the same for all rows of alignment `aln`."""
     return _picked(aseq, F.transform(_columns(aseq), lambda i: draw(seed, aln, i) % F.length(aseq) + 1))
+
+
+def shuffled_within_columns(res: DataFrame, *, seed: int) -> DataFrame:
+    """The long table (aln, key, col, res) with the symbols of each column dealt anew over the rows. An alignment's columns are apart, so its rows share no task."""
+    column = Window.partitionBy("aln", "col")
+    key, drawn = F.row_number().over(column.orderBy("key")), F.row_number().over(column.orderBy(draw(seed, F.col("aln"), F.col("key"), F.col("col")), "key"))
+    ranked = res.select("aln", "col", "key", "res", key.alias("_k"), drawn.alias("_d"))
+    return ranked.select("aln", "col", "key", F.col("_k").alias("_n")).join(ranked.select("aln", "col", "res", F.col("_d").alias("_n")), ["aln", "col", "_n"]).select("aln", "key", "col", "res")

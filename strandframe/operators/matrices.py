@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,45 @@ def normalised_rows(a: DataFrame) -> DataFrame:
     return a.join(sums, "i").select("i", "j", (F.col("v") / F.col("_s")).alias("v"))
 
 
+def _per_matrix(a: DataFrame, by: Sequence[str], make: Callable[[np.ndarray, list], list[tuple]], names: Sequence[str], kinds: str) -> DataFrame:
+    """`make` of each matrix, square over the labels of both sides. A matrix is held by one task, so it must fit there; its size is that of the labels, not of the rows they came from."""
+    keys = list(by)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        labels = sorted(set(part["i"]) | set(part["j"]))
+        at = {x: k for k, x in enumerate(labels)}
+        full = np.zeros((len(labels), len(labels)))
+        np.add.at(full, (part["i"].map(at).to_numpy(), part["j"].map(at).to_numpy()), part["v"].to_numpy(float))
+        head = tuple(part[k].iloc[0] for k in keys)
+        return pd.DataFrame([(*head, *row) for row in make(full, labels)], columns=[*keys, *names])
+
+    kept = a.select(*keys, "i", "j", F.col("v").cast("double").alias("v")).where("i IS NOT NULL AND j IS NOT NULL AND v IS NOT NULL")
+    heads = ", ".join(f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys)
+    return kept.groupBy(*keys).applyInPandas(run, f"{heads}, {kinds.format(i=kept.schema['i'].dataType.simpleString())}")
+
+
+def inverse(a: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The inverse of the matrix of each group `by`, as (by, i, j, v); a singular one has no row."""
+
+    def make(full: np.ndarray, labels: list) -> list[tuple]:
+        if np.linalg.matrix_rank(full) < len(full):
+            return []
+        return [(x, y, float(v)) for x, row in zip(labels, np.linalg.inv(full)) for y, v in zip(labels, row)]
+
+    return _per_matrix(a, by, make, ("i", "j", "v"), "i {i}, j {i}, v double")
+
+
+def eigenvalues(a: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, k, v): the eigenvalues of the symmetric matrix of each group, the largest first; one that is not symmetric has no row."""
+
+    def make(full: np.ndarray, labels: list) -> list[tuple]:
+        if not np.allclose(full, full.T):
+            return []
+        return [(k + 1, float(v)) for k, v in enumerate(np.linalg.eigvalsh(full)[::-1])]
+
+    return _per_matrix(a, by, make, ("k", "v"), "k int, v double")
+
+
 def rate_matrix(exchange: Sequence[Sequence[float]], frequencies: Sequence[float]) -> np.ndarray:
     """Rates of a reversible model: exchangeabilities times target frequencies, rows summing to zero, one change per unit of time."""
     s, p = np.asarray(exchange, dtype=float), np.asarray(frequencies, dtype=float)

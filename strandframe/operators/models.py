@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sequences that step together have at most so many symbols, padding included.
+CELLS = 1 << 20
+
 
 @dataclass(frozen=True)
 class HiddenMarkov:
@@ -28,21 +31,45 @@ class HiddenMarkov:
         other = np.ones(len(e))
         return np.array([table.get(c, other) for c in seq])
 
+    def _blocks(self, seqs: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The places of nonempty sequences, the longest first, their lengths, and their symbols' numbers, one row each; a block has at most CELLS symbols or one sequence."""
+        letters = np.array([ord(c) for c in self.alphabet], dtype=np.uint32)
+        order = np.argsort(letters)
+        places = sorted((k for k, s in enumerate(seqs) if s), key=lambda k: -len(seqs[k]))
+        at = 0
+        while at < len(places):
+            part = places[at : at + max(1, CELLS // len(seqs[places[at]]))]
+            lengths = np.array([len(seqs[k]) for k in part])
+            codes = np.zeros((len(part), lengths[0]), dtype=np.int64)
+            for row, k in zip(codes, part):
+                found = np.frombuffer(seqs[k].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                near = order[np.minimum(np.searchsorted(letters, found, sorter=order), len(letters) - 1)]
+                row[: len(found)] = np.where(letters[near] == found, near, len(letters))
+            yield np.array(part), lengths, codes
+            at += len(part)
+
+    def _emitted(self) -> np.ndarray:
+        """Emissions by symbol number; the last row is that of other symbols."""
+        e = np.asarray(self.emit, float)
+        return np.vstack([e.T, np.ones(len(e))])
+
+    def log_likelihoods(self, seqs: Sequence[str]) -> np.ndarray:
+        """Natural logs of the sequences' probabilities by the forward recursion, scaled at each step; all sequences of a block step together. An empty sequence gives 0."""
+        out, move, emitted = np.zeros(len(seqs)), np.asarray(self.move, float), self._emitted()
+        for part, lengths, codes in self._blocks(seqs):
+            total, f = np.zeros(len(part)), np.tile(np.asarray(self.start, float), (len(part), 1))
+            with np.errstate(divide="ignore"):
+                for k in range(lengths[0]):
+                    m = np.searchsorted(-lengths, -k, side="left")  # rows longer than k
+                    now = (f[:m] if k == 0 else f[:m] @ move) * emitted[codes[:m, k]]
+                    s = now.sum(axis=1)
+                    total[:m] += np.log(s)
+                    f[:m] = now / np.where(s > 0, s, 1)[:, None]
+                out[part] = total + np.log(f @ np.asarray(self.end, float))
+        return out
+
     def log_likelihood(self, seq: str) -> float:
-        """Natural log of the sequence's probability by the forward recursion, scaled at each step. An empty sequence gives 0."""
-        if not seq:
-            return 0.0
-        total, move = 0.0, np.asarray(self.move, float)
-        f = None
-        for e in self._emissions(seq):
-            f = (np.asarray(self.start, float) if f is None else f @ move) * e
-            s = f.sum()
-            if s <= 0:
-                return float("-inf")
-            total += np.log(s)
-            f = f / s
-        last = float(f @ np.asarray(self.end, float))
-        return float(total + np.log(last)) if last > 0 else float("-inf")
+        return float(self.log_likelihoods([seq])[0])
 
     def posterior(self, seq: str) -> np.ndarray:
         """Probability of each state at each place."""
@@ -83,22 +110,33 @@ class HiddenMarkov:
                 emitted[:, at[c]] += row
         return np.array([np.log(scale).sum() + np.log(last)]), p[0], moves, p[-1], emitted
 
-    def best_path(self, seq: str) -> tuple[float, list[int]]:
-        """Log probability and states of the likeliest path; ties take the least state."""
-        if not seq:
-            return 0.0, []
+    def best_paths(self, seqs: Sequence[str]) -> list[tuple[float, list[int]]]:
+        """Log probability and states of each sequence's likeliest path; ties take the least state."""
+        out: list[tuple[float, list[int]]] = [(0.0, [])] * len(seqs)
         with np.errstate(divide="ignore"):
-            move, e = np.log(np.asarray(self.move, float)), np.log(self._emissions(seq))
-            v, back = np.log(np.asarray(self.start, float)) + e[0], []
-            for row in e[1:]:
-                step = v[:, None] + move
-                back.append(step.argmax(axis=0))
-                v = step.max(axis=0) + row
-            v = v + np.log(np.asarray(self.end, float))
-        path = [int(v.argmax())]
-        for pointers in reversed(back):
-            path.append(int(pointers[path[-1]]))
-        return float(v.max()), path[::-1]
+            start, move, end, emitted = (np.log(np.asarray(x, float)) for x in (self.start, self.move, self.end, self._emitted()))
+        for part, lengths, codes in self._blocks(seqs):
+            n, longest = codes.shape
+            back = np.zeros((longest, n, len(start)), dtype=np.int32)
+            v = start + emitted[codes[:, 0]]
+            for k in range(1, longest):
+                m = np.searchsorted(-lengths, -k, side="left")
+                step = v[:m, :, None] + move
+                back[k, :m] = step.argmax(axis=1)
+                v[:m] = step.max(axis=1) + emitted[codes[:m, k]]
+            v = v + end
+            path = np.zeros((n, longest), dtype=np.int64)
+            rows = np.arange(n)
+            path[rows, lengths - 1] = v.argmax(axis=1)
+            for k in range(longest - 1, 0, -1):
+                m = np.searchsorted(-lengths, -k, side="left")
+                path[:m, k - 1] = back[k, rows[:m], path[:m, k]]
+            for row, place in enumerate(part):
+                out[place] = (float(v[row].max()), path[row, : lengths[row]].tolist())
+        return out
+
+    def best_path(self, seq: str) -> tuple[float, list[int]]:
+        return self.best_paths([seq])[0]
 
 
 def per_sequence(seq: Column, f: Callable[[str], object], returns: str) -> Column:
@@ -112,12 +150,27 @@ def per_sequence(seq: Column, f: Callable[[str], object], returns: str) -> Colum
     return F.pandas_udf(run, returnType=returns)(seq)
 
 
+def _per_batch(seq: Column, f: Callable[[list[str]], Sequence], returns: str) -> Column:
+    """`f` of the sequences of a batch together; null stays null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            held = batch[batch.notna()]
+            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            for place, value in zip(held.index, f(held.tolist())):
+                out.at[place] = value
+            yield out
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, returnType=returns)(seq)
+
+
 def log_likelihood(seq: Column, model: HiddenMarkov) -> Column:
-    return per_sequence(seq, model.log_likelihood, "double")
+    return _per_batch(seq, lambda seqs: model.log_likelihoods(seqs).tolist(), "double")
 
 
 def best_path(seq: Column, model: HiddenMarkov) -> Column:
-    return per_sequence(seq, lambda s: model.best_path(s)[1], "array<int>")
+    return _per_batch(seq, lambda seqs: [path for _, path in model.best_paths(seqs)], "array<int>")
 
 
 def local_score(a: str, b: str, scores: Mapping[tuple[str, str], float], opening: float, extending: float, other: float = 0.0) -> float:
@@ -209,8 +262,8 @@ def train(df: DataFrame, seq: str, model: HiddenMarkov, *, rounds: int = 20, tol
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(1 + size + size * size + size + size * kinds)
             for batch in batches:
-                for s in batch["s"]:
-                    if s and np.isfinite(now.log_likelihood(s)):
+                for s, log in zip(batch["s"], now.log_likelihoods(batch["s"].tolist())):
+                    if np.isfinite(log):
                         total += flat(now.expected_counts(s))
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 

@@ -24,11 +24,23 @@ def cluster(d: np.ndarray, linkage: str = "average") -> list[tuple[int, int, flo
     members = np.ones(size)
     alive = np.zeros(size, bool)
     alive[:n] = True
+    # for each node the nearest of those with greater numbers, the least of equals
+    least, nearest = np.full(size, np.inf), np.zeros(size, int)
+
+    def look(node: int) -> None:
+        later = node + 1 + np.flatnonzero(alive[node + 1 :])
+        least[node] = np.inf
+        if len(later):
+            nearest[node] = later[np.argmin(work[node, later])]
+            least[node] = work[node, nearest[node]]
+
+    for node in range(n):
+        look(node)
     out = []
     for new in range(n, size):
+        a = int(np.argmin(least))
+        b = int(nearest[a])
         ids = np.flatnonzero(alive)
-        part = np.triu(work[np.ix_(ids, ids)], 1) + np.tril(np.full((len(ids), len(ids)), np.inf))
-        a, b = (ids[k] for k in np.unravel_index(np.argmin(part), part.shape))
         height = work[a, b] / 2 if linkage in ("average", "weighted") else work[a, b]
         rest = ids[(ids != a) & (ids != b)]
         if linkage == "average":
@@ -40,6 +52,12 @@ def cluster(d: np.ndarray, linkage: str = "average") -> list[tuple[int, int, flo
         work[new, rest] = work[rest, new] = merged
         members[new] = members[a] + members[b]
         alive[[a, b]], alive[new] = False, True
+        least[[a, b]] = np.inf
+        stale = np.isin(nearest[rest], (a, b)) & np.isfinite(least[rest])
+        for node in rest[stale]:
+            look(node)
+        closer = rest[merged < least[rest]]
+        least[closer], nearest[closer] = work[closer, new], new
         out.append((int(a), int(b), float(height)))
     return out
 
@@ -90,6 +108,24 @@ def parse_newick(text: str) -> list[tuple[int, int | None, str, float]]:
     raise ValueError("no semicolon")
 
 
+def clades(text: str) -> set[frozenset[str]]:
+    """The sets of leaf names below the nodes of a tree in Newick form."""
+    rows = parse_newick(text)
+    below: dict[int, set[str]] = {node: set() for node, *_ in rows}
+    inner = {parent for _, parent, *_ in rows}
+    for node, parent, name, _ in reversed(rows):
+        if node not in inner:
+            below[node].add(name)
+        if parent is not None:
+            below[parent] |= below[node]
+    return {frozenset(x) for x in below.values()}
+
+
+def same_shape(a: str, b: str) -> bool:
+    """Whether two rooted trees join the same names in the same way, whatever the order of branches and their lengths."""
+    return clades(a) == clades(b)
+
+
 def tree_weights(merges: Sequence[tuple[int, int, float]], n: int) -> np.ndarray:
     """Weights that sum to n: each branch's length goes to the leaves below it in proportion to what they hold."""
     if n == 0 or not merges:

@@ -601,7 +601,10 @@ def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.residue_table(_t(spark, sf_dir, "part"), "p_brand", "p_partkey", row)
 
 
-@query(f"WITH a AS (SELECT p_brand AS aln, p_partkey AS key, {_ALN.format('p_name', NAME_WIDTH)} AS s, lpad(regexp_replace({_RES.format('p_name')}, '^$', '-'), {NAME_WIDTH + 4}, '-') AS t FROM part), x AS (SELECT aln, key, i, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM a, unnest(range(1, {NAME_WIDTH + 1})) u(i) WHERE substr(s, i, 1) <> '-'), y AS (SELECT key, i AS j, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM a, unnest(range(1, {NAME_WIDTH + 5})) u(i) WHERE substr(t, i, 1) <> '-') SELECT aln, i::INT AS i, j::INT AS j, count(*) AS n FROM x JOIN y USING (key, k) GROUP BY aln, i, j")
+_SHARED_SQL = f"WITH a AS (SELECT p_brand AS aln, p_partkey AS key, {_ALN.format('p_name', NAME_WIDTH)} AS s, lpad(regexp_replace({_RES.format('p_name')}, '^$', '-'), {NAME_WIDTH + 4}, '-') AS t FROM part), x AS (SELECT aln, key, i, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM a, unnest(range(1, {NAME_WIDTH + 1})) u(i) WHERE substr(s, i, 1) <> '-'), y AS (SELECT key, i AS j, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM a, unnest(range(1, {NAME_WIDTH + 5})) u(i) WHERE substr(t, i, 1) <> '-') SELECT aln, i::INT AS i, j::INT AS j, count(*) AS n FROM x JOIN y USING (key, k) GROUP BY aln, i, j"
+
+
+@query(_SHARED_SQL)
 def q66_shared_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.shared_residues(_names(spark, sf_dir), _shifted(spark, sf_dir))
 
@@ -611,6 +614,13 @@ def q67_column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_map(_names(spark, sf_dir), _shifted(spark, sf_dir))
 
 
+@query("WITH RECURSIVE c AS (" + _SHARED_SQL + f"), g AS (SELECT aln, d.i, list(coalesce(n, 0) ORDER BY d.j) AS r FROM (SELECT aln, u.i, w.j FROM (SELECT DISTINCT aln FROM c), range(1, {NAME_WIDTH + 1}) u(i), range(1, {NAME_WIDTH + 5}) w(j)) d LEFT JOIN c USING (aln, i, j) GROUP BY ALL), t AS (SELECT aln, 0::BIGINT AS i, [0::BIGINT for x in range({NAME_WIDTH + 5})] AS m FROM (SELECT DISTINCT aln FROM c) UNION ALL SELECT t.aln, g.i, list_concat([0::BIGINT], [list_max([greatest(m[x + 1], m[x] + r[x]) for x in range(1, j + 1)]) for j in range(1, {NAME_WIDTH + 5})]) FROM t JOIN g ON g.aln = t.aln AND g.i = t.i + 1) SELECT aln, m[{NAME_WIDTH + 5}] AS total FROM t WHERE i = {NAME_WIDTH}")
+def q67b_column_map_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many residues the map of each alignment shares, which the SQL finds by dynamic programming over all pairs of columns."""
+    mapped = columns.column_map(_names(spark, sf_dir), _shifted(spark, sf_dir))
+    return mapped.groupBy("aln").agg(F.sum("n").alias("total"))
+
+
 def _two_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     early, late = "xxxx..xxxxxx", "xxxxxx..xxxx"
     return _t(spark, sf_dir, "part").select(F.col("p_size").alias("aln"), F.col("p_partkey").alias("key"), symbols.aligned(F.col("p_name"), NAME_WIDTH).alias("aseq"), F.when(F.col("p_size") % 2 == 0, early).otherwise(late).alias("reference"))
@@ -865,3 +875,37 @@ def q100_terminated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = sequences.to_fasta(part, name=F.col("p_partkey").cast("string"), seq=symbols.residues_only(F.col("p_name")))
     sequences.save(text.select(F.concat("value", F.lit("\n//")).alias("value")), path)
     return sequences.read(spark, path, "daemon").select("name", "seq")
+
+
+@query(_NAMES_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY aln, col ORDER BY key) AS k, row_number() OVER (PARTITION BY aln, col ORDER BY {_draw_sql(9, 'aln', 'key', 'col')}, key) AS d FROM res) SELECT x.aln, x.key, string_agg(y.res, '' ORDER BY x.col) AS aseq FROM r x JOIN r y ON x.aln = y.aln AND x.col = y.col AND x.k = y.d GROUP BY ALL")
+def q101_shuffled_within_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editing.rows_from_residues(generation.shuffled_within_columns(_names(spark, sf_dir), seed=9))
+
+
+def _within_sql(groups: tuple[str, ...]) -> str:
+    return " OR ".join(f"bool_and(contains('{g}', res))" for g in groups)
+
+
+@query(_NAMES_SQL + f" SELECT aln, col::INT AS col, CASE WHEN NOT ({_within_sql((alignment.AMINO,))}) THEN ' ' WHEN count(DISTINCT res) = 1 THEN '*' WHEN {_within_sql(alignment.STRONG_GROUPS)} THEN ':' WHEN {_within_sql(alignment.WEAK_GROUPS)} THEN '.' ELSE ' ' END AS mark FROM res GROUP BY ALL")
+def q102_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.conservation(_names(spark, sf_dir))
+
+
+def _tables(spark: SparkSession, sf_dir: str, j: str) -> DataFrame:
+    """Two by two counts of orders for each priority, with heavy diagonals."""
+    n = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g"), (F.col("o_orderkey") % 2).alias("i"), F.expr(j).alias("j")).agg(F.count("*").alias("n"))
+    return n.select("g", "i", "j", (F.col("n") + F.when(F.col("i") == F.col("j"), 100000).otherwise(0)).cast("double").alias("v"))
+
+
+@query("WITH m AS (SELECT o_orderpriority AS g, 100000 + count(*) FILTER (WHERE o_orderkey % 2 = 0 AND o_custkey % 2 = 0)::DOUBLE AS a, count(*) FILTER (WHERE o_orderkey % 2 = 0 AND o_custkey % 2 = 1)::DOUBLE AS b, count(*) FILTER (WHERE o_orderkey % 2 = 1 AND o_custkey % 2 = 0)::DOUBLE AS c, 100000 + count(*) FILTER (WHERE o_orderkey % 2 = 1 AND o_custkey % 2 = 1)::DOUBLE AS d FROM orders GROUP BY 1) SELECT g, i, j, round(CASE WHEN i = 0 AND j = 0 THEN d WHEN i = 1 AND j = 1 THEN a WHEN i = 0 THEN -b ELSE -c END / (a * d - b * c), 12) AS v FROM m, range(2) x(i), range(2) y(j)")
+def q103_matrix_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(matrices.inverse(_tables(spark, sf_dir, "o_custkey % 2"), ["g"]), 12, "v")
+
+
+@query("WITH m AS (SELECT o_orderpriority AS g, 100000 + count(*) FILTER (WHERE o_orderkey % 2 = 0)::DOUBLE AS a, 100000 + count(*) FILTER (WHERE o_orderkey % 2 = 1)::DOUBLE AS d, count(*)::DOUBLE AS b FROM orders GROUP BY 1) SELECT g, k::INT AS k, round((a + d) / 2 + (3 - 2 * k) * sqrt((a - d) * (a - d) / 4 + b * b), 6) AS v FROM m, range(1, 3) x(k)")
+def q104_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The even and odd orders of each priority on the diagonal, all of them beside it."""
+    diagonal = _tables(spark, sf_dir, "o_orderkey % 2")
+    total = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g")).agg(F.count("*").cast("double").alias("v"))
+    beside = total.select("g", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")), F.struct(F.lit(1).alias("i"), F.lit(0).alias("j")))).alias("c"), "v").select("g", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"), "v")
+    return _r(matrices.eigenvalues(diagonal.unionByName(beside), ["g"]), 6, "v")

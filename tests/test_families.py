@@ -61,3 +61,18 @@ def test_rates_and_probabilities(spark):
     assert table.count() == 32 and table.where("time = 0 AND a = b AND p = 1").count() == 4
     with pytest.raises(ValueError):
         matrices.rate_matrix([[0, 1], [2, 0]], [0.5, 0.5])
+
+
+def test_inverses_and_eigenvalues(spark):
+    rng = np.random.default_rng(6)
+    full = {"a": rng.normal(size=(5, 5)), "b": np.ones((3, 3))}
+    rows = [(g, int(i), int(j), float(m[i, j])) for g, m in full.items() for i, j in np.ndindex(m.shape)]
+    df = spark.createDataFrame(rows, "g string, i long, j long, v double")
+    got = matrices.inverse(df, ["g"]).collect()
+    back = np.zeros((5, 5))
+    for r in got:
+        back[r.i, r.j] = r.v
+    assert {r.g for r in got} == {"a"} and full["a"] @ back == pytest.approx(np.eye(5), abs=1e-9)  # the other is singular
+    values = matrices.eigenvalues(df, ["g"]).collect()
+    assert {r.g for r in values} == {"b"} and [r.v for r in sorted(values, key=lambda r: r.k)] == pytest.approx([3, 0, 0], abs=1e-9)
+    assert matrices.inverse(df.limit(0), ["g"]).isEmpty()

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandframe.operators import models
@@ -61,3 +62,30 @@ def test_shuffles_keep_what_they_promise(spark):
     df = spark.createDataFrame([(1, "ABCDEFGH"), (2, None)], "k int, s string")
     one, two = (df.select(models.shuffled(F.col("s"), F.col("k"), seed=3).alias("t")).collect() for _ in range(2))
     assert one == two and sorted(one[0].t) == list("ABCDEFGH") and one[1].t is None
+
+
+def test_batches_give_what_enumeration_gives():
+    rng = random.Random(8)
+    model = models.HiddenMarkov("AB", [0.6, 0.4], [[0.7, 0.2], [0.3, 0.5]], [0.1, 0.2], [[0.9, 0.1], [0.2, 0.8]])
+    seqs = ["".join(rng.choice("ABx") for _ in range(rng.randrange(7))) for _ in range(60)] + ["A" * 3000, ""]
+    logs, paths = model.log_likelihoods(seqs), model.best_paths(seqs)
+
+    def chance(s, path):
+        p = model.start[path[0]]
+        for k, (c, x) in enumerate(zip(s, path)):
+            p *= (model.move[path[k - 1]][x] if k else 1) * (model.emit[x]["AB".index(c)] if c in "AB" else 1)
+        return p * model.end[path[-1]]
+
+    for s, log, (best, path) in zip(seqs[:60], logs, paths):
+        every = [chance(s, p) for p in itertools.product(range(2), repeat=len(s))] if s else [1]
+        assert log == pytest.approx(math.log(sum(every))) and best == pytest.approx(math.log(max(every)))
+        assert len(path) == len(s) and (not s or chance(s, path) == pytest.approx(max(every)))
+    assert np.isfinite(logs[60]) and len(paths[60][1]) == 3000 and (logs[61], paths[61]) == (0, (0.0, []))
+    assert models.HiddenMarkov("AB", [1], [[0.5]], [0.5], [[1, 0]]).log_likelihood("AB") == float("-inf")
+
+
+def test_columns_of_models_keep_nulls(spark):
+    model = models.HiddenMarkov("AB", [1.0], [[0.5]], [0.5], [[0.5, 0.5]])
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "AB")], "k int, s string")
+    got = {r.k: (r.a, r.b) for r in rows.select("k", models.log_likelihood(F.col("s"), model).alias("a"), models.best_path(F.col("s"), model).alias("b")).collect()}
+    assert got[0] == (None, None) and got[1] == (0.0, []) and got[2] == (pytest.approx(math.log(1 / 16)), [0, 0])

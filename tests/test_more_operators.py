@@ -168,3 +168,53 @@ def test_streams(spark, tmp_path):
     stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     want = {r.id for r in df.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(10).collect()}
     assert {r.id for r in spark.read.parquet(str(tmp_path / "r/3")).collect()} == want
+
+
+def test_clustering_takes_the_least_pair_of_nodes():
+    def plain(d, linkage):
+        groups, near, out = {k: [k] for k in range(len(d))}, {(a, b): d[a, b] for a in range(len(d)) for b in range(a + 1, len(d))}, []
+        while len(groups) > 1:
+            a, b = min(near, key=lambda p: (near[p], p))
+            new = len(d) + len(out)
+            out.append((a, b, near[a, b] / 2 if linkage in ("average", "weighted") else near[a, b]))
+            for c in groups:
+                if c not in (a, b):
+                    x, y = near[min(a, c), max(a, c)], near[min(b, c), max(b, c)]
+                    p, q = len(groups[a]), len(groups[b])
+                    near[c, new] = {"average": (x * p + y * q) / (p + q), "weighted": (x + y) / 2, "single": min(x, y), "complete": max(x, y)}[linkage]
+            groups[new] = groups.pop(a) + groups.pop(b)
+            near = {p: v for p, v in near.items() if not {a, b} & set(p)}
+        return out
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 9, 14):
+        for linkage in trees.LINKAGES:
+            d = rng.integers(1, 6, (n, n)).astype(float)  # many ties
+            d = np.triu(d, 1) + np.triu(d, 1).T
+            assert trees.cluster(d, linkage) == [(a, b, pytest.approx(h)) for a, b, h in plain(d, linkage)]
+
+
+def test_shapes_of_trees():
+    assert trees.same_shape("((a:1,b:2):1,c:3);", "(c,(b,a));")
+    assert not trees.same_shape("((a,b),c);", "((a,c),b);") and not trees.same_shape("(a,b);", "(a,c);")
+
+
+def test_mixture_of_dirichlet_priors_is_found(spark):
+    rng = np.random.default_rng(5)
+    true = [(0.7, [8.0, 1.0, 1.0]), (0.3, [0.5, 4.0, 4.0])]
+    rows = [(rng.multinomial(40, rng.dirichlet(true[int(rng.random() < 0.3)][1])).tolist(),) for _ in range(1500)] + [([0, 0, 0],), (None,)]
+    found, history = fits.fit_dirichlet_mixture(spark.createDataFrame(rows, "c array<long>"), "c", 2, rounds=60)
+    assert all(b >= a - 1e-6 * abs(a) for a, b in zip(history, history[1:]))
+    for (w, alpha), (want, prior) in zip(sorted(found, reverse=True), true):
+        assert w == pytest.approx(want, abs=0.05) and np.array(alpha) / sum(alpha) == pytest.approx(np.array(prior) / sum(prior), abs=0.04)
+    mean = sum(distributions.dirichlet_log_marginal(c, [1.0, 1.0, 1.0]) for c, in rows[:-2])
+    assert history[-1] > mean  # better than one even prior
+    with pytest.raises(ValueError):
+        fits.fit_dirichlet_mixture(spark.createDataFrame([], "c array<long>"), "c", 2)
+
+
+def test_rows_in_a_listed_order(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    order = spark.createDataFrame([("c", 1), ("a", 2), ("a", 9), ("x", 3), (None, 4)], "n string, at int")
+    assert [r.name for r in editing.reordered(rows, order, "name").orderBy("place").collect()] == ["c", "a"]
+    assert {(r.name, r.place) for r in editing.reordered(rows, order, "name", rest=True).collect()} == {("c", 1), ("a", 2), ("b", None)}

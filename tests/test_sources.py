@@ -97,3 +97,11 @@ def test_files_as_formats(spark, tmp_path):
     (tmp_path / "f.fa").write_text(">x one two\nAC\nGT\n>y\n\n")
     assert sorted(map(tuple, spark.read.format("fasta").load(str(tmp_path / "f.fa")).collect())) == [("x", "one two", "ACGT"), ("y", "", "")]
     assert spark.read.format("alignment").option("form", "afa").load(str(tmp_path / "f.fa")) is not None
+
+
+def test_records_of_daemons(spark, tmp_path):
+    (tmp_path / "d").write_text(">one first thing\nACG\nTT\n// end\n>two\nGG\n//\n>none\n//\n")
+    rows = sequences.read(spark, str(tmp_path / "d"), "daemon").collect()
+    assert {(r.name, r.description, r.seq) for r in rows} == {("one", "first thing", "ACGTT"), ("two", "", "GG"), ("none", "", "")}
+    (tmp_path / "h").write_text("# 7 1 2 2 2 2 Thu Nov 26\n>1 101\nACGTT\n>#2 111\nGG\n")
+    assert {(r.name, r.seq) for r in sequences.read(spark, str(tmp_path / "h")).collect()} == {("1", "ACGTT"), ("#2", "GG")}
