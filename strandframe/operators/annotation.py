@@ -49,6 +49,22 @@ def by_reference_length(res: DataFrame, places: DataFrame, *, least: float = 0.0
     return held.where((F.col("n") >= least * F.col("_all")) & (F.col("n") <= most * F.col("_all"))).select("aln", "key", "n")
 
 
+def shared_inserts(res: DataFrame, places: DataFrame, queries: DataFrame) -> DataFrame:
+    """(aln, a, b, n_shared, n_inserts, share): for each row a of `queries(aln, key)` and each other row b of its alignment, the gaps between reference columns in which either has an insertion, and those in which the insertions of both begin in the same column. Without any insertion the share is 1.
+
+    Only rows that meet in an insertion are joined on it; the result has a row for each pair.
+    """
+    first = res.where(_is_residue(F.col("res"))).join(places.where("NOT held"), ["aln", "col"]).groupBy("aln", "key", "place").agg(F.min("col").alias("_at"))
+    counts = first.groupBy("aln", "key").agg(F.count("*").alias("_n"))
+    rows = res.where("col = 1").select("aln", "key").join(counts, ["aln", "key"], "left").select("aln", "key", F.coalesce("_n", F.lit(0)).alias("_n"))
+    asked = rows.join(queries.select("aln", "key").distinct(), ["aln", "key"], "left_semi").select("aln", F.col("key").alias("a"), F.col("_n").alias("_x"))
+    pairs = asked.join(rows.select("aln", F.col("key").alias("b"), F.col("_n").alias("_y")), "aln").where("a <> b")
+    mine = first.join(queries.select("aln", "key").distinct(), ["aln", "key"], "left_semi").select("aln", "place", F.col("key").alias("a"), F.col("_at").alias("_i"))
+    met = mine.join(first.select("aln", "place", F.col("key").alias("b"), F.col("_at").alias("_j")), ["aln", "place"]).where("a <> b").groupBy("aln", "a", "b").agg(F.count("*").alias("_both"), F.count_if(F.col("_i") == F.col("_j")).alias("_same"))
+    out = pairs.join(met, ["aln", "a", "b"], "left").select("aln", "a", "b", F.coalesce("_same", F.lit(0)).alias("n_shared"), (F.col("_x") + F.col("_y") - F.coalesce("_both", F.lit(0))).alias("n_inserts"))
+    return out.withColumn("share", F.when(F.col("n_inserts") == 0, 1.0).otherwise(F.col("n_shared") / F.col("n_inserts")))
+
+
 def flush_left(res: DataFrame, places: DataFrame) -> DataFrame:
     """The long table with the residues of each insertion moved to its left end; the reference columns stay."""
     joined = res.join(places, ["aln", "col"])

@@ -172,3 +172,37 @@ def weights(rows: DataFrame, aln: str, key: str, aseq: Column) -> DataFrame:
     """(aln, key, weight) from the average-linkage tree."""
     make = lambda pdf: pd.DataFrame({"aln": pdf["aln"], "key": pdf["key"], "weight": tree_weights(cluster(difference(list(pdf["s"]))), len(pdf))})
     return _per_alignment(rows, aln, key, aseq, make, "aln {aln}, key {key}, weight double")
+
+
+def cut(merges: Sequence[tuple[int, int, float]], n: int, parts: int) -> list[int]:
+    """For each of n leaves its cluster, numbered from 0 by the least leaf, when the last merges are undone until `parts` clusters stand (fewer leaves: one each)."""
+    if parts < 1:
+        raise ValueError("at least one cluster is needed")
+    root = list(range(n + len(merges)))
+    for k in range(max(0, n - parts) - 1, -1, -1):
+        a, b, _ = merges[k]
+        root[a] = root[b] = root[n + k]
+    seen: dict[int, int] = {}
+    return [seen.setdefault(root[leaf], len(seen)) for leaf in range(n)]
+
+
+def parts_with(merges: Sequence[tuple[int, int, float]], n: int, size: int) -> int:
+    """The most clusters into which the tree can be cut so that one has `size` leaves or more; 1 if none ever has."""
+    members = [1] * n
+    for k, (a, b, _) in enumerate(merges):
+        if max(members, default=0) >= size:
+            return n - k
+        members.append(members[a] + members[b])
+    return 1
+
+
+def partition(rows: DataFrame, aln: str, key: str, aseq: Column, parts: int | None = None, *, size: int | None = None, linkage: str = "single") -> DataFrame:
+    """(aln, key, cluster): each alignment divided into so many clusters of its tree, or into as many as leave one with `size` rows."""
+    if (parts is None) == (size is None):
+        raise ValueError("either parts or size is needed")
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        merges, n = cluster(difference(list(pdf["s"])), linkage), len(pdf)
+        return pd.DataFrame({"aln": pdf["aln"], "key": pdf["key"], "cluster": cut(merges, n, parts if size is None else parts_with(merges, n, size))})
+
+    return _per_alignment(rows, aln, key, aseq, make, "aln {aln}, key {key}, cluster int")

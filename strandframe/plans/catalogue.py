@@ -909,3 +909,17 @@ def q104_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("g")).agg(F.count("*").cast("double").alias("v"))
     beside = total.select("g", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")), F.struct(F.lit(1).alias("i"), F.lit(0).alias("j")))).alias("c"), "v").select("g", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"), "v")
     return _r(matrices.eigenvalues(diagonal.unionByName(beside), ["g"]), 6, "v")
+
+
+@query(_NAMES_SQL + ", pl AS (SELECT i AS col, i <= 3 OR i > 9 AS held FROM unnest(range(1, 13)) u(i)), g AS (SELECT aln, key, min(col) FILTER (WHERE NOT held AND res <> '-') AS at FROM res JOIN pl USING (col) GROUP BY ALL), p AS (SELECT x.aln, x.key AS a, y.key AS b, (x.at = y.at) IS TRUE AS same, (x.at IS NOT NULL OR y.at IS NOT NULL) AS has FROM g x JOIN g y ON x.aln = y.aln AND x.key <> y.key WHERE x.key % 50 = 0) SELECT aln, a, b, same::BIGINT AS n_shared, has::BIGINT AS n_inserts, CASE WHEN has THEN same::INT::DOUBLE ELSE 1 END AS share FROM p")
+def q105_shared_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose number is divisible by 50 against all of their brand."""
+    res = _names(spark, sf_dir)
+    mask = res.select("aln", "col").distinct().withColumn("keep", (F.col("col") <= 3) | (F.col("col") > 9))
+    return annotation.shared_inserts(res, annotation.numbered_places(mask), res.where("col = 1 AND key % 50 = 0").select("aln", "key"))
+
+
+@query(None)
+def q106_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    return trees.partition(items, "aln", "item_id", _item_row(items), 5)

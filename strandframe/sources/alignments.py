@@ -269,9 +269,11 @@ def render(rows: Rows, form: str, width: int = 60) -> str:
             consensus = [sum(s[k].isalpha() for _, s in rows) * 2 >= len(rows) for k in range(len(rows[0][1]))]
             rows = [(n, "".join(c.upper() if keep and c.isalpha() else "-" if keep else c.lower() if c.isalpha() else "" for c, keep in zip(s, consensus))) for n, s in rows]
         return "".join(f">{n}\n" + "".join(s[i : i + width] + "\n" for i in range(0, len(s), width)) for n, s in rows)
-    if form in ("clustal", "psiblast", "selex"):
-        head = "CLUSTAL W (1.83) multiple sequence alignment\n\n\n" if form == "clustal" else ""
-        return head + "\n\n".join("\n".join(line(*r) for r in b) for b in _blocks(rows, width)) + "\n"
+    if form == "clustal":
+        marks = lambda b: "".join("*" if len(set(c)) == 1 and "A" <= c[0] <= "Z" else " " for c in zip(*(s.upper() for _, s in b)))
+        return "CLUSTAL W (1.83) multiple sequence alignment\n\n\n" + "\n\n".join("\n".join([*(line(*r) for r in b), line("", marks(b))]) for b in _blocks(rows, width)) + "\n"
+    if form in ("psiblast", "selex"):
+        return "\n\n".join("\n".join(line(*r) for r in b) for b in _blocks(rows, width)) + "\n"
     if form == "phylip":
         first = True
         out = [f" {len(rows)} {len(rows[0][1])}"]

@@ -218,3 +218,17 @@ def test_rows_in_a_listed_order(spark):
     order = spark.createDataFrame([("c", 1), ("a", 2), ("a", 9), ("x", 3), (None, 4)], "n string, at int")
     assert [r.name for r in editing.reordered(rows, order, "name").orderBy("place").collect()] == ["c", "a"]
     assert {(r.name, r.place) for r in editing.reordered(rows, order, "name", rest=True).collect()} == {("c", 1), ("a", 2), ("b", None)}
+
+
+def test_alignments_divided_into_clusters(spark):
+    rows = ["AAAAAAAA", "AAAAAAAC", "CCCCCCCC", "CCCCCCCA", "GGGGGGGG", "AAAAAACC"]
+    df = spark.createDataFrame([(1, k, s) for k, s in enumerate(rows)], "aln int, key int, s string")
+    got = lambda n: [r.cluster for r in trees.partition(df, "aln", "key", F.col("s"), n).orderBy("key").collect()]
+    assert got(3) == [0, 0, 1, 1, 2, 0] and got(1) == [0] * 6 and got(9) == [0, 1, 2, 3, 4, 5]
+    sized = [r.cluster for r in trees.partition(df, "aln", "key", F.col("s"), size=3).orderBy("key").collect()]
+    assert max(map(sized.count, sized)) >= 3
+    merges = trees.cluster(trees.difference(rows), "single")
+    sizes = lambda n: max(map(trees.cut(merges, 6, n).count, range(n)))
+    assert all(trees.parts_with(merges, 6, k) == max([n for n in range(1, 7) if sizes(n) >= k], default=1) for k in range(1, 9))
+    for n in range(1, 7):
+        assert len(set(trees.cut(merges, 6, n))) == n

@@ -105,3 +105,9 @@ def test_records_of_daemons(spark, tmp_path):
     assert {(r.name, r.description, r.seq) for r in rows} == {("one", "first thing", "ACGTT"), ("two", "", "GG"), ("none", "", "")}
     (tmp_path / "h").write_text("# 7 1 2 2 2 2 Thu Nov 26\n>1 101\nACGTT\n>#2 111\nGG\n")
     assert {(r.name, r.seq) for r in sequences.read(spark, str(tmp_path / "h")).collect()} == {("1", "ACGTT"), ("#2", "GG")}
+
+
+def test_marks_below_clustal_blocks():
+    text = alignments.render([("a", "ACg-TTN"), ("bb", "ATG-tAN")], "clustal", 4)
+    assert text.splitlines()[3:] == ["a  ACg-", "bb ATG-", "   * * ", "", "a  TTN", "bb tAN", "   * *"]
+    assert list(alignments.parse_clustal(text)) == [[("a", "ACg-TTN"), ("bb", "ATG-tAN")]]
