@@ -23,11 +23,8 @@ def seq_stats(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
 
 
 def residue_composition(df: DataFrame, seq: str, by: list[str]) -> DataFrame:
-    """Count and frequency of each residue of each group. A text gives one number per letter and no row per residue; at most one row per group and task is shuffled."""
-    plain = df.select(*by, symbols.residues_only(F.col(seq)).alias("_s"))
-    sums = plain.groupBy(*by).agg(*[F.sum(F.length("_s") - F.length(F.replace(F.col("_s"), F.lit(c)))).alias(f"_n{c}") for c in symbols.UPPER])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("res"), F.col(f"_n{c}").alias("n")) for c in symbols.UPPER]))
-    counts = sums.select(*by, each.alias("_x")).select(*by, "_x.res", "_x.n").where("n > 0")
+    """Count and frequency of each residue of each group. A batch of texts is counted by one array operation, so no row per residue is made."""
+    counts = kmer_counts(df, seq, by, 1).withColumnRenamed("kmer", "res")
     return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
@@ -74,6 +71,8 @@ def windows(df: DataFrame, seq: str, key: str, *, context: int, width: int) -> D
 DENSE_K = 3
 #: Letters that are counted in one array operation; texts are taken together up to so many.
 DENSE_LETTERS = 1 << 20
+#: Groups times kinds of k-mers up to which counts are kept in one array; beyond it the k-mers are sorted.
+DENSE_CELLS = 1 << 22
 
 
 def _dense_kmers(df: DataFrame, seq: str, by: list[str], k: int) -> DataFrame:
@@ -99,7 +98,13 @@ def _dense_kmers(df: DataFrame, seq: str, by: list[str], k: int) -> DataFrame:
                 for i in range(1, k):
                     mers = mers * len(symbols.UPPER) + codes[i : len(codes) - k + 1 + i]
                 whole = np.arange(len(mers)) + k <= ends[: len(mers)]
-                place, n = np.unique((np.repeat(of, sizes)[: len(mers)] * kinds + mers)[whole], return_counts=True)
+                places = (np.repeat(of, sizes)[: len(mers)] * kinds + mers)[whole]
+                if len(groups) * kinds <= DENSE_CELLS:
+                    n = np.bincount(places, minlength=1)
+                    place = np.flatnonzero(n)
+                    n = n[place]
+                else:
+                    place, n = np.unique(places, return_counts=True)
                 listed = list(groups)
                 columns = [pa.array([listed[g][i] for g in place // kinds], batch.schema.field(i).type) for i in range(len(by))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(place % kinds), pa.array(n)], names=[*by, "code", "n"])
