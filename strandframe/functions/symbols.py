@@ -94,3 +94,14 @@ def digitised(seq: Column, alphabet: str = UPPER) -> Column:
 
 def textised(codes: Column, alphabet: str = UPPER) -> Column:
     return F.array_join(F.transform(codes, lambda k: F.substring(F.lit(alphabet), k + 1, 1)), "")
+
+
+#: Fixed value: a range's first place, anything but digits, and its last place, which may be missing.
+RANGE_PATTERN = r"^(\d+)\D+(\d*)$"
+
+
+def coordinates(text: Column) -> Column:
+    """struct(first, last) of a range such as 10..23 or 39-91; last is 0 where it is missing. Other text, and numbers beyond a long, give null."""
+    first, last = F.regexp_extract(text, RANGE_PATTERN, 1), F.regexp_extract(text, RANGE_PATTERN, 2)
+    first, last = first.try_cast("long"), F.when(last == "", 0).otherwise(last.try_cast("long"))
+    return F.when(text.rlike(RANGE_PATTERN) & first.isNotNull() & last.isNotNull(), F.struct(first.alias("first"), last.alias("last")))

@@ -923,3 +923,15 @@ def q105_shared_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q106_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     return trees.partition(items, "aln", "item_id", _item_row(items), 5)
+
+
+_RANGE_SQL = "concat(l_partkey, CASE l_linenumber % 4 WHEN 0 THEN '..' WHEN 1 THEN '-' WHEN 2 THEN ' to ' ELSE '' END, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey::VARCHAR ELSE '' END)"
+
+
+@query(f"WITH t AS (SELECT l_orderkey, l_linenumber, {_RANGE_SQL} AS t FROM lineitem), p AS (SELECT *, string_split(regexp_replace(t, '[^0-9]+', ':'), ':') AS x FROM t) SELECT l_orderkey, l_linenumber, CASE WHEN len(x) = 2 THEN x[1]::BIGINT END AS first, CASE WHEN len(x) = 2 THEN CASE WHEN x[2] = '' THEN 0 ELSE x[2]::BIGINT END END AS last FROM p")
+def q107_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges in several spellings, some without an end and some without a sign between the numbers."""
+    lines = _t(spark, sf_dir, "lineitem")
+    sign = F.element_at(F.array(*map(F.lit, ("..", "-", " to ", ""))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    text = F.concat(F.col("l_partkey").cast("string"), sign, F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey").cast("string")).otherwise(""))
+    return lines.select("l_orderkey", "l_linenumber", symbols.coordinates(text).alias("c")).select("l_orderkey", "l_linenumber", "c.first", "c.last")

@@ -80,3 +80,9 @@ def test_annotated_alignment(spark):
     text = found[0]["value"]
     assert list(alignments.parse_stockholm(text)) == [[("s1", "AC-G"), ("s2", "ACUG")]]
     assert sorted(map(str, (n[1:] for n in alignments.stockholm_annotation(text)))) == sorted(map(str, notes))
+
+
+def test_ranges_are_parsed(spark):
+    texts = ["10..23", "39-91", "7..", "7", "", "a-b", "1..2..3", " 1-2", "99999999999999999999-1", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(symbols.coordinates(F.col("t")).alias("c")).collect()
+    assert [r.c and tuple(r.c) for r in rows] == [(10, 23), (39, 91), (7, 0), None, None, None, None, None, None, None]
