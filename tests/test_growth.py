@@ -1,8 +1,10 @@
 """Steps whose memory, time or plan must hold for tables far larger than those of the other tests."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from strandframe.operators import alignment, generation
+from strandframe.operators import alignment, annotation, generation
 
 
 def stored(spark, folder, rows, schema):
@@ -25,3 +27,23 @@ def test_dealt_columns_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan(got)
     counts = {(r["col"], r["res"]): r["count"] for r in got.groupBy("col", "res").count().collect()}
     assert counts == {(1, c): 10 for c in "ACGT"} | {(2, c): 20 for c in "AC"} and got.select("key", "col").distinct().count() == 80
+
+
+def test_pairs_of_shared_inserts_are_not_shuffled(spark, tmp_path):
+    rows = [(1, "A-cgT-a"), (2, "AG--Tc-"), (3, "--t-Ta-"), (4, "A---T--"), (5, "AaagTgg"), (6, "A---T--")]
+    held = "x...x.."
+    mask = spark.createDataFrame([("x", i, c == "x") for i, c in enumerate(held, 1)], "aln string, col int, keep boolean")
+    res = table(spark, tmp_path, rows)
+    got = annotation.shared_inserts(res, annotation.numbered_places(mask), res.where("key < 5").select("aln", "key"))
+    assert not re.search(r"keys=\[aln#\d+L?, a#\d+L?, b#", plan(got))  # as an aggregate by pairs would need
+
+    def begins(s):
+        return {lo: at for lo, hi in ((1, 4), (5, 7)) if (at := next((i for i in range(lo, hi) if s[i] != "-"), None)) is not None}
+
+    want, starts = set(), {k: begins(s) for k, s in rows}
+    for a in range(1, 5):
+        for b in starts:
+            if a != b:
+                same, either = sum(starts[b].get(p) == i for p, i in starts[a].items()), len(starts[a].keys() | starts[b].keys())
+                want.add(("x", a, b, same, either, same / either if either else 1.0))
+    assert len(want) == 20 and sorted(map(tuple, got.collect())) == sorted(want)
