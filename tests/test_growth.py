@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from strandframe.operators import alignment, annotation, generation
+from strandframe.operators import alignment, annotation, columns, editing, generation, structure
 
 
 def stored(spark, folder, rows, schema):
@@ -47,3 +47,27 @@ def test_pairs_of_shared_inserts_are_not_shuffled(spark, tmp_path):
                 same, either = sum(starts[b].get(p) == i for p, i in starts[a].items()), len(starts[a].keys() | starts[b].keys())
                 want.add(("x", a, b, same, either, same / either if either else 1.0))
     assert len(want) == 20 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_paired_columns_are_not_broadcast(spark, tmp_path):
+    res = table(spark, tmp_path, [(1, "ACG"), (2, "A-G"), (3, "ATG"), (4, "-TC")])
+    pairs = spark.createDataFrame([("x", 1, 2), ("x", 1, 3)], "aln string, i int, j int")
+    got = structure.pair_counts(res, pairs)
+    assert "Broadcast" not in plan(got)
+    assert {tuple(r)[1:] for r in got.collect()} == {(1, 2, "A", "C", 1), (1, 2, "A", "T", 1), (1, 3, "A", "G", 3)}
+
+
+def test_shared_residues_are_not_broadcast(spark, tmp_path):
+    a, b = table(spark, tmp_path, [(1, "AC-G"), (2, "ACTG"), (3, "----"), (4, "AC--")]), table(spark, tmp_path, [(1, "-ACG-"), (2, "-ACTG"), (3, "A----"), (4, "--A--")])
+    got = columns.shared_residues(a, b)
+    assert "Join" not in plan(got)
+    assert {tuple(r)[1:] for r in got.collect()} == {(1, 2, 2), (2, 3, 2), (4, 4, 1), (3, 4, 1), (4, 5, 1), (1, 3, 1)}
+
+
+def test_accuracy_is_not_broadcast(spark, tmp_path):
+    schema = "key int, aseq string, reference string"
+    known = stored(spark, tmp_path, [(1, "AC-G", "xxxx"), (2, "----", "xxxx"), (3, "ACGT", "x..x")], schema)
+    test = stored(spark, tmp_path, [(1, "A-CG", "xxxx"), (2, "----", "xxxx"), (3, "ACGT", "x.x.")], schema)
+    got = editing.accuracy(known, test)
+    assert "Broadcast" not in plan(got)
+    assert {tuple(r)[:3] for r in got.collect()} == {(1, 3, 2), (3, 4, 2)}
