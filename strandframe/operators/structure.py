@@ -87,10 +87,15 @@ def compare(known: DataFrame, predicted: DataFrame, key: str, *, relaxed: bool =
 
 
 def pair_counts(res: DataFrame, pairs: DataFrame, *, gap: str = "-") -> DataFrame:
-    """n of each residue pair (a, b) at each paired pair of columns (aln, i, j). `pairs` is a consensus structure, one row per pair of columns."""
+    """n of each residue pair (a, b) at each paired pair of columns (aln, i, j). `pairs` is a consensus structure, one row per pair of columns.
+
+    The residues of both columns have a row per row of the alignment, which Spark takes for far less after an explode; the hints keep it from broadcasting one through the driver.
+    """
     left = res.where(F.col("res") != gap).select("aln", "key", F.col("col").alias("i"), F.col("res").alias("a"))
     right = res.where(F.col("res") != gap).select("aln", "key", F.col("col").alias("j"), F.col("res").alias("b"))
-    return left.join(pairs, ["aln", "i"]).join(right, ["aln", "key", "j"]).groupBy("aln", "i", "j", "a", "b").agg(F.count("*").alias("n"))
+    paired = lambda df, col: df.join(pairs.select("aln", col).distinct(), ["aln", col], "left_semi")  # noqa: E731 - only paired columns are shuffled
+    left, right = paired(left, "i"), paired(right, "j")
+    return left.join(pairs.hint("merge"), ["aln", "i"]).join(right.hint("merge"), ["aln", "key", "j"]).groupBy("aln", "i", "j", "a", "b").agg(F.count("*").alias("n"))
 
 
 def mutual_information(counts: DataFrame) -> DataFrame:
