@@ -1,10 +1,13 @@
 """Steps whose memory, time or plan must hold for tables far larger than those of the other tests."""
 
 import re
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from strandframe.operators import alignment, annotation, columns, editing, generation, structure
+from strandframe.operators import alignment, annotation, columns, editing, generation, models, sequence, structure
+from strandframe.sources import alignments
 
 
 def stored(spark, folder, rows, schema):
@@ -71,3 +74,33 @@ def test_accuracy_is_not_broadcast(spark, tmp_path):
     got = editing.accuracy(known, test)
     assert "Broadcast" not in plan(got)
     assert {tuple(r)[:3] for r in got.collect()} == {(1, 3, 2), (3, 4, 2)}
+
+
+def test_marks_of_many_rows_are_rendered_in_one_pass():
+    rows = [(f"r{k}", "AC-G") for k in range(20000)]
+    notes = [("GR", n, "PP", "99.9") for n, _ in rows] + [("GC", None, "RF", "xxxx"), ("GR", "r7", "SS", "<..>"), ("GR", "unknown", "SS", "....")]
+    began = time.process_time()
+    lines = alignments.render_annotated(rows, notes).split("\n")
+    assert time.process_time() - began < 5
+    at = next(k for k, x in enumerate(lines) if x.startswith("r7 "))
+    assert [x.split()[0] for x in lines[at : at + 4]] == ["r7", "#=GR", "#=GR", "r8"] and lines[at + 2].split()[1:] == ["r7", "SS", "<..>"]
+    assert sum(x.startswith("#=GR") for x in lines) == 20001
+
+
+def test_expected_counts_of_a_batch():
+    m = models.HiddenMarkov("vc", [0.5, 0.5], [[0.4, 0.5], [0.5, 0.4]], [0.1, 0.1], [[0.6, 0.4], [0.3, 0.7]])
+    seqs = ["vcvvc", "", "c", "v?cc", "vvvvvvvvccc", "vc"]
+    for model, can in ((m, seqs), (models.HiddenMarkov("vc", [1.0, 0.0], m.move, m.end, [[1.0, 0.0], [0.3, 0.7]]), [s for s in seqs if not s.startswith("c")])):
+        want = [sum(x) for x in zip(*(model.expected_counts(s) for s in can if s))]
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(model.summed_counts(seqs), want, strict=True))
+
+
+def test_frames_of_a_batch(spark):
+    texts = {1: "ATGAGATAAC", 2: "", 3: None, 4: "AC", 5: "ATGNNACGéTAA", 6: "TTT"}
+    df = spark.createDataFrame(list(texts.items()), "k int, s string").coalesce(1)
+    got = sequence.translate_frames(df, F.col("s"), "k", code=2)
+    assert "ArrowEvalPython" not in plan(got)  # no array of frames per text
+    read = sequence._reader(2)
+    strand = {r["k"]: r["t"] for r in df.select("k", sequence.symbols.reverse_complement(F.col("s")).alias("t")).collect()}
+    want = {(k, w, f, read(t, f)[0]) for w, of in ((1, texts), (-1, strand)) for k, t in of.items() if t is not None for f in range(3)}
+    assert set(map(tuple, got.collect())) == want and len(want) == 30
