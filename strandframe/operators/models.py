@@ -31,20 +31,19 @@ class HiddenMarkov:
         other = np.ones(len(e))
         return np.array([table.get(c, other) for c in seq])
 
-    def _blocks(self, seqs: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The places of nonempty sequences, the longest first, their lengths, and their symbols' numbers, one row each; a block has at most CELLS symbols or one sequence."""
+    def _blocks(self, seqs: Sequence[str], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The places of nonempty sequences, the longest first, their lengths, and their symbols' numbers, one row each; a block has at most `cells` symbols or one sequence."""
         letters = np.array([ord(c) for c in self.alphabet], dtype=np.uint32)
         order = np.argsort(letters)
         places = sorted((k for k, s in enumerate(seqs) if s), key=lambda k: -len(seqs[k]))
         at = 0
         while at < len(places):
-            part = places[at : at + max(1, CELLS // len(seqs[places[at]]))]
+            part = places[at : at + max(1, cells // len(seqs[places[at]]))]
             lengths = np.array([len(seqs[k]) for k in part])
             codes = np.zeros((len(part), lengths[0]), dtype=np.int64)
-            for row, k in zip(codes, part):
-                found = np.frombuffer(seqs[k].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                near = order[np.minimum(np.searchsorted(letters, found, sorter=order), len(letters) - 1)]
-                row[: len(found)] = np.where(letters[near] == found, near, len(letters))
+            found = np.frombuffer("".join(seqs[k] for k in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            near = order[np.minimum(np.searchsorted(letters, found, sorter=order), len(letters) - 1)]
+            codes[np.arange(lengths[0]) < lengths[:, None]] = np.where(letters[near] == found, near, len(letters))
             yield np.array(part), lengths, codes
             at += len(part)
 
@@ -110,6 +109,36 @@ class HiddenMarkov:
                 emitted[:, at[c]] += row
         return np.array([np.log(scale).sum() + np.log(last)]), p[0], moves, p[-1], emitted
 
+    def summed_counts(self, seqs: Sequence[str]) -> tuple[np.ndarray, ...]:
+        """The sums of `expected_counts` over sequences, all of a block stepping together; empty ones and those that the model cannot give are left out."""
+        states, kinds = len(self.start), len(self.alphabet)
+        start, move, end, emitted = np.asarray(self.start, float), np.asarray(self.move, float), np.asarray(self.end, float), self._emitted()
+        log, starts, moves, ends, emits = np.zeros(1), np.zeros(states), np.zeros((states, states)), np.zeros(states), np.zeros((kinds + 1, states))
+        for _, lengths, codes in self._blocks(seqs, max(1, CELLS // states)):
+            n, longest = codes.shape
+            f, b, scale = np.zeros((longest, n, states)), np.zeros((longest, n, states)), np.ones((longest, n))
+            held = [int(np.searchsorted(-lengths, -k, side="left")) for k in range(longest)]  # rows longer than k
+            for k, m in enumerate(held):
+                now = (np.tile(start, (m, 1)) if k == 0 else f[k - 1, :m] @ move) * emitted[codes[:m, k]]
+                scale[k, :m] = now.sum(axis=1)
+                f[k, :m] = now / np.where(scale[k, :m] > 0, scale[k, :m], 1)[:, None]
+            rows = np.arange(n)
+            last = f[lengths - 1, rows] @ end
+            known = (scale > 0).all(axis=0) & (last > 0)
+            log += np.log(scale[:, known]).sum() + np.log(last[known]).sum()
+            b[lengths - 1, rows] = np.where(known[:, None], end / np.where(known, last, 1)[:, None], 0.0)
+            for k in range(longest - 2, -1, -1):
+                m = held[k + 1]
+                ahead = emitted[codes[:m, k + 1]] * b[k + 1, :m] / np.where(scale[k + 1, :m] > 0, scale[k + 1, :m], 1)[:, None]
+                b[k, :m] = ahead @ move.T
+                moves += f[k, :m].T @ ahead
+            p = f * b  # nothing for what is left out, as b is zero there
+            starts += p[0].sum(axis=0)
+            ends += p[lengths - 1, rows].sum(axis=0)
+            for state in range(states):
+                emits[:, state] += np.bincount(codes.T.ravel(), weights=p[:, :, state].ravel(), minlength=kinds + 1)
+        return log, starts, move * moves, ends, emits[:kinds].T
+
     def best_paths(self, seqs: Sequence[str]) -> list[tuple[float, list[int]]]:
         """Log probability and states of each sequence's likeliest path; ties take the least state."""
         out: list[tuple[float, list[int]]] = [(0.0, [])] * len(seqs)
@@ -262,9 +291,7 @@ def train(df: DataFrame, seq: str, model: HiddenMarkov, *, rounds: int = 20, tol
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(1 + size + size * size + size + size * kinds)
             for batch in batches:
-                for s, log in zip(batch["s"], now.log_likelihoods(batch["s"].tolist())):
-                    if np.isfinite(log):
-                        total += flat(now.expected_counts(s))
+                total += flat(now.summed_counts(batch["s"].tolist()))
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
         return run
