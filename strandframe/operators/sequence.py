@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -188,11 +189,35 @@ def codon_map(code: int = 1) -> dict[str, str]:
 
 def translate_frames(df: DataFrame, dna: Column, key: str, *, strands: tuple[int, ...] = (1, -1), code: int = 1) -> DataFrame:
     """key, strand, frame (0 to 2), protein, by the genetic code of number `code`; X for codons with other letters. A null sequence has no rows."""
-    return _frames(df, dna, key, strands, code, lambda protein, begins, frame: [{"frame": frame, "protein": protein}], "frame:int,protein:string")
+    residues, base = _codon_tables(code)[0::2]
+    known = len(residues) - 1
 
-
-def _reader(code: int) -> Callable[[str, int], tuple[str, str]]:
-    """(protein, begins) of a strand from a frame on, by array operations; `begins` has an M at each residue whose codon may begin a protein and - at others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2)
+            data = "".join(texts.to_pylist()).encode("ascii", "replace")
+            codes = base[np.frombuffer(data, dtype=np.uint8)]
+            lengths = np.asarray(pc.utf8_length(texts), dtype=np.int64)
+            begins = np.cumsum(lengths) - lengths
+            read = np.full(len(codes), residues[known], dtype=np.uint8)  # the residue whose codon begins at each place
+            if len(codes) > 2:
+                a, b, c = codes[:-2], codes[1:-1], codes[2:]
+                read[:-2] = residues[np.where(np.maximum(np.maximum(a, b), c) == known, known, a * 16 + b * 4 + c)]
+            for frame in range(3):
+                sizes = np.maximum(lengths - frame, 0) // 3
+                ends = np.cumsum(sizes)
+                within = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
+                protein = read[np.repeat(begins + frame, sizes) + 3 * within]
+                offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64))
+                found = pa.LargeStringArray.from_buffers(len(sizes), offsets, pa.py_buffer(protein.tobytes())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(sizes), frame, dtype=np.int32)), found], names=[key, "strand", "frame", "protein"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return _strands(df, dna, key, strands).where("_s IS NOT NULL").mapInArrow(run, f"`{key}` {kind}, strand int, frame int, protein string")
+
+
+def _codon_tables(code: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the residue of each codon number (16, 4 and 1 times the letters' numbers), with X last; of marks M where it may begin a protein, else -; and the number of each letter's byte, or that of X."""
     letters, known = "TCAG", codon_map(code)
     codons = [a + b + c for a in letters for b in letters for c in letters]
     residues = np.frombuffer("".join(known[c] for c in codons).encode() + b"X", dtype=np.uint8)
@@ -200,12 +225,26 @@ def _reader(code: int) -> Callable[[str, int], tuple[str, str]]:
     base = np.full(256, len(codons), dtype=np.int64)
     for k, c in enumerate(letters):
         base[ord(c)] = k
+    return residues, marks, base
+
+
+def _strands(df: DataFrame, dna: Column, key: str, strands: tuple[int, ...]) -> DataFrame:
+    """key, strand and its text _s."""
+    rows = df.select(F.col(key), dna.alias("_d"))
+    both = F.array(*[F.struct(F.lit(s).alias("strand"), (F.col("_d") if s > 0 else symbols.reverse_complement(F.col("_d"))).alias("_s")) for s in strands])
+    return rows.select(key, F.explode(both).alias("_x")).select(key, "_x.strand", "_x._s")
+
+
+def _reader(code: int) -> Callable[[str, int], tuple[str, str]]:
+    """(protein, begins) of a strand from a frame on, by array operations; `begins` has an M at each residue whose codon may begin a protein and - at others."""
+    residues, marks, base = _codon_tables(code)
+    unknown = len(residues) - 1
 
     def read(text: str, frame: int) -> tuple[str, str]:
         codes = base[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
         three = codes[frame : frame + max(0, len(codes) - frame) // 3 * 3].reshape(-1, 3)
         at = three @ np.array([16, 4, 1])
-        at[(three == len(codons)).any(axis=1)] = len(codons)
+        at[(three == unknown).any(axis=1)] = unknown
         return residues[at].tobytes().decode(), marks[at].tobytes().decode()
 
     return read
@@ -219,9 +258,8 @@ def _frames(df: DataFrame, dna: Column, key: str, strands: tuple[int, ...], code
         return batch.map(lambda text: None if text is None else [x for f in range(3) for x in each(*read(text, f), f)], na_action="ignore")
 
     run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
-    rows = df.select(F.col(key), dna.alias("_d")).select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("strand"), (F.col("_d") if s > 0 else symbols.reverse_complement(F.col("_d"))).alias("_s")) for s in strands])).alias("_x"))
-    listed = F.pandas_udf(run, returnType=f"array<struct<{schema}>>")(F.col("_x._s"))
-    return rows.select(key, F.col("_x.strand").alias("strand"), F.explode(listed).alias("_f")).select(key, "strand", "_f.*")
+    listed = F.pandas_udf(run, returnType=f"array<struct<{schema}>>")(F.col("_s"))
+    return _strands(df, dna, key, strands).select(key, "strand", F.explode(listed).alias("_f")).select(key, "strand", "_f.*")
 
 
 def open_reading_frames(df: DataFrame, dna: Column, key: str, *, least: int = 20, strands: tuple[int, ...] = (1, -1), code: int = 1, from_start: bool = False) -> DataFrame:
