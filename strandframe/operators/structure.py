@@ -72,15 +72,15 @@ def pair_table(df: DataFrame, key: str, structure: str, *, knots: bool = True) -
 
 
 def compare(known: DataFrame, predicted: DataFrame, key: str, *, relaxed: bool = False) -> DataFrame:
-    """For each key: n_known, n_predicted, found, right, sensitivity, ppv. `relaxed` also accepts a pair with one end off by one."""
+    """For each key: n_known, n_predicted, found, right, sensitivity, ppv. `relaxed` also accepts a pair with one end off by one. All sides have a row per pair or key, so none is broadcast."""
     shifts = [(0, 0)] + ([(1, 0), (-1, 0), (0, 1), (0, -1)] if relaxed else [])
     near = lambda df: df.select(key, F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in shifts])).alias("_s"), F.col("i").alias("_i"), F.col("j").alias("_j")).select(key, "_s.*", "_i", "_j")
 
     def counted(of: DataFrame, other: DataFrame, total: str, hits: str) -> DataFrame:
-        met = near(of).join(other.select(key, "i", "j").distinct(), [key, "i", "j"], "left_semi").groupBy(key).agg(F.count_distinct("_i", "_j").alias(hits))
-        return of.groupBy(key).agg(F.count("*").alias(total)).join(met, key, "left").select(key, total, F.coalesce(hits, F.lit(0)).cast("long").alias(hits))
+        met = near(of).join(other.select(key, "i", "j").distinct().hint("merge"), [key, "i", "j"], "left_semi").groupBy(key).agg(F.count_distinct("_i", "_j").alias(hits))
+        return of.groupBy(key).agg(F.count("*").alias(total)).join(met.hint("merge"), key, "left").select(key, total, F.coalesce(hits, F.lit(0)).cast("long").alias(hits))
 
-    both = counted(known, predicted, "n_known", "found").join(counted(predicted, known, "n_predicted", "right"), key, "full_outer")
+    both = counted(known, predicted, "n_known", "found").join(counted(predicted, known, "n_predicted", "right").hint("merge"), key, "full_outer")
     filled = both.na.fill(0, ["n_known", "found", "n_predicted", "right"])
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return filled.select(key, "n_known", "n_predicted", "found", "right", share("found", "n_known").alias("sensitivity"), share("right", "n_predicted").alias("ppv"))

@@ -104,3 +104,10 @@ def test_frames_of_a_batch(spark):
     strand = {r["k"]: r["t"] for r in df.select("k", sequence.symbols.reverse_complement(F.col("s")).alias("t")).collect()}
     want = {(k, w, f, read(t, f)[0]) for w, of in ((1, texts), (-1, strand)) for k, t in of.items() if t is not None for f in range(3)}
     assert set(map(tuple, got.collect())) == want and len(want) == 30
+
+
+def test_compared_structures_are_not_broadcast(spark, tmp_path):
+    pairs = [stored(spark, tmp_path, rows, "k int, i int, j int") for rows in ([(1, 1, 6), (1, 2, 5), (2, 1, 5)], [(1, 2, 5), (3, 1, 4)])]
+    got = structure.compare(*pairs, "k")
+    assert "Broadcast" not in plan(got)
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, 1, 1, 0.5, 1.0), (2, 1, 0, 0, 0, 0.0, 0.0), (3, 0, 1, 0, 0, 0.0, 0.0)}
